@@ -24,3 +24,4 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"p3_found": p3_found}
+FLAGSHIP = "p3_found"
