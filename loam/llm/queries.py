@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loam.llm.neardup import near_groups, near_pairs
 from loam.llm.split import pieces_of, split_oversized
 from loam.sources.tables import table
 
@@ -23,5 +24,19 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces_of(split_oversized(table(spark, folder, "retrieved_chunk"), keep=keep), keep=keep)
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_pieces": p2_pieces}
+#: TESTDATA.md fixes these for problem 4.
+P4 = {"t": 0.6, "n": 3, "least_words": 30}
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each pair of distinct chunk ids whose texts are alike."""
+    return near_pairs(table(spark, folder, "retrieved_chunk"), **P4)
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Each chunk id with its class of equal texts, its group of near-duplicates and its number of links."""
+    return near_groups(table(spark, folder, "retrieved_chunk"), **P4)
+
+
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_groups": p4_groups}
 SQL: dict[str, str] = {}
