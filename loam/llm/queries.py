@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loam.llm.neardup import near_groups, near_pairs
+from loam.llm.pack import packed_texts
+from loam.llm.pairs import broken_pairs
 from loam.llm.split import pieces_of, split_oversized
+from loam.llm.tokens import encoded
 from loam.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,5 +42,27 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(table(spark, folder, "retrieved_chunk"), **P4)
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_groups": p4_groups}
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each broken pair with its main defect."""
+    found = broken_pairs(table(spark, folder, "eval_row"))
+    return found.select("pos", F.col("defects")[0].alias("defect"))
+
+
+def p5_defects(spark: SparkSession, folder: str) -> DataFrame:
+    """Each broken pair with every defect that shows, in rule order."""
+    found = broken_pairs(table(spark, folder, "eval_row"))
+    return found.select("pos", F.posexplode("defects").alias("rule", "defect"))
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of every document."""
+    return encoded(table(spark, folder, "documents"))
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every document, or of each piece of one that exceeds a container."""
+    return packed_texts(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_defects": p5_defects, "p6_ids": p6_ids, "p7_containers": p7_containers}
 SQL: dict[str, str] = {}
