@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.llm.boilerplate import furniture_lines, main_bodies
 from loam.llm.neardup import near_groups, near_pairs
 from loam.llm.pack import packed_texts
 from loam.llm.pairs import broken_pairs
@@ -17,6 +18,17 @@ from loam.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each line of a chunk that is not main body."""
+    return furniture_lines(table(spark, folder, "retrieved_chunk"))
+
+
+def p1_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """The main body of each chunk."""
+    chunks = table(spark, folder, "retrieved_chunk")
+    return main_bodies(chunks, furniture_lines(chunks))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each oversized chunk and whether one of its blocks had to be cut."""
     return split_oversized(table(spark, folder, "retrieved_chunk")).select("id", "cut")
@@ -64,5 +76,5 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packed_texts(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_defects": p5_defects, "p6_ids": p6_ids, "p7_containers": p7_containers}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_bodies": p1_bodies, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_defects": p5_defects, "p6_ids": p6_ids, "p7_containers": p7_containers}
 SQL: dict[str, str] = {}
