@@ -39,8 +39,8 @@ ROLE_LOW, ROLE_SEEN = 0.8, 30
 #: Wording that gives a line its role on a page, in the languages of the corpus.
 ROLES = {
     "skip": r"^(?:skip|jump|go) (?:to )?(?:the )?(?:main )?(?:content|navigation|menu)\.?$|^(?:zum (?:haupt)?inhalt(?: springen)?|navigation überspringen|aller au (?:contenu|menu)(?: principal)?|passer (?:la navigation|au contenu)|(?:ir|saltar) al (?:contenido|menú)(?: principal)?|saltar (?:la )?navegación)$",
-    "cookie": r"^(?:we|this (?:web)?site|these pages|our (?:web)?site|.{0,60} and its partners|like most sites,? .{0,60}) (?:\w+ ){0,3}(?:use|uses|store|stores|set|sets|relies on|rely on|place|places)\b.{0,40}(?:cookies?|small files|trackers?)|^your privacy matters|^cookies? (?:help|on this|and privacy|notice|settings?$)|^by (?:continuing|staying|using).{0,80}(?:cookies|agree)|^(?:wir|diese (?:web)?seite|unsere (?:web)?seite|.{0,60} und (?:seine|ihre) partner) (?:\w+ ){0,3}(?:verwende[nt]|nutz(?:en|t)|setz(?:en|t)|speicher[nt]|benutz(?:en|t)).{0,40}(?:cookies|dateien)|^(?:nous|ce site|notre site|.{0,60} et ses partenaires) (?:\w+ ){0,3}(?:utilis\w+|dépos\w+|stock\w+|enregistr\w+|emplo\w+).{0,40}(?:cookies|fichiers|traceurs)|^(?:usamos|utilizamos|empleamos|este sitio|esta web|nuestro sitio|.{0,60} y sus socios)\b.{0,40}(?:cookies|archivos|rastreadores)|^(?:ihre privatsphäre|votre vie privée|su privacidad|tu privacidad)\b.{0,20}(?:wichtig|compte|importe|importa)",
-    "button": r"^(?:reject (?:optional|all)(?: cookies)?|accept (?:all|cookies|and close)(?: cookies)?|ok,? got it|got it|save choices|save (?:settings|preferences)|manage (?:settings|cookies|preferences|choices)|cookie settings|(?:nur notwendige|alle(?:s)?) (?:akzeptieren|ablehnen|annehmen|zulassen)|ablehnen|akzeptieren|annehmen|einstellungen|auswahl speichern|verstanden|tout (?:accepter|refuser)|accepter|refuser|paramétrer|personnaliser|enregistrer|j'ai compris|aceptar(?: todo| todas)?|rechazar(?: todo| todas)?|configurar|guardar|entendido)$",
+    "cookie": r"^(?:we|this (?:web)?site|these pages|our (?:web)?site|.{0,60} and its partners|like most sites,? .{0,60}) (?:\w+ ){0,3}(?:use|uses|store|stores|set|sets|relies on|rely on|place|places)\b.{0,40}(?:cookies?|small files|trackers?)|^.{0,60}\b(?:small files on your device|kleine dateien auf (?:ihrem|deinem) gerät|petits fichiers sur votre appareil|pequeños archivos en su (?:dispositivo|equipo))|^your privacy matters|^cookies? (?:help|on this|and privacy|notice|settings?$)|^by (?:continuing|staying|using).{0,80}(?:cookies|agree)|^(?:wir|diese (?:web)?(?:seite|site)|unsere (?:web)?(?:seite|site)|.{0,60} und (?:seine|ihre) partner) (?:\w+ ){0,3}(?:verwende[nt]|nutz(?:en|t)|setz(?:en|t)|speicher[nt]|benutz(?:en|t)).{0,40}(?:cookies|dateien)|^(?:nous|ce site|notre site|.{0,60} et ses partenaires) (?:\w+ ){0,3}(?:utilis\w+|dépos\w+|stock\w+|enregistr\w+|emplo\w+).{0,40}(?:cookies|fichiers|traceurs)|^(?:usamos|utilizamos|empleamos|este sitio|esta web|nuestro sitio|.{0,60} y sus socios)\b.{0,40}(?:cookies|archivos|rastreadores)|^(?:ihre privatsphäre|votre vie privée|su privacidad|tu privacidad)\b.{0,20}(?:wichtig|compte|importe|importa)",
+    "button": r"^(?:reject (?:optional|all)(?: cookies)?|accept (?:all|cookies|and close)(?: cookies)?|ok,? got it|got it|save choices|save (?:settings|preferences)|manage (?:settings|cookies|preferences|choices)|cookie settings|nur notwendige(?: cookies)?|(?:nur notwendige|alles?) (?:akzeptieren|ablehnen|annehmen|zulassen)|ablehnen|akzeptieren|annehmen|einstellungen|auswahl speichern|verstanden|tout (?:accepter|refuser)|accepter|refuser|paramétrer|personnaliser|enregistrer|j'ai compris|aceptar(?: todo| todas)?|rechazar(?: todo| todas)?|configurar|guardar|entendido)$",
     "crumb": r"^(?:(?:you are here|sie sind hier|vous êtes ici|está aquí|usted está aquí|estás aquí)\s*:.*|(?:home|start(?:seite)?|accueil|inicio)\s*(?:[»>›|/·→]|::).+)$",
     "related": r"^(?:related (?:pages|articles|links|content|topics)|see also(?: on this site)?|more in this section|popular (?:topics|pages|articles)|people also (?:read|viewed|ask)|you may also like|read next|further reading on this site|verwandte (?:seiten|artikel|themen)|mehr (?:zum thema|in (?:diesem|dieser) (?:bereich|rubrik))|siehe auch|beliebte (?:themen|seiten)|das (?:könnte|lesen) .{0,30}|auch interessant|pages liées|dans la même rubrique|à lire aussi|voir aussi|sujets populaires|articles liés|páginas relacionadas|también le puede interesar|más en esta sección|temas populares|véase también|ver también|lo más leído)\s*:?$",
     "share": r"^(?:share|teilen|partager|compartir)$|^(?:share this(?: page| article)?|seite teilen|diese seite teilen|partager(?: cette page)?|compartir(?: esta página)?)\s*:.*$|^share this (?:page|article)$|^(?:tell a friend|follow us\b.*|folgen sie uns\b.*|suivez-nous\b.*|síganos\b.*|weitersagen|einem freund (?:senden|empfehlen)|envoyer à un ami|recommander|enviar a un amigo|recomendar)$|^(?:print (?:this )?page|seite drucken|diese seite drucken|drucken|imprimer(?: (?:la|cette) page)?|imprimir(?: (?:esta|la) página)?)$",
@@ -57,7 +57,7 @@ LABELS = frozenset(
     "home|press|news|services|contact|about us|faq|log in|login|sign in|events|payments|careers|jobs|guides|forms|health|sport & leisure|law & order|software downloads|our offices|help|search|menu|imprint|"
     "privacy|privacy policy|terms of use|terms|cookie policy|accessibility|sitemap|site map|media kit|report a problem|legal notice|disclaimer|"
     "startseite|presse|aktuelles|nachrichten|leistungen|kontakt|über uns|anmelden|veranstaltungen|zahlungen|karriere|stellen|ratgeber|formulare|gesundheit|sport|hilfe|suche|impressum|datenschutz|nutzungsbedingungen|"
-    "barrierefreiheit|übersicht|inhalt|cookie-richtlinie|rechtliche hinweise|"
+    "agb|barrierefreiheit|übersicht|inhalt|cookie-richtlinie|rechtliche hinweise|"
     "accueil|actualités|nouvelles|à propos|connexion|événements|paiements|carrières|emplois|formulaires|santé|sports|aide|recherche|mentions légales|confidentialité|conditions d'utilisation|accessibilité|plan du site|politique de cookies|"
     "inicio|prensa|noticias|servicios|contacto|quiénes somos|acceder|eventos|pagos|empleo|guías|formularios|salud|deporte|ayuda|buscar|aviso legal|privacidad|condiciones de uso|accesibilidad|mapa web|política de cookies"
     .split("|")
@@ -176,6 +176,9 @@ def page_nodes(text: str, headings: list[str] | None) -> list[Node]:
             nodes.append(Node(number, block, "line", role, [bare], line))
             continue
         entries = entries_of(line)
+        if len(entries) >= 2 and all(_ROLE["button"].match(e) for e in entries):
+            nodes.append(Node(number, block, "line", "button", entries, line))
+            continue
         if len(entries) >= 2 and all(len(e) <= 40 for e in entries):
             nodes.append(Node(number, block, "row", None, entries, line))
         elif short and len(bare) <= 45 and len(bare.split()) <= 6:
@@ -183,6 +186,10 @@ def page_nodes(text: str, headings: list[str] | None) -> list[Node]:
             nodes.append(Node(number, block, kind, None, [bare], line))
         else:
             nodes.append(Node(number, block, "text", None, [], ""))
+        # short lines and running text are branches of their own, blank line or not
+        if len(nodes) > 1 and nodes[-2].block == block and (nodes[-2].kind == "text") != (nodes[-1].kind == "text"):
+            block += 1
+            nodes[-1].block = block
     return nodes
 
 
