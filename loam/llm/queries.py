@@ -12,6 +12,7 @@ from loam.llm.neardup import near_groups, near_pairs
 from loam.llm.pack import packed_texts
 from loam.llm.pairs import broken_pairs
 from loam.llm.split import pieces_of, split_oversized
+from loam.llm.subjects import composition, document_subjects
 from loam.llm.tokens import encoded
 from loam.sources.tables import table
 
@@ -76,5 +77,19 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packed_texts(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_bodies": p1_bodies, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_defects": p5_defects, "p6_ids": p6_ids, "p7_containers": p7_containers}
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    return document_subjects(table(spark, folder, "documents"), table(spark, folder, "subject_example"), table(spark, folder, "subject_area"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's subjects."""
+    return _subjects(spark, folder).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus by subject."""
+    return composition(_subjects(spark, folder))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_bodies": p1_bodies, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_defects": p5_defects, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_composition": p8_composition}
 SQL: dict[str, str] = {}
