@@ -278,5 +278,5 @@ def main_bodies(df: DataFrame, found: DataFrame, id_col: str = "id", text_col: s
     drop = found.groupBy("id").agg(F.collect_set("line_no").alias("drop"))  # lines of one text
     lines = F.split(F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n")), "\n")
     kept = F.filter(lines, lambda x, k: ~F.coalesce(F.array_contains(F.col("drop"), k), F.lit(False)))
-    body = F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"\n\s*\n\s*(\n\s*)*", "\n\n"))
+    body = F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), r"\n[ \t]*\n\s*\n", "\n\n"), r"^\s+|\s+$", "")
     return texts.join(drop, "id", "left").select("id", body.alias("body"))

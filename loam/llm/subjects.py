@@ -35,7 +35,7 @@ from loam.session import bounded_rows, staged
 BITS, SOURCES, SHARE = 18, 4096, 0.25
 _SIZE = 1 << BITS
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_TOKEN = re.compile(r"[^\W\d_]+")
+_TOKEN = re.compile(r"[^\W\d_]+|\n")
 _CJK = re.compile(r"[一-鿿぀-ヿ가-힯]")
 _SPLIT = re.compile(r"(?<=[.!?。])\s+")
 _ENDS = re.compile(r"[.!?。！？…][\"'”»)*_]*$")
@@ -53,7 +53,8 @@ def sentences_of(text: str) -> tuple[list[str], list[int], list[int], list[str]]
     sentences, sections, paragraphs, headings = [], [], [], [""]
     paragraph, blank = 0, True
     low = text.lower()
-    hinted = any(hint in low for hint in _ROLE_HINTS)
+    hints = [hint for hint in _ROLE_HINTS if hint in low]
+    hinted = bool(hints)
     for raw in text.split("\n"):
         line = raw.strip()
         if not line:
@@ -67,7 +68,7 @@ def sentences_of(text: str) -> tuple[list[str], list[int], list[int], list[str]]
             continue
         if not ends and (len(line) < 60 or ". " not in line):
             continue
-        if hinted and len(line) < 300 and role_of(line, bare_entry(line)):
+        if hinted and len(line) < 300 and any(hint in line.lower() for hint in hints) and role_of(line, bare_entry(line)):
             continue
         if line[0] in "#-*+•>0123456789" or ":" in line[:20]:
             line = _LEAD.sub("", line)
@@ -85,29 +86,28 @@ class Features:
     """Hashed unigrams and bigrams of sentences; word hashes are remembered up to a fixed number."""
 
     def __init__(self) -> None:
-        self.seen: dict[str, int] = {}
+        self.seen: dict[str, int] = {"\n": 0}
 
-    def _word(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) | 1
-        if len(self.seen) < 500_000:
-            self.seen[word] = h
-        return h
+    def _codes(self, words: list[str]) -> np.ndarray:
+        if len(self.seen) > 500_000:
+            self.seen = {"\n": 0}
+        seen = self.seen
+        for word in set(words).difference(seen):
+            seen[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1 | 1
+        return np.fromiter(map(seen.__getitem__, words), np.int64, len(words)).view(np.uint64)
 
     def __call__(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``(owner, bucket)``: the sentence of each feature and the feature."""
-        seen = self.seen
-        hashes: list[int] = []
-        counts = np.empty(len(sentences), np.int64)
-        for k, sentence in enumerate(sentences):
-            words = _TOKEN.findall(sentence.lower())
-            if not sentence.isascii() and _CJK.search(sentence):
-                words = [c for w in words for c in (w if _CJK.search(w) else [w])]
-            counts[k] = len(words)
-            hashes += [seen.get(w) or self._word(w) for w in words]
-        h = np.array(hashes, np.uint64)
-        owner = np.repeat(np.arange(len(sentences)), counts)
-        if len(h) < 2:
-            return owner, ((h * _M[0]) >> np.uint64(64 - BITS)).astype(np.int32)
+        parts = [np.empty(0, np.uint64)]
+        for k in range(0, len(sentences), 4096):  # one pass of the pattern over many sentences; a line feed ends each
+            text = "\n".join([*sentences[k : k + 4096], ""]).lower()
+            if not text.isascii() and _CJK.search(text):
+                text = _CJK.sub(r" \g<0> ", text)
+            parts.append(self._codes(_TOKEN.findall(text)))
+        h = np.concatenate(parts)
+        ends = h == 0
+        owner = np.cumsum(ends) - ends
+        h, owner = h[~ends], owner[~ends]
         pair = (h[:-1] * _M[0] + h[1:] * _M[1]) * _M[0]
         inside = owner[1:] == owner[:-1]
         buckets = np.concatenate((h * _M[0], pair[inside])) >> np.uint64(64 - BITS)
@@ -296,7 +296,7 @@ def document_votes(docs: DataFrame, seeds, lexicon, sources, subjects: int) -> D
             edges = np.searchsorted(of, np.arange(len(batch) + 1))
             codes = (keys % base**5).astype(np.int32)
             yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "n": np.bincount(doc_, minlength=len(batch)), "pattern": [codes[a:b] for a, b in zip(edges, edges[1:])], "times": [times[a:b].astype(np.int32) for a, b in zip(edges, edges[1:])]}
+                {"doc_id": batch["doc_id"], "n": np.bincount(doc_, minlength=len(batch)), "pattern": pd.Series([codes[a:b] for a, b in zip(edges, edges[1:])], dtype=object), "times": pd.Series([times[a:b].astype(np.int32) for a, b in zip(edges, edges[1:])], dtype=object)}
             )
 
     return docs.select("doc_id", "text", "source", "title").mapInPandas(run, VOTES)
@@ -305,8 +305,8 @@ def document_votes(docs: DataFrame, seeds, lexicon, sources, subjects: int) -> D
 def latent_model(patterns: np.ndarray, counts: np.ndarray, subjects: int, rounds: int = 40) -> tuple[np.ndarray, dict[str, tuple[float, float]]]:
     """Posterior of every pattern over (none, subjects), and each function's learned (coverage, accuracy).
 
-    A sentence on subject y gets from function j no vote with probability 1 - c_j, y with c_j a_j, another with the
-    rest, evenly. A sentence on none gets votes of the lexicons only by chance, b_j; where it stands says nothing
+    A sentence on subject y gets from function j no vote with probability 1 - c_j, y with c_j a_j, and another with the
+    rest: evenly from the lexicons, all on one from the functions that look at where it stands. A sentence on none gets votes of the lexicons only by chance, b_j; where it stands says nothing
     about it, so the other functions vote as they do overall.
     """
     base = subjects + 1
@@ -327,7 +327,9 @@ def latent_model(patterns: np.ndarray, counts: np.ndarray, subjects: int, rounds
                 p *= seen
             else:
                 for j in range(5):
-                    p *= np.where(vote[j] == 0, 1 - cover[j], np.where(vote[j] == y, cover[j] * right[j], cover[j] * (1 - right[j]) / max(1, subjects - 1)))
+                    # what a lexicon errs to is chance; where a sentence stands errs to the document's other subject
+                    wrong = cover[j] * (1 - right[j]) / (max(1, subjects - 1) if j < 2 else 1)
+                    p *= np.where(vote[j] == 0, 1 - cover[j], np.where(vote[j] == y, cover[j] * right[j], wrong))
             post[:, y] = p
         post /= np.maximum(post.sum(axis=1), 1e-300)[:, None]
         mass = post * weight[:, None]
@@ -380,7 +382,7 @@ def document_subjects(docs: DataFrame, examples: DataFrame, areas: DataFrame, sh
             part = total / np.maximum(batch["n"].to_numpy(), 1)[:, None]
             at, s = np.nonzero(part >= share - 1e-6)
             keep = s < len(subject_names)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[at[keep]], "subject": [subject_names[k] for k in s[keep]], "share": np.round(part[at[keep], s[keep]], 4)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[at[keep]], "subject": pd.Series([subject_names[k] for k in s[keep]], dtype=object), "share": np.round(part[at[keep], s[keep]], 4)})
 
     return voted.mapInPandas(assign, "doc_id long, subject string, share double")
 
