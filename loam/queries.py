@@ -1,18 +1,35 @@
-"""Every query of the core, by name. Each takes (spark, folder of tables) and gives a DataFrame."""
+"""Every query of the core, by name. Each takes (spark, folder of tables) and gives a DataFrame over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loam.functions import markdown as M
+from loam.functions import text as T
+from loam.functions import url as U
+from loam.operators import crawl, evalrun, evalset, index, memory, retrieval, tree
+from loam.operators.chunking import chunked
 from loam.operators.packed import unpack
 from loam.sources.tables import table
+from loam.streaming import events as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+FLAGSHIP = "retrieval_context"
+ALIASES = {"EP": "Employment Pass", "levy bill": "foreign worker levy", "API": "programming interface", "virus scanner": "malware scan"}
+SCOPE = ["https://help.yoris.test/", "https://zetard.example/handbook/", "https://vaskis.test/"]
+KB_BUDGET, EVICTION_BUDGET = 1200, 60
 
 
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every value of every packed field that holds two or more."""
 
@@ -23,5 +40,471 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return of("eval_row", "pos", "source").unionByName(of("generated_item", "item_id", "source_urls"))
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found}
-FLAGSHIP = "p3_found"
+# --- scalar functions
+
+
+def _urls(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "packet").select("id", F.posexplode("source_urls").alias("pos", "url"))
+
+
+@query
+def url_functions(spark: SparkSession, folder: str) -> DataFrame:
+    u = F.col("url")
+    return _urls(spark, folder).select(
+        "id", "pos", U.normalize_url(F.concat(F.lit(" "), F.upper(F.regexp_extract(u, "^(https?://)", 1)), F.regexp_replace(u, "^https?://", ""), F.lit("#x "))).alias("normal"), U.host_of(u).alias("host"),
+        U.slug_of(u).alias("slug"), U.output_path(u).alias("path"), U.strip_host(u).alias("rest"), U.is_asset_url(u).alias("asset"), U.in_scope(u, SCOPE).alias("scoped"),
+    )
+
+
+@query
+def text_functions(spark: SparkSession, folder: str) -> DataFrame:
+    t = F.col("text")
+    rows = table(spark, folder, "documents").where(t.isNotNull())
+    return rows.select(
+        "doc_id", T.rough_tokens(t).alias("tokens"), T.file_hash(t).alias("hash"), T.chunk_id(F.col("source"), F.lit(0), T.file_hash(t)).alias("chunk_id"), T.truncated(t, 80).alias("cut"),
+        T.truncated_middle(t, 200).alias("cut_middle"), T.trimmed(t, 50).alias("trimmed"), F.array_join(T.figures(t), " ").alias("figures"), F.size(T.content_words(t)).alias("words"), T.duration(F.col("doc_id")).alias("duration"),
+    )
+
+
+@query
+def id_functions(spark: SparkSession, folder: str) -> DataFrame:
+    i = F.col("id")
+    return table(spark, folder, "packet").select(
+        "id", T.parent_id(i).alias("parent"), T.short_name(i).alias("short"), T.question_id("q", F.length(i) * 997).alias("question_id"), T.in_subtree(i, F.lit("faq")).alias("faq"),
+        F.array_join(T.id_list(F.concat(F.lit('["'), i, F.lit('", "'), T.parent_id(i), F.lit('","'), i, F.lit('"], '))), "|").alias("ids"),
+    )
+
+
+@query
+def kind_functions(spark: SparkSession, folder: str) -> DataFrame:
+    p = F.col("kb_path")
+    return table(spark, folder, "manifest_entry").select(p, T.source_kind(p).alias("kind"), T.mime_of(p).alias("mime"), tree.segments_of(p)[0].alias("host")).distinct()
+
+
+@query
+def heading_prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "retrieved_chunk").where(F.col("text").isNotNull())
+    return rows.select("hit_id", T.heading_prefix(F.col("text"), F.col("headings")).alias("prefixed"))
+
+
+@query
+def markdown_features(spark: SparkSession, folder: str) -> DataFrame:
+    c = M.feature_counts(F.col("text"))
+    rows = table(spark, folder, "retrieved_chunk").where(F.col("text").isNotNull()).select("hit_id", c.alias("c"), F.array_join(M.link_slugs(F.col("text")), "|").alias("slugs"), F.size(M.paragraphs(F.col("text"))).alias("paragraphs"))
+    return rows.select("hit_id", *[F.col("c")[k].alias(k) for k in ("headings", "tables", "code_blocks", "links", "images")], "slugs", "paragraphs")
+
+
+@query
+def markdown_tidied(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "retrieved_chunk").where(F.col("text").isNotNull())
+    return rows.select("hit_id", M.tidied(M.rewritten_images(F.col("text"))).alias("tidied"))
+
+
+@query
+def query_expand(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "eval_row").where(F.col("question").isNotNull()).select("pos", T.expanded(F.col("question"), ALIASES).alias("expanded"))
+
+
+@query
+def event_props(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "events").select("event_type", T.salvaged_json(F.concat(F.lit("Sure: "), "props"), "k int").alias("j"))
+    return rows.groupBy("event_type").agg(F.count("j.k").alias("n"), F.sum("j.k").alias("total"), F.count(T.valid_score(F.col("j.k"))).alias("scores"))
+
+
+# --- retrieval
+
+
+@query
+def vector_topk_l2(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries: every vector whose id is divisible by 50, against all vectors."""
+    return _vector(spark, folder, "l2")
+
+
+@query
+def vector_topk_cosine(spark: SparkSession, folder: str) -> DataFrame:
+    return _vector(spark, folder, "cosine")
+
+
+def _vector(spark: SparkSession, folder: str, metric: str) -> DataFrame:
+    v = table(spark, folder, "embeddings")
+    queries = v.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = retrieval.vector_top_k_blocks(v, queries, 8, "vec_id", "embedding", metric)
+    return found.select(F.col("query_id").cast("long").alias("query_id"), F.col("id").alias("vec_id"), F.round("distance", 5).alias("distance"), "rank")
+
+
+@query
+def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries: the question of every row whose pos is divisible by 50, against all documents."""
+    asked = table(spark, folder, "eval_row").where(F.col("pos") % 50 == 0).select(F.col("pos").alias("query_id"), F.col("question").alias("query"))
+    found = retrieval.bm25_top_k(table(spark, folder, "documents"), asked, 10, "doc_id")
+    return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 4).alias("score"))
+
+
+def _hits(spark: SparkSession, folder: str) -> DataFrame:
+    """The hits of each query once: what is delivered again counts at its first."""
+    rows = table(spark, folder, "retrieved_chunk").where(F.col("query_id").isNotNull() & F.col("id").isNotNull())
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy("query_id", "id").orderBy("hit_id"))).where("__n = 1").drop("__n")
+
+
+def _fusion(spark: SparkSession, folder: str, how: str) -> DataFrame:
+    hits = _hits(spark, folder)
+    leg = lambda c: hits.where(F.col(c).isNotNull()).select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy(c, "hit_id")).alias("rank"))
+    return retrieval.fused(leg("vector_rank"), leg("fts_rank"), how, 8)
+
+
+@query
+def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
+    return _fusion(spark, folder, "rrf")
+
+
+@query
+def hybrid_linear(spark: SparkSession, folder: str) -> DataFrame:
+    return _fusion(spark, folder, "linear")
+
+
+@query
+def hybrid_none(spark: SparkSession, folder: str) -> DataFrame:
+    return _fusion(spark, folder, "none").drop("fused_score")
+
+
+def _ranked(spark: SparkSession, folder: str) -> DataFrame:
+    hits = _hits(spark, folder).where(F.col("kb_path").isNotNull() & F.col("chunk_index").isNotNull())
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("fused_score"), "hit_id"))
+    return hits.withColumn("rank", rank)
+
+
+@query
+def adjacent_merge(spark: SparkSession, folder: str) -> DataFrame:
+    spans = retrieval.merged_adjacent(_ranked(spark, folder))
+    return spans.select("query_id", "kb_path", "chunk_index", "id", F.md5(F.col("text")).alias("text_md5"), "token_estimate", "source_kind", "rank")
+
+
+def _spans(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.budget_cap(retrieval.merged_adjacent(_ranked(spark, folder)), KB_BUDGET)
+
+
+@query
+def budget_cap(spark: SparkSession, folder: str) -> DataFrame:
+    return _spans(spark, folder).select("query_id", "rank", "id", "kept")
+
+
+@query
+def retrieval_context(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits to context: merge, budget, source order, format."""
+    out = retrieval.context(_spans(spark, folder).where("kept"))
+    return out.select("query_id", F.md5(F.col("context")).alias("context_md5"), F.array_join("cited", "|").alias("cited"))
+
+
+@query
+def degraded_legs(spark: SparkSession, folder: str) -> DataFrame:
+    per = _hits(spark, folder).groupBy("query_id").agg(F.count("vector_rank").alias("v"), F.count("fts_rank").alias("t"))
+    return per.select("query_id", F.coalesce(retrieval.degraded(F.col("v") > 2, F.col("v"), F.col("t")), F.lit("none")).alias("degraded"))
+
+
+# --- index
+
+
+@query
+def manifest_diff(spark: SparkSession, folder: str) -> DataFrame:
+    """The first row of each path as the candidate, against the whole manifest."""
+    rows = table(spark, folder, "manifest_entry").where(F.col("kb_path").isNotNull())
+    first = rows.groupBy("kb_path").agg(F.min_by("content_hash", F.struct("indexed_at", "content_hash")).alias("content_hash"))
+    return index.manifest_diff(first, rows.where(~F.col("kb_path").rlike(r"\.pdf$")), prune=True)
+
+
+@query
+def manifest_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    rows = index.latest(table(spark, folder, "manifest_entry")).select("kb_path", "content_hash", "chunk_count")
+    fresh = rows.where(F.col("kb_path").rlike(r"\.md$")).select("kb_path", F.upper("content_hash").alias("content_hash"), F.lit(0).alias("chunk_count"))
+    return index.upserted(rows, fresh, fresh.select("kb_path", F.lit("changed").alias("state")))
+
+
+@query
+def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").where(F.col("text").isNotNull())
+    return chunked(docs.select(F.col("doc_id").cast("string").alias("kb_path"), F.lit("markdown").alias("source_kind"), "text"), target=200, overlap=20)
+
+
+@query
+def model_stamps(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select(F.concat(F.lit('{"embed_model":"m'), (F.col("label") % 2).cast("string"), F.lit('"}')).alias("metadata"), F.col("embedding").alias("vector"))
+    return index.model_stamps(rows).select("embed_model", "rows", F.array_join(F.transform("lengths", lambda x: x.cast("string")), ",").alias("lengths"))
+
+
+# --- trees
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    paths = table(spark, folder, "manifest_entry").where(F.col("kb_path").isNotNull()).select("kb_path").distinct()
+    parts = tree.segments_of(F.col("kb_path"))
+    return paths.select(F.slice(parts, 1, F.size(parts) - 1).alias("segments"), F.element_at(parts, -1).alias("name"))
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.withColumn("segments", F.array_join("segments", "/")).withColumnRenamed("segments", "path")
+
+
+@query
+def folder_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    return _shown(tree.folder_kinds(_files(spark, folder)))
+
+
+@query
+def subtree_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    return _shown(tree.subtree_rollup(tree.folder_kinds(_files(spark, folder)).select("segments")))
+
+
+@query
+def folder_documents(spark: SparkSession, folder: str) -> DataFrame:
+    files = _files(spark, folder).withColumn("text", F.concat(F.lit("# "), "name", F.lit("\n\nAbout "), "name", F.lit(". More."))).withColumn("link_position", F.when(F.length("name") % 3 == 0, F.length("name")).cast("int"))
+    docs = tree.folder_documents(files)
+    return _shown(docs).select("path", F.md5(F.col("content")).alias("content_md5"), F.array_join("source_files", "|").alias("source_files"), "tokens")
+
+
+@query
+def catalog_branches(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "packet").select("id")
+    return tree.largest_branches(rows, 5)
+
+
+@query
+def catalog_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "packet").select("id", F.replace("id", F.lit("."), F.lit("/")).alias("path"), F.size(F.split("id", r"\.")).alias("depth"), F.concat("title", F.lit(" | x")).alias("title"), F.substring(F.regexp_replace("body", r"\s+", " "), 1, 60).alias("long"), F.split("id", r"\.").alias("segments"))
+    parsed = tree.parsed_catalog(tree.rendered_catalog(rows), "catalog")
+    return parsed.select("id", "path", "depth", "title", F.trim("long").alias("long"))
+
+
+@query
+def id_resolution(spark: SparkSession, folder: str) -> DataFrame:
+    known = table(spark, folder, "packet").select("id")
+    asked = known.select(F.concat("id", F.lit(".extra.part")).alias("id")).unionByName(known.select(F.concat(F.lit("no."), "id").alias("id"))).unionByName(known)
+    return tree.longest_known_prefix(asked, known)
+
+
+# --- memory
+
+
+def _calls(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, folder, "events")
+    name = F.concat(F.lit("p"), (F.col("event_id") % 23).cast("string"))
+    ranked = e.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where(F.col("r") <= 12).withColumn("p", name)
+    ordered = lambda keep: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("r", "p")))), lambda x: x["p"]))
+    calls = ranked.groupBy(F.col("user_id").alias("call_id")).agg(ordered(F.col("r") <= 8).alias("active"), ordered(F.col("r") > 8).alias("requested"))
+    catalog = spark.range(22).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("id"), ((F.col("id") * 7) % 19 + 1).cast("int").alias("tokens"))
+    return calls, catalog
+
+
+@query
+def eviction_plan(spark: SparkSession, folder: str) -> DataFrame:
+    calls, catalog = _calls(spark, folder)
+    out = memory.eviction_plan(calls, catalog, EVICTION_BUDGET)
+    text = lambda c: F.array_join(c, ",").alias(c)
+    return out.select("call_id", text("after"), text("evicted"), text("to_load"), "error_id", "error_reason")
+
+
+@query
+def session_memory(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "events")
+    calls = e.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("call_no"), F.array().cast("array<string>").alias("claimed"), F.array(F.concat(F.lit("p"), (F.col("event_id") % 23).cast("string"))).alias("requested"))
+    return memory.session_fold(calls, {f"p{i}": i * 7 % 19 + 1 for i in range(22)}, EVICTION_BUDGET)
+
+
+@query
+def merged_calls(spark: SparkSession, folder: str) -> DataFrame:
+    g = table(spark, folder, "generated_item")
+    calls = g.select(F.coalesce("persona_id", F.lit("")).alias("message_id"), F.col("item_id").alias("call_no"), F.coalesce("kind", F.lit("")).alias("context"), "source_packet_ids", F.slice("source_packet_ids", 1, 1).alias("active"))
+    out = memory.merged_calls(calls.withColumnRenamed("source_packet_ids", "requested"))
+    return out.select("message_id", "context", F.array_join("requested", ",").alias("requested"), F.array_join("active", ",").alias("active"), "calls")
+
+
+@query
+def grounding_checks(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "eval_row")
+    part = lambda n, role, c: e.select(F.col("pos").alias("conv_id"), F.lit(n).alias("turn"), F.lit(role).alias("role"), F.col(c).alias("text"))
+    turns = part(1, "user", "question").unionByName(part(2, "tool", "expected_answer").where("conv_id % 7 <> 0")).unionByName(part(3, "assistant", "actual_answer"))
+    out = memory.grounding_checks(turns, F.lit("2026-01-31"))
+    return out.select("conv_id", F.array_join("unsupported", ",").alias("unsupported"), "withheld")
+
+
+# --- crawl
+
+
+def _edges(spark: SparkSession, folder: str) -> DataFrame:
+    links = unpack(table(spark, folder, "generated_item"), "item_id", "source_urls", least=2).where(F.col("val").rlike("^https?://"))
+    first = Window.partitionBy("row_key").orderBy("val_pos")
+    return links.select(F.lag("val").over(first).alias("src"), F.col("val_pos").alias("link_pos"), F.col("val").alias("href")).where(F.col("src").isNotNull())
+
+
+@query
+def crawl_bfs(spark: SparkSession, folder: str) -> DataFrame:
+    edges = _edges(spark, folder)
+    seeds = table(spark, folder, "packet").select(F.explode("source_urls").alias("url"))
+    return crawl.bfs(edges, seeds, 3).select("url", "hop")
+
+
+def _dispositions(spark: SparkSession, folder: str) -> DataFrame:
+    links = _edges(spark, folder).select(F.col("src").alias("referrer"), (F.length("src") % 4).alias("depth"), "link_pos", "href")
+    visited = table(spark, folder, "packet").select(U.normalize_url(F.element_at("source_urls", 1)).alias("url")).distinct()
+    return crawl.dispositions(links.dropDuplicates(["referrer", "link_pos", "href"]), visited, SCOPE, 3)
+
+
+@query
+def crawl_dispositions(spark: SparkSession, folder: str) -> DataFrame:
+    return crawl.disposition_counts(_dispositions(spark, folder), ["unparseable", "asset_host", "asset", "depth", "scope", "visited", "follow", "error"], 0).select("disposition", "links")
+
+
+@query
+def host_pacing(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "events")
+    requests = e.select(F.concat(F.lit("h"), (F.col("user_id") % 40).cast("string")).alias("host"), F.col("event_id").alias("pos"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("arrive_s"), (F.col("value") / 10).alias("took_s"), F.when(F.col("event_type") == "error", 429).otherwise(200).alias("status"), F.lit(30.0).alias("retry_s"))
+    return crawl.paced(requests)
+
+
+@query
+def leaf_collapse(spark: SparkSession, folder: str) -> DataFrame:
+    files = _files(spark, folder).select(F.concat("segments", F.array(F.regexp_replace("name", r"\.[^.]*$", ""))).alias("segments"), F.lit("index.md").alias("name"))
+    out = crawl.collapsed(files, 6)
+    return out.select(F.array_join("segments", "/").alias("path"), F.concat_ws("/", F.array_join("new_segments", "/"), "new_name").alias("new_path"))
+
+
+@query
+def layout_collisions(spark: SparkSession, folder: str) -> DataFrame:
+    files = _files(spark, folder)
+    deep = files.where(F.length("name") % 2 == 0).select(F.concat("segments", F.array(F.regexp_replace("name", r"\.[^.]*$", ""))).alias("segments"), F.lit("index.md").alias("name"))
+    return _shown(crawl.layout_collisions(files.unionByName(deep)))
+
+
+# --- question sets
+
+
+@query
+def kind_quota(spark: SparkSession, folder: str) -> DataFrame:
+    return evalset.feasibility(table(spark, folder, "packet"), evalset.quota(spark, 10_003))
+
+
+@query
+def packet_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return evalset.sampled_packets(table(spark, folder, "packet"), evalset.quota(spark, 503), seed=7)
+
+
+@query
+def packet_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return evalset.paired(table(spark, folder, "packet"))
+
+
+@query
+def paragraph_pick(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "packet")
+    return rows.select("id", F.array_join(F.transform(evalset.chosen_paragraphs(F.col("paragraphs"), 2, F.col("id"), 7), lambda x: x.cast("string")), ",").alias("chosen"), evalset.pair_quota(F.size("paragraphs"), F.lit(1))["a"].alias("take_a"))
+
+
+@query
+def persona_round_robin(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "generated_item").select("item_id", "kind")
+    return evalset.round_robin(items, table(spark, folder, "persona"), ["item_id"]).select("item_id", "persona_id")
+
+
+@query
+def persona_topics(spark: SparkSession, folder: str) -> DataFrame:
+    people = table(spark, folder, "persona").select("persona_id", "topics")
+    pool = table(spark, folder, "packet").select("id").join(F.broadcast(people), F.lit(True)).withColumn("kind", F.lit("simple"))  # the roster has 16 rows
+    return evalset.biased(pool, F.col("topics")).select("persona_id", "id")
+
+
+@query
+def question_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = evalset.deduplicated(table(spark, folder, "generated_item").where(F.col("question").isNotNull()), pos="item_id")
+    return evalset.numbered(kept.withColumn("pos", F.col("item_id")), "g", per_block=1000).select("item_id", "question_id")
+
+
+@query
+def draft_checks(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "generated_item").select("item_id", "question", "expected_answer", F.element_at("source_packet_ids", 1).alias("id"))
+    rows = items.join(table(spark, folder, "packet").select("id", "body"), "id")
+    none = F.array().cast("array<string>")
+    return evalset.drafts_checked(rows.withColumn("persona_mismatch", F.lit("")).withColumn("needed", none).withColumn("cited", none)).select("item_id", "reason")
+
+
+# --- evaluation
+
+
+@query
+def eval_report(spark: SparkSession, folder: str) -> DataFrame:
+    return evalrun.report(table(spark, folder, "eval_row"))
+
+
+@query
+def eval_by_kind(spark: SparkSession, folder: str) -> DataFrame:
+    return evalrun.by_kind(table(spark, folder, "eval_row"))
+
+
+@query
+def persona_kind_grid(spark: SparkSession, folder: str) -> DataFrame:
+    return evalrun.persona_kind_grid(table(spark, folder, "eval_row"))
+
+
+@query
+def eval_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return evalrun.filtered(table(spark, folder, "eval_row"), ["simple", "hard-1"], None, skip_completed=True).select("pos", "question_id")
+
+
+def _baseline(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "eval_row").withColumn("score", F.when(F.col("pos") % 5 > 0, F.pmod(F.col("pos") * 7, F.lit(4)).cast("int")))
+
+
+@query
+def baseline_deltas(spark: SparkSession, folder: str) -> DataFrame:
+    return evalrun.baseline_deltas(table(spark, folder, "eval_row"), _baseline(spark, folder))
+
+
+@query
+def baseline_by_kind(spark: SparkSession, folder: str) -> DataFrame:
+    return evalrun.baseline_by_kind(table(spark, folder, "eval_row"), _baseline(spark, folder))
+
+
+@query
+def eval_merge(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "eval_row").withColumn("run", F.col("pos") % 3 > 0)
+    results = rows.where(F.col("pos") % 3 == 1).groupBy("question_id").agg(F.max("pos").alias("p")).select("question_id", F.concat(F.lit("answer "), F.col("p").cast("string")).alias("actual_answer"), F.pmod("p", F.lit(6)).cast("int").alias("score"), F.lit("r").alias("remark"), F.lit(1).alias("turns"), F.lit("t").alias("transcript"))
+    return evalrun.merged(rows, results).select("pos", "question_id", "actual_answer", "score", "origin")
+
+
+@query
+def transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "eval_row")
+    part = lambda n, role, source, c: e.select(F.col("pos").alias("conv_id"), F.lit(n).alias("turn"), F.lit(role).alias("role"), F.lit(source).alias("source"), F.coalesce(c, F.lit("")).alias("text"))
+    turns = part(1, "user", "user", "question").unionByName(part(2, "bot", "bot", "remark")).unionByName(part(3, "user", "clarifier", "persona")).unionByName(part(4, "bot", "bot_final", "actual_answer"))
+    out = evalrun.transcripts(turns)
+    ended = e.select(F.col("pos").alias("conv_id"), F.when(F.col("pos") % 4 == 0, "max_turns").otherwise("answer").alias("terminated_by"), "actual_answer")
+    return out.join(evalrun.judged_text(turns, ended), "conv_id").select("conv_id", F.md5(F.col("transcript")).alias("transcript_md5"), "replies", F.md5(F.col("judged")).alias("judged_md5"))
+
+
+# --- streams, as batches
+
+
+@query
+def event_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return stream.windowed(table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp")), "1 hour").select(F.unix_seconds("window_start").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query
+def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    out = stream.sessions(table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp")), "2 hours")
+    return out.select("user_id", F.unix_micros("session_start").alias("session_start"), "n")
+
+
+def _turn_events(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "events")
+    kinds = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "assistant.final").when(F.col("event_type") == "click", "tool.call").otherwise("assistant.delta")
+    return e.select((F.col("event_id") / 9).cast("long").alias("turn_id"), F.col("event_id").alias("seq"), kinds.alias("kind"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("text"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query
+def turn_reassembly(spark: SparkSession, folder: str) -> DataFrame:
+    return stream.turns(_turn_events(spark, folder))
+
+
+@query
+def progress_totals(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "eval_row").where(F.col("turns").isNotNull())
+    return stream.progress(e.select("question_id", "score", (F.col("pos") * 10).alias("elapsed_ms")))
