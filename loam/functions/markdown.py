@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FEATURES = {
-    "headings": r"(?m)(^#{1,6} )", "tables": r"(?m)(^\|[- :|]+\|[ \t]*$)", "links": r"((?<!!)\[[^\]]*\]\([^)]*\))", "images": r"(!\[[^\]]*\]\([^)]*\))",
+    "headings": r"(?md)(^#{1,6} )", "tables": r"(?md)(^\|[- :|]+\|[ \t]*$)", "links": r"((?<!!)\[[^\]]*\]\([^)]*\))", "images": r"(!\[[^\]]*\]\([^)]*\))",
 }
 
 
@@ -114,7 +114,7 @@ def without_front_matter(text: Column, marker: str) -> Column:
 
 def paragraphs(body: Column, least: int = 120) -> Column:
     """Blocks between blank lines of at least ``least`` characters; a block that is one table cell is prose."""
-    clean = F.regexp_replace(F.regexp_replace(body, r"(?m)^<!--\s*source:.*?-->[ \t]*$", ""), r"(?m)^[ \t]*-{3,}[ \t]*$", "")
+    clean = F.regexp_replace(F.regexp_replace(body, r"(?md)^<!--[ \t]*source:[^\n]*?-->[ \t]*$", ""), r"(?md)^[ \t]*-{3,}[ \t]*$", "")
     blocks = F.transform(F.split(clean, r"\n\s*\n"), lambda b: F.regexp_replace(b, r"^\s+|\s+$", ""))
     prose = F.transform(blocks, lambda b: F.when(b.rlike(r"^\|[^|\n]*[^|\n\s:\-][^|\n]*\|$"), F.trim(F.regexp_replace(b, r"^\||\|$", ""))).otherwise(b))
     return F.filter(prose, lambda b: F.length(b) >= least)

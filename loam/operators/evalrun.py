@@ -165,7 +165,7 @@ def judged_text(turns: DataFrame, ended: DataFrame, scope: str = "conversation")
 
     ``ended(conv_id, terminated_by, actual_answer)``.
     """
-    said = turns.where((F.col("role") == "bot") & (F.trim("text") != ""))
+    said = turns.where((F.col("role") == "bot") & F.col("text").rlike(r"(?U)\S"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
     all_ = said.groupBy("conv_id").agg(parts.alias("parts"))
     n = F.size("parts")

@@ -89,9 +89,15 @@ def heading_prefixes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def markdown_features(spark: SparkSession, folder: str) -> DataFrame:
-    c = M.feature_counts(F.col("text"))
-    rows = table(spark, folder, "retrieved_chunk").where(F.col("text").isNotNull()).select("hit_id", c.alias("c"), F.array_join(M.link_slugs(F.col("text")), "|").alias("slugs"), F.size(M.paragraphs(F.col("text"))).alias("paragraphs"))
-    return rows.select("hit_id", *[F.col("c")[k].alias(k) for k in ("headings", "tables", "code_blocks", "links", "images")], "slugs", "paragraphs")
+    text = F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n"))
+    rows = table(spark, folder, "retrieved_chunk").where(F.col("text").isNotNull()).select("hit_id", M.feature_counts(text).alias("c"), F.size(M.paragraphs(text)).alias("paragraphs"))
+    return rows.select("hit_id", *[F.col("c")[k].alias(k) for k in ("headings", "tables", "code_blocks", "links", "images")], "paragraphs")
+
+
+@query
+def markdown_link_slugs(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "retrieved_chunk").where(F.col("text").isNotNull())
+    return rows.select("hit_id", F.posexplode(M.link_slugs(F.col("text"))).alias("pos", "slug"))
 
 
 @query
@@ -330,21 +336,26 @@ def grounding_checks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
-    links = unpack(table(spark, folder, "generated_item"), "item_id", "source_urls", least=2).where(F.col("val").rlike("^https?://"))
-    first = Window.partitionBy("row_key").orderBy("val_pos")
-    return links.select(F.lag("val").over(first).alias("src"), F.col("val_pos").alias("link_pos"), F.col("val").alias("href")).where(F.col("src").isNotNull())
+    """Links: each URL of a packet to its next, and the first URL of each packet an item cites to that of the next one."""
+    packets = table(spark, folder, "packet")
+    after = Window.partitionBy("id").orderBy("pos")
+    inside = packets.select("id", F.posexplode("source_urls").alias("pos", "href")).select(F.lag("href").over(after).alias("src"), F.col("pos").alias("link_pos"), "href")
+    cited = table(spark, folder, "generated_item").select("item_id", F.posexplode("source_packet_ids").alias("pos", "id"))
+    urls = cited.join(packets.select("id", F.try_element_at("source_urls", F.lit(1)).alias("href")), "id").where(F.col("href").isNotNull())
+    across = urls.select(F.lag("href").over(Window.partitionBy("item_id").orderBy("pos")).alias("src"), F.col("pos").alias("link_pos"), "href")
+    return inside.unionByName(across).where(F.col("src").isNotNull())
 
 
 @query
 def crawl_bfs(spark: SparkSession, folder: str) -> DataFrame:
     edges = _edges(spark, folder)
-    seeds = table(spark, folder, "packet").select(F.explode("source_urls").alias("url"))
+    seeds = table(spark, folder, "packet").where(F.col("id").rlike("^faq")).select(F.try_element_at("source_urls", F.lit(1)).alias("url")).where(F.col("url").isNotNull())
     return crawl.bfs(edges, seeds, 3).select("url", "hop")
 
 
 def _dispositions(spark: SparkSession, folder: str) -> DataFrame:
     links = _edges(spark, folder).select(F.col("src").alias("referrer"), (F.length("src") % 4).alias("depth"), "link_pos", "href")
-    visited = table(spark, folder, "packet").select(U.normalize_url(F.element_at("source_urls", 1)).alias("url")).distinct()
+    visited = table(spark, folder, "packet").select(U.normalize_url(F.try_element_at("source_urls", F.lit(1))).alias("url")).where(F.col("url").isNotNull() & (F.length("url") % 3 == 0)).distinct()
     return crawl.dispositions(links.dropDuplicates(["referrer", "link_pos", "href"]), visited, SCOPE, 3)
 
 
