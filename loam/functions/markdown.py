@@ -22,7 +22,7 @@ def feature_counts(md: Column) -> Column:
 def hrefs(html: Column) -> Column:
     """Link targets in document order, without scripts, mail, phone and fragments; repeats stay."""
     found = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
-    return F.filter(F.transform(found, F.trim), lambda x: (x != "") & ~x.rlike(r"(?i)^(?:javascript:|mailto:|tel:|#)"))
+    return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"(?i)^(?:javascript:|mailto:|tel:|#)"))
 
 
 def image_source(src: Column, lazy: list[Column], srcset: Column) -> Column:

@@ -41,7 +41,7 @@ def chunk_id(path: Column, index: Column, content_hash: Column) -> Column:
 
 def heading_prefix(text: Column, headings: Column) -> Column:
     """The heading path in front of a chunk, without the part the chunk opens with."""
-    path = F.filter(F.transform(F.coalesce(headings, F.array().cast("array<string>")), F.trim), lambda h: h.isNotNull() & (h != ""))
+    path = F.filter(F.transform(F.coalesce(headings, F.array().cast("array<string>")), lambda h: F.trim(h)), lambda h: h.isNotNull() & (h != ""))
     first = F.trim(F.regexp_replace(F.element_at(F.split(F.ltrim(text), "\n"), 1), r"^#+", ""))
     repeated = (F.size(path) > 0) & (first != "") & (F.try_element_at(path, F.lit(-1)) == first)
     kept = F.when(repeated, F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0)))).otherwise(path)

@@ -206,7 +206,8 @@ def front_matter(text: Column) -> Column:
 
 def sidecar_of(text: Column) -> Column:
     """A sidecar's struct; anything malformed is null and stops nothing."""
-    return F.from_json(text, "source_url string, link_order array<string>, documents map<string,string>, images map<string,string>")
+    sound = F.from_json(text, "map<string,string>").isNotNull()
+    return F.when(sound, F.from_json(text, "source_url string, link_order array<string>, documents map<string,string>, images map<string,string>"))
 
 
 def packet_scan(artefacts: DataFrame, least: int = 120) -> DataFrame:
@@ -336,7 +337,7 @@ def load_options(path: str | None = None, text: str | None = None) -> Options:
     return out
 
 
-def prompt(name: str, packaged: dict[str, str], folder: str | None = None, **values: str) -> str:
+def prompt(name: str, packaged: dict[str, str], folder: str | None = None, /, **values: str) -> str:
     """A prompt with its values: a file of the operator's wins; empty or missing prompts and values are errors."""
     key = re.sub(r"[^a-z0-9_-]", "", name.lower().replace(".", "-"))
     path = os.path.join(folder, f"{key}.md") if folder else None

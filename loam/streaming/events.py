@@ -118,8 +118,10 @@ def interrupted(events: DataFrame) -> DataFrame:
 # --- keyed state
 
 
-def session_stream(calls: DataFrame, tokens: dict[str, int], budget: int = BUDGET, ttl_ms: int = 86_400_000) -> DataFrame:
-    """The session memory over a stream of calls: the same transition as the batch fold, state per session with a time to live.
+def session_stream(calls: DataFrame, tokens: dict[str, int], budget: int = BUDGET, ttl_ms: int | None = None) -> DataFrame:
+    """The session memory over a stream of calls: the same transition as the batch fold, state per session.
+
+    ``ttl_ms`` forgets sessions that stay silent; it keeps a stream going, so leave it out of ``availableNow`` runs.
 
     ``tokens`` is one knowledge base's catalog. Calls of a batch are taken in ``call_no`` order.
     """
@@ -135,15 +137,16 @@ def session_stream(calls: DataFrame, tokens: dict[str, int], budget: int = BUDGE
             active, d = step(active, list(claimed) if claimed is not None else [], list(requested) if requested is not None else [], tokens, budget)
             out.append((key[0], int(call_no), d["loaded"], d["evicted"], list(active), d["redundant"], d["error_ids"], d["error_reason"]))
         state.update((active,))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["session", "call_no", "loaded", "evicted", "active_after", "redundant", "error_ids", "error_reason"])
 
     from loam.operators.memory import DELTA
 
-    return calls.groupBy("session").applyInPandasWithState(run, DELTA, "active array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return calls.groupBy("session").applyInPandasWithState(run, DELTA, "active array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)
 
 
-def host_rates(requests: DataFrame, delay_s: float = DELAY_S, ttl_ms: int = 3_600_000) -> DataFrame:
+def host_rates(requests: DataFrame, delay_s: float = DELAY_S, ttl_ms: int | None = None) -> DataFrame:
     """Waiting times over a stream of requests; the state of a host is the time its next request may start."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -159,12 +162,13 @@ def host_rates(requests: DataFrame, delay_s: float = DELAY_S, ttl_ms: int = 3_60
                 allowed = max(allowed, start + r.took_s + r.retry_s)
             out.append((key[0], int(r.pos), start, start - r.arrive_s, allowed))
         state.update((float(allowed),))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["host", "pos", "start_s", "wait_s", "next_allowed"])
 
     from loam.operators.crawl import PACED
 
-    return requests.groupBy("host").applyInPandasWithState(run, PACED, "allowed double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.groupBy("host").applyInPandasWithState(run, PACED, "allowed double", "append", GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)
 
 
 # --- event time: beyond what the question needs, since Spark has it
@@ -188,8 +192,10 @@ def once(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> list[Any]:
+def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append", seconds: int = 120) -> list[Any]:
     """Drive a stream over what is there and give its rows; for tests and one-off runs."""
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", os.path.join(checkpoint, name)).trigger(availableNow=True).start()
-    query.awaitTermination()
+    if not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(f"{name} did not end in {seconds} s")
     return df.sparkSession.table(name).collect()
