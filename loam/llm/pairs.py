@@ -139,7 +139,7 @@ def is_refusal(answer: str) -> bool:
     text = _LABEL.sub(" ", answer.replace("’", "'"))
     if _BUT_HERE.search(text):
         return False
-    declined, content = False, 0
+    declined = False
     for sentence in _SENTENCE.split(text):
         sentence = sentence.strip(" \t\"'“”*_")
         if not _WORD.search(sentence):
@@ -148,10 +148,11 @@ def is_refusal(answer: str) -> bool:
             declined = True
             # a clause after a colon goes on to answer
             rest = sentence.rpartition(":")[2] if ":" in sentence else ""
-            content += len(_WORD.findall(rest)) > 5 and not _DECLINE.search(rest)
+            if len(_WORD.findall(rest)) > 5 and not _DECLINE.search(rest):
+                return False
         elif not _POLITE.search(sentence):
-            content += 1
-    return declined and not content
+            return False  # a sentence of content: no need to read on
+    return declined
 
 
 # --- truncation ---------------------------------------------------------------------------------------------------
@@ -166,6 +167,8 @@ _OPEN_WORDS = frozenset(
     .split()
 )
 _PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«", "』": "『", "」": "「", "）": "（", "】": "【"}
+_OPENERS = frozenset(_PAIRS.values())
+_BRACKETS = re.compile("[" + re.escape("".join([*_PAIRS, *_PAIRS.values()])) + "]")
 _END = re.compile(r"[.!?。！？][\"'”’»)\]*_]*$")
 _ENTRY = re.compile(r"^\s*(?:[-*•+]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s+(.*)$")
 
@@ -174,8 +177,8 @@ def _unclosed(text: str) -> bool:
     """Whether a bracket or a directed quote is still open at the end."""
     open_: list[str] = []
     text = re.sub(r"(?m)^\s*\(?\w{1,3}\)\s", " ", text)  # numbering
-    for c in text:
-        if c in _PAIRS.values():
+    for c in _BRACKETS.findall(text):
+        if c in _OPENERS:
             open_.append(c)
         elif c in _PAIRS and open_ and open_[-1] == _PAIRS[c]:
             open_.pop()
@@ -262,18 +265,24 @@ _SCRIPTS = [("zh", r"[一-鿿]"), ("ja", r"[぀-ヿ]"), ("ko", r"[가-힯]"), ("
 _SCRIPTS = [(lang, re.compile(p)) for lang, p in _SCRIPTS]
 
 
+_MARKS = [("de", frozenset("äöüß")), ("fr", frozenset("çèêàùœîôû")), ("es", frozenset("ñ¿¡áíóú")), ("pt", frozenset("ãõ"))]
+
+
 def language_of(text: str) -> str | None:
     """The language of a stretch of text: by script, else by function words; None where nothing tells."""
-    letters = sum(c.isalpha() for c in text)
-    if not letters:
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    if not words:
         return None
-    for lang, script in _SCRIPTS:
-        if len(script.findall(text)) * 3 > letters:
-            return lang
-    words = [w.lower() for w in re.findall(r"[^\W\d_]+", text)]
-    scores = {lang: sum(w in known for w in words) for lang, known in _FUNCTION_OF.items()}
-    for lang, marks in (("de", "äöüß"), ("fr", "çèêàùœîôû"), ("es", "ñ¿¡áíóú"), ("pt", "ãõ")):
-        scores[lang] += 0.5 * any(c in marks for c in text.lower())
+    plain = text.isascii()
+    if not plain:
+        letters = sum(map(len, words))
+        for lang, script in _SCRIPTS:
+            if len(script.findall(text)) * 3 > letters:
+                return lang
+    scores = {lang: float(sum(map(known.__contains__, words))) for lang, known in _FUNCTION_OF.items()}
+    if not plain:
+        for lang, marks in _MARKS:
+            scores[lang] += 0.5 * (not marks.isdisjoint(text.lower()))
     ranked = sorted(scores.items(), key=lambda x: -x[1])
     if ranked[0][1] < 1 or ranked[0][1] == ranked[1][1]:
         return None
