@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions.text import exam_tell, in_subtree, is_grounded, parent_id, question_id
+from loam.session import bounded_rows, small
 
 PER_RING = 100_000
+ROSTER = 10_000  # personas are a short list; more is a mistake
 KINDS = ("simple", "medium", "complex", "hard-1", "hard-2")
 
 
@@ -56,8 +58,12 @@ def seeded(seed: int, *parts: Column) -> Column:
 
 def sampled_packets(packets: DataFrame, wanted: DataFrame, seed: int = 0) -> DataFrame:
     """``(kind, item, id)``: packets for each kind without repeats until all eligible ones are used, then from the start again."""
-    pool = packets.select("id", "paragraphs", "assets").join(F.broadcast(wanted.where(F.col("n") > 0)), F.lit(True)).where(eligible(F.col("kind"), F.col("paragraphs"), F.col("assets")))
-    most = max([r["n"] for r in wanted.select("n").collect()], default=0)  # one row per kind
+    asked = [(r["kind"], r["n"]) for r in bounded_rows(wanted.where(F.col("n") > 0).select("kind", "n"), 100, "kinds")]
+    if not asked:
+        return packets.limit(0).select(F.lit("").alias("kind"), F.lit(0).alias("item"), "id")
+    most = max(n for _, n in asked)
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("n")) for k, n in asked])
+    pool = packets.select("id", "paragraphs", "assets", F.explode(kinds).alias("k")).select("id", "paragraphs", "assets", "k.*").where(eligible(F.col("kind"), F.col("paragraphs"), F.col("assets")))
     pool = pool.select("kind", "n", "id", seeded(seed, F.col("kind"), F.col("id")).alias("h"))
     # the first of each hash range, then the first of those: no kind's pool is gathered in one task
     part = Window.partitionBy("kind", F.substring("h", 1, 2)).orderBy("h", "id")
@@ -115,12 +121,12 @@ def round_robin(items: DataFrame, personas: DataFrame, order: list[str] | None =
     people = roster.agg(F.count(F.lit(1)).alias("p"))
     place = F.row_number().over(Window.partitionBy("kind").orderBy(*(order or ["item"]))) - 1
     seated = items.withColumn("__i", place).crossJoin(F.broadcast(people)).withColumn("seat", F.pmod("__i", F.greatest("p", F.lit(1))))
-    return seated.join(F.broadcast(roster), "seat", "left").drop("__i", "p", "seat")
+    return seated.join(small(roster, ROSTER, "personas"), "seat", "left").drop("__i", "p", "seat")
 
 
 def matched(items: DataFrame, personas: DataFrame) -> DataFrame:
     """Every item for every persona: the same grounding, so their answers compare. The roster is a short list."""
-    return items.join(F.broadcast(personas.select("persona_id", "pos")), F.lit(True))
+    return items.join(small(personas.select("persona_id", "pos"), ROSTER, "personas"), F.lit(True))
 
 
 def drafts_checked(drafts: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from loam.functions import url as U
 from loam.operators import crawl, evalrun, evalset, index, memory, retrieval, tree
 from loam.operators.chunking import chunked
 from loam.operators.packed import unpack
+from loam.session import small
 from loam.sources.tables import table
 from loam.streaming import events as stream
 
@@ -418,7 +419,7 @@ def persona_round_robin(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def persona_topics(spark: SparkSession, folder: str) -> DataFrame:
     people = table(spark, folder, "persona").select("persona_id", "topics")
-    pool = table(spark, folder, "packet").select("id").join(F.broadcast(people), F.lit(True)).withColumn("kind", F.lit("simple"))  # the roster has 16 rows
+    pool = table(spark, folder, "packet").select("id").join(small(people, evalset.ROSTER, "personas"), F.lit(True)).withColumn("kind", F.lit("simple"))
     return evalset.biased(pool, F.col("topics")).select("persona_id", "id")
 
 

@@ -45,7 +45,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing.
 
-    Every call writes a folder of its own, so that a retried or repeated query never reads half-written rows.
+    Every call writes a folder of its own, so that a retried or repeated query never reads half-written rows. The folder
+    lives as long as the driver, since lazy results may still read it.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/loam-{name}-{uuid.uuid4().hex}"
@@ -53,6 +54,8 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)  # when the driver's JVM ends
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,5 +67,14 @@ def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     return rows
 
 
+def small(df: DataFrame, most: int, what: str) -> DataFrame:
+    """A side to broadcast, once it is known to be small: more than ``most`` rows are an error."""
+    from pyspark.sql.functions import broadcast
+
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"{what}: more than {most} rows")
+    return broadcast(df)
+
+
 def default_parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.sparkContext.defaultParallelism or os.cpu_count() or 1))
