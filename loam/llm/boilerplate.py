@@ -34,7 +34,7 @@ from loam.session import bounded_rows, staged
 
 LOW = 0.55  # branches under this importance are removed
 LEAST_SEEN = 3  # pages that must hold an entry before its own statistics count
-ROLE_LOW, ROLE_SEEN = 0.8, 30
+ROLE_LOW, ROLE_SEEN = 0.8, 100
 
 #: Wording that gives a line its role on a page, in the languages of the corpus.
 ROLES = {
@@ -88,10 +88,10 @@ def entries_of(line: str) -> list[str]:
 
 
 def masked(text: str, names: frozenset[str]) -> str:
-    """Content of a role's line without figures, site names and addresses."""
+    """How a role's line begins, without figures, site names and addresses: notices vary at their ends."""
     text = re.sub(r"\S+@\S+|https?://\S+", "@", text.lower())
     text = re.sub(r"\d+", "0", text)
-    return " ".join(w for w in re.findall(r"[^\W_]+|[©@]", text) if w not in names)[:80]
+    return " ".join([w for w in re.findall(r"[^\W_]+|[©@]", text) if w not in names][:3])
 
 
 def _names(host: str) -> frozenset[str]:

@@ -95,3 +95,15 @@ def test_queries_run(spark, data, name):
     from loam.llm.queries import QUERIES
 
     assert QUERIES[name](spark, data).count() > 0
+
+
+def test_varied_notices_are_furniture_at_any_size(spark):
+    rng = random.Random(9)
+    for pages in (20, 140):
+        rows = []
+        for k in range(pages):
+            notice = f"We use cookies to make this site work {' '.join(rng.choice(WORDS) for _ in range(6))}. Read our cookie policy for details."
+            body = " ".join(rng.choice(WORDS) for _ in range(16)).capitalize() + "."
+            rows.append((f"p{k}", f"h{k % 7}.test/a/{k}.md", f"{notice}\n\n# Title\n\n{body}", [], "x"))
+        got = {tuple(r) for r in furniture_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert got == {(f"p{k}", 0) for k in range(pages)}
