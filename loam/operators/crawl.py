@@ -42,8 +42,9 @@ def dispositions(links: DataFrame, visited: DataFrame, scope: list[str], max_dep
 
     unparseable; asset of another host, asset visited, asset (free of scope and depth); depth; scope; visited; follow.
     ``depth`` is the referrer's. Where several links of one batch name a page, the first is followed.
+    A link listed again (same referrer, depth, place and target) is one link.
     """
-    rows = links.withColumn("url", normalize_url(F.col("href")))
+    rows = links.distinct().withColumn("url", normalize_url(F.col("href")))
     rows = rows.join(visited.select(F.col("url"), F.lit(True).alias("__seen")).distinct(), "url", "left")
     seen = F.coalesce("__seen", F.lit(False))
     asset = is_asset_url(F.col("url"))
@@ -53,9 +54,13 @@ def dispositions(links: DataFrame, visited: DataFrame, scope: list[str], max_dep
         .when(F.col("depth") >= max_depth, "depth").when(~in_scope(F.col("url"), scope), "scope").when(seen, "visited").otherwise("follow")
     )
     rows = rows.withColumn("disposition", why).drop("__seen")
-    first = F.row_number().over(Window.partitionBy("url", "disposition").orderBy("depth", "referrer", "link_pos"))
-    again = F.col("disposition").isin("follow", "asset") & (F.col("__n") > 1)
-    return rows.withColumn("__n", first).withColumn("disposition", F.when(again, "visited").otherwise(F.col("disposition"))).drop("__n")
+    # the first of a page's links is a minimum, so a page that everything links to is no hot window
+    chosen = F.col("disposition").isin("follow", "asset")
+    key = F.struct("depth", "referrer", "link_pos")
+    first = rows.where(chosen).groupBy("url", "disposition").agg(F.min(key).alias("__first"))
+    both = rows.join(first, ["url", "disposition"], "left")
+    again = chosen & (key != F.col("__first"))
+    return both.withColumn("disposition", F.when(again, "visited").otherwise(F.col("disposition"))).drop("__first")
 
 
 def disposition_counts(rows: DataFrame, reasons: list[str], sample: int = 3) -> DataFrame:

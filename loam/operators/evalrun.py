@@ -154,6 +154,7 @@ def row_view(rows: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
 
 def transcripts(turns: DataFrame) -> DataFrame:
     """``(conv_id, transcript, replies)``; ``turns(conv_id, turn, role, source, text)``."""
+    # fixed values: the speakers' tags
     tag = F.when(F.col("source") == "clarifier", "USER (clarifier)").when(F.col("source") == "user", "USER").when(F.col("source") == "error", "EVALRUN").otherwise(F.upper("role"))
     lines = F.array_sort(F.collect_list(F.struct("turn", F.concat(tag, F.lit(": "), "text").alias("line"))))
     replies = F.count_if((F.col("role") == "bot") & F.col("source").isin("bot", "bot_final"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions.text import exam_tell, in_subtree, is_grounded, parent_id, question_id
+from loam.operators.ranking import PER_BLOCK, placed
 from loam.session import bounded_rows, small
 
 PER_RING = 100_000
@@ -115,13 +116,14 @@ def paired(packets: DataFrame, seed: int = 0) -> DataFrame:
     return near.where(F.col("other") != F.col("id")).select("id", "other").unionByName(far)
 
 
-def round_robin(items: DataFrame, personas: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Item i of a kind goes to persona i mod P, in roster order."""
-    roster = personas.select("persona_id", (F.row_number().over(Window.orderBy("pos")) - 1).alias("seat"))  # a roster is a short list
-    people = roster.agg(F.count(F.lit(1)).alias("p"))
-    place = F.row_number().over(Window.partitionBy("kind").orderBy(*(order or ["item"]))) - 1
-    seated = items.withColumn("__i", place).crossJoin(F.broadcast(people)).withColumn("seat", F.pmod("__i", F.greatest("p", F.lit(1))))
-    return seated.join(small(roster, ROSTER, "personas"), "seat", "left").drop("__i", "p", "seat")
+def round_robin(items: DataFrame, personas: DataFrame, pos: str = "item") -> DataFrame:
+    """Item i of a kind, by the number ``pos``, goes to persona i mod P, in roster order."""
+    roster = [r["persona_id"] for r in bounded_rows(personas.orderBy("pos").select("persona_id"), ROSTER, "personas")]
+    if not roster:
+        return items.withColumn("persona_id", F.lit(None).cast("string"))
+    seats = F.array(*[F.lit(p) for p in roster])
+    seated = placed(items, ["kind"], pos, "__i")
+    return seated.withColumn("persona_id", F.element_at(seats, (F.pmod(F.col("__i") - 1, F.lit(len(roster))) + 1).cast("int"))).drop("__i")
 
 
 def matched(items: DataFrame, personas: DataFrame) -> DataFrame:
@@ -152,14 +154,9 @@ def deduplicated(rows: DataFrame, question: str = "question", pos: str = "pos")
     return rows.join(first.select(pos), pos, "left_semi")
 
 
-def numbered(rows: DataFrame, prefix: str = "q", pos: str = "pos", per_block: int = 100_000) -> DataFrame:
-    """Accepted rows with ids in ``pos`` order, numbered by blocks of ``pos`` so that no task sees them all."""
-    blocks = rows.withColumn("__block", F.floor(F.col(pos) / per_block))
-    sizes = blocks.groupBy("__block").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("__block", (F.sum("n").over(Window.orderBy("__block")) - F.col("n")).alias("before"))  # one row per block
-    inside = F.row_number().over(Window.partitionBy("__block").orderBy(pos))
-    out = blocks.withColumn("__i", inside).join(before, "__block")
-    return out.withColumn("question_id", question_id(prefix, F.col("before") + F.col("__i"))).drop("__block", "__i", "before")
+def numbered(rows: DataFrame, prefix: str = "q", pos: str = "pos", per_block: int = PER_BLOCK) -> DataFrame:
+    """Accepted rows with ids in ``pos`` order."""
+    return placed(rows, [], pos, "__i", per_block).withColumn("question_id", question_id(prefix, F.col("__i"))).drop("__i")
 
 
 def selected_personas(personas: DataFrame, flags: list[str]) -> DataFrame:

@@ -369,7 +369,7 @@ def crawl_dispositions(spark: SparkSession, folder: str) -> DataFrame:
 def host_pacing(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
     requests = e.select(F.concat(F.lit("h"), (F.col("user_id") % 40).cast("string")).alias("host"), F.col("event_id").alias("pos"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("arrive_s"), (F.col("value") / 10).alias("took_s"), F.when(F.col("event_type") == "error", 429).otherwise(200).alias("status"), F.lit(30.0).alias("retry_s"))
-    return crawl.paced(requests)
+    return crawl.paced(requests).select("host", "pos", *[F.round(c, 3).alias(c) for c in ("start_s", "wait_s", "next_allowed")])
 
 
 @query
@@ -413,7 +413,7 @@ def paragraph_pick(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def persona_round_robin(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "generated_item").select("item_id", "kind")
-    return evalset.round_robin(items, table(spark, folder, "persona"), ["item_id"]).select("item_id", "persona_id")
+    return evalset.round_robin(items, table(spark, folder, "persona"), "item_id").select("item_id", "persona_id")
 
 
 @query
