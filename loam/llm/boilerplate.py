@@ -4,17 +4,19 @@ Method: site style tree. A page's text is read as a small DOM - blocks of lines,
 (heading, paragraph, list entry, row of entries, link, code, and the role its wording gives it, as a class
 attribute would) and with content. The trees of all pages of a host are merged:
 
-- a *content* leaf (a menu or prompt entry) has importance ``1 - log(f) / log(m)``: 1 - the entropy of its pages,
+- a *content* leaf (a menu or prompt entry, a paragraph or a long list entry) has importance ``1 - log(f) / log(m)``: 1 - the entropy of its pages,
   where f of the host's m distinct pages hold it. What is on one page only is important, what is on all is not;
-- a *presentation* node (a role) has the entropy of its contents over that of its occurrences: a role that says
-  the same few things again and again is unimportant, paragraphs are not;
-- a branch (a block) has the mean importance of its leaves, and is removed if that is low.
+- a *presentation* node (a role) has, on each host, the entropy of its contents over that of its occurrences: a role
+  that says the same few things again and again is unimportant. Few occurrences tell little, so the host's value is
+  averaged with that of all hosts, and that one with 0 (the wording alone), which count as ``PRIOR`` occurrences;
+- a branch (a block) has the mean importance of its leaves, and is removed if that is low; paragraphs, long list
+  entries and rows of entries are branches of their own.
 
 Pages that are copies of each other count as one, so that repeated content does not look like furniture.
 
 Defined results
 - null and blank texts have no lines; lines are counted from 0 after CRLF became LF; blank lines are never cases;
-- headings, paragraphs, tables, code and the heading path that may open a text are never cases;
+- headings, tables, code and the heading path that may open a text are never cases;
 - a chunk id counts once, under the least of its ``kb_path``; a null ``kb_path`` is a host of its own;
 - texts of any length are read whole.
 """
@@ -22,7 +24,6 @@ Defined results
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Iterator
 
@@ -30,11 +31,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.session import bounded_rows, staged
+from loam.session import staged
 
 LOW = 0.55  # branches under this importance are removed
 LEAST_SEEN = 3  # pages that must hold an entry before its own statistics count
-ROLE_LOW, ROLE_SEEN = 0.8, 100
+ROLE_LOW, PRIOR = 0.8, 10
 
 #: Wording that gives a line its role on a page, in the languages of the corpus.
 ROLES = {
@@ -87,11 +88,11 @@ def entries_of(line: str) -> list[str]:
     return [p for p in parts if p]
 
 
-def masked(text: str, names: frozenset[str]) -> str:
-    """How a role's line begins, without figures, site names and addresses: notices vary at their ends."""
+def masked(text: str, names: frozenset[str], words: int | None = 3) -> str:
+    """A line without figures, site names and addresses; of a role's line how it begins: notices vary at their ends."""
     text = re.sub(r"\S+@\S+|https?://\S+", "@", text.lower())
     text = re.sub(r"\d+", "0", text)
-    return " ".join([w for w in re.findall(r"[^\W_]+|[©@]", text) if w not in names][:3])
+    return " ".join([w for w in re.findall(r"[^\W_]+|[©@]", text) if w not in names][:words])
 
 
 def _names(host: str) -> frozenset[str]:
@@ -119,7 +120,7 @@ class Node:
 
 
 def page_nodes(text: str, headings: list[str] | None) -> list[Node]:
-    """The nodes of a page that could be furniture: blocks of short lines, rows, links and lines with a role."""
+    """The nodes of a page that could be furniture: blocks of short lines, rows, links, lines with a role and running text."""
     nodes: list[Node] = []
     lines = text.replace("\r\n", "\n").split("\n")
     path = [h for h in (headings or []) if h and h.strip()]
@@ -185,7 +186,7 @@ def page_nodes(text: str, headings: list[str] | None) -> list[Node]:
             kind = "link" if _LINK.search(line) else "entry" if _MARKER.match(raw) else "plain"
             nodes.append(Node(number, block, kind, None, [bare], line))
         else:
-            nodes.append(Node(number, block, "text", None, [], ""))
+            nodes.append(Node(number, block, "text", None, [], line))
         # short lines and running text are branches of their own, blank line or not
         if len(nodes) > 1 and nodes[-2].block == block and (nodes[-2].kind == "text") != (nodes[-1].kind == "text"):
             block += 1
@@ -210,9 +211,6 @@ def tree_nodes(chunks: DataFrame) -> DataFrame:
             for id_, kb_path, text, headings in zip(batch["id"], batch["kb_path"], batch["text"], batch["headings"]):
                 host = (kb_path or "").split("/")[0]
                 found = page_nodes(text, list(headings) if headings is not None else None)
-                if not any(n.kind != "text" for n in found):
-                    out.append((id_, host, _signature(text), -1, -1, "page", None, None, False))
-                    continue
                 names, page = _names(host), _signature(text)
                 out.append((id_, host, page, -1, -1, "page", None, None, False))
                 for n in found:
@@ -220,7 +218,9 @@ def tree_nodes(chunks: DataFrame) -> DataFrame:
                         content = n.role if n.kind == "listed" else masked(n.text.split(":")[0] if n.role in ("page", "crumb") and ":" in n.text else (re.split(r"[»>›|/·]", n.text)[0] if n.role == "crumb" else n.text), names)
                         out.append((id_, host, page, n.line, n.block, n.kind, n.role, content, False))
                     elif n.kind == "text":
-                        out.append((id_, host, page, n.line, n.block, n.kind, None, None, False))
+                        # marks alone have no words: such a line is its own content
+                        content = masked(_LINK.sub(r"\1", n.text), names, None) or n.text
+                        out.append((id_, host, page, n.line, n.block, n.kind, None, f"{_digest(content):x}", False))
                     else:
                         out.extend((id_, host, page, n.line, n.block, n.kind, None, e, e in LABELS) for e in n.entries)
             yield pd.DataFrame(out, columns=["id", "host", "page", "line_no", "block", "kind", "role", "entry", "label"])
@@ -228,15 +228,14 @@ def tree_nodes(chunks: DataFrame) -> DataFrame:
     return chunks.select("id", "kb_path", "text", "headings").mapInPandas(run, NODES)
 
 
-def role_importance(nodes: DataFrame) -> dict[str, float]:
-    """Entropy of each role's contents over that of its occurrences; one row per role reaches the driver."""
-    per = nodes.where(F.col("role").isNotNull() & (F.col("kind") != "listed")).groupBy("role", "entry").agg(F.count(F.lit(1)).alias("c"))
-    rows = per.groupBy("role").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s"))
-    out = {}
-    for r in bounded_rows(rows, len(ROLES), "roles"):
-        n = r["n"]
-        out[r["role"]] = (math.log(n) - r["s"] / n) / math.log(n) if n >= ROLE_SEEN else 0.0
-    return out
+def role_importance(nodes: DataFrame) -> DataFrame:
+    """``(host, role, importance)``: entropy of the role's contents on the host over that of its occurrences, with all hosts' as prior."""
+    per = nodes.where(F.col("role").isNotNull() & (F.col("kind") != "listed")).groupBy("host", "role", "entry").agg(F.count(F.lit(1)).alias("c"))
+    n, weighed = F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s")
+    entropy = F.when(F.col("n") > 1, 1 - F.col("s") / F.col("n") / F.log("n")).otherwise(F.lit(1.0))
+    toward = lambda prior: (F.col("n") * entropy + PRIOR * prior) / (F.col("n") + PRIOR)
+    wide = per.groupBy("role", "entry").agg(F.sum("c").alias("c")).groupBy("role").agg(n, weighed).select("role", toward(F.lit(0.0)).alias("wide"))
+    return per.groupBy("host", "role").agg(n, weighed).join(F.broadcast(wide), "role").select("host", "role", toward(F.col("wide")).alias("importance"))
 
 
 def entry_importance(nodes: DataFrame) -> DataFrame:
@@ -254,18 +253,18 @@ def furniture_lines(df: DataFrame, id_col: str = "id", path_col: str = "kb_path"
     # equal ids carry equal texts: any row will do for the text, the least path names the host
     chunks = rows.groupBy("id").agg(F.min("kb_path").alias("kb_path"), F.first("text").alias("text"), F.first("headings", ignorenulls=True).alias("headings"))
     nodes = staged(tree_nodes(chunks), "nodes")
-    roles = [r for r, importance in role_importance(nodes).items() if importance < ROLE_LOW]
-    by_role = nodes.where(F.col("role").isin(roles)).select("id", "line_no")
+    roles = role_importance(nodes).where(F.col("importance") < ROLE_LOW).select("host", "role")
+    by_role = nodes.join(roles, ["host", "role"], "left_semi").select("id", "line_no")
     low = entry_importance(nodes)
     leaves = nodes.where(F.col("role").isNull() & (F.col("line_no") >= 0)).join(low, ["host", "entry"], "left")
     importance = F.when(F.col("label"), F.lit(0.0)).otherwise(F.coalesce("importance", F.lit(1.0)))
     lines = leaves.groupBy("id", "block", "line_no").agg(F.first("kind").alias("kind"), F.avg(importance).alias("importance"), F.count(F.lit(1)).alias("entries"))
-    # a branch: the short lines of a block; a row is a branch of its own
+    # a branch: the short lines of a block; rows and running text are branches of their own
     block = lines.groupBy("id", "block").agg(
         F.count(F.lit(1)).alias("lines"), F.sum((F.col("kind") == "text").cast("int")).alias("texts"), F.avg(F.when(F.col("kind") != "text", F.col("importance"))).alias("mean")
     )
-    judged = lines.where(F.col("kind") != "text").join(block, ["id", "block"])
-    row = (F.col("kind") == "row") & (F.col("importance") < LOW)
+    judged = lines.join(block, ["id", "block"])
+    row = F.col("kind").isin("row", "text") & (F.col("importance") < LOW)
     whole = (F.col("texts") == 0) & (F.col("mean") < LOW)
     alone = (F.col("importance") < 0.25) & (F.col("kind").isin("link", "plain"))
     by_entry = judged.where(row | whole | alone).select("id", "line_no")

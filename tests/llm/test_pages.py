@@ -107,3 +107,23 @@ def test_varied_notices_are_furniture_at_any_size(spark):
             rows.append((f"p{k}", f"h{k % 7}.test/a/{k}.md", f"{notice}\n\n# Title\n\n{body}", [], "x"))
         got = {tuple(r) for r in furniture_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
         assert got == {(f"p{k}", 0) for k in range(pages)}
+
+
+def test_repeated_sentences_in_any_language_are_furniture(spark):
+    rng = random.Random(3)
+    body = lambda: " ".join(rng.choice(WORDS) for _ in range(16)).capitalize() + "."
+    notice = "Questo portale conserva piccoli file sul dispositivo {} per ricordare le scelte fatte."
+    rows = [(f"p{k}", f"h{k % 2}.test/a/{k}.md", f"{body()}\n\n{notice.format(k) if k % 2 else body()}", [], "x") for k in range(40)]
+    got = {tuple(r) for r in furniture_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(f"p{k}", 2) for k in range(1, 40, 2)}
+
+
+def test_roles_are_judged_host_by_host(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(80):
+        who = "We" if k % 2 else f"{rng.choice(WORDS)} {rng.choice(WORDS)} {WORDS[k % 12]}{'abcdefg'[k // 12]} and its partners".capitalize()
+        text = f"{who} use cookies for {' '.join(rng.choice(WORDS) for _ in range(6))}.\n\n" + " ".join(rng.choice(WORDS) for _ in range(16)) + "."
+        rows.append((f"p{k}", f"h{k % 2}.test/a/{k}.md", text, [], "x"))
+    got = {tuple(r) for r in furniture_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(f"p{k}", 0) for k in range(1, 80, 2)}
