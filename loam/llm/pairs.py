@@ -72,16 +72,43 @@ def _aligned(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
+def _repeats(asked: list[str], said: list[str]) -> tuple[int, int]:
+    """How often the question is repeated in the reply, and the words left over on both sides, at the fewest left over.
+
+    The question is a ring that the reply is aligned with (wraparound dynamic programming): cost is linear in the reply.
+    """
+    m = len(asked)
+    row = [(j, 0) for j in range(m)]  # by words of the current repeat: words left over, repeats finished
+    for x in said:
+        new = [(cost + 1, done) for cost, done in row]
+        for j in range(m):
+            if asked[j] == x:
+                cost, done = row[j]
+                new[(j + 1) % m] = min(new[(j + 1) % m], (cost, done + (j == m - 1)))
+        for j in [*range(m), *range(m)]:  # a word of the question left out; twice, as the ring closes
+            cost, done = new[j]
+            new[(j + 1) % m] = min(new[(j + 1) % m], (cost + 1, done + (j == m - 1)))
+        row = new
+    return row[0][1], row[0][0]
+
+
 def is_copy(question: str, answer: str) -> bool:
     """Whether the reply is the question and nothing more: once or again, with a label, or with a word or so changed."""
     asked = _WORD.findall(question.lower())
     said = _WORD.findall(_LABEL.sub(" ", answer).lower())
-    if len(asked) < 3 or len(said) < 3 or len(said) > 3 * len(asked) + 6:
+    if len(asked) < 3 or len(said) < 3:
         return False
     spare = max(1, len(asked) // 12)
     times = max(1, round(len(said) / len(asked)))
     if abs(len(said) - times * len(asked)) > spare * times + 1:
         return False
+    if times > 3:
+        words = set(asked)
+        if sum(x not in words for x in said) > spare * times:
+            return False
+        times, left = _repeats(asked, said)
+        more = len(said) - times * len(asked)
+        return left + abs(more) <= 2 * spare * times
     return len(said) - _aligned(said, asked * times) <= spare * times and _aligned(said, asked * times) >= times * (len(asked) - spare)
 
 

@@ -211,3 +211,13 @@ def test_hot_size_is_many_buckets(spark, monkeypatch):
     df = spark.range(2000).selectExpr("id as doc_id", "cast(if(id % 3 = 0, 512, 100 + id % 40) as long) as tokens")
     got = pack.packed(spark, pack.items_of(df, "doc_id", 2048), "doc_id").groupBy("container_id").sum("tokens").collect()
     assert max(r[1] for r in got) <= 2048 and len(got) <= 2000 * 250 / 2048 * 1.2
+
+
+@pytest.mark.parametrize("times", [1, 2, 3, 4, 5, 9, 400])
+def test_a_question_repeated_is_a_copy_however_often(times):
+    question = "Which form do I need for a second parking permit?"
+    assert pairs.is_copy(question, " ".join([question] * times))
+    other = question.replace("second", "third")
+    assert pairs.is_copy(question, " ".join([question, other] * times))
+    assert not pairs.is_copy(question, " ".join([question] * times) + " You need form 12, which the counter on the second floor has" + " and keeps for you" * times)
+    assert not pairs.is_copy(question, " ".join(["Form 12 is for that, and you get it from the counter."] * times))
