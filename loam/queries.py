@@ -375,7 +375,7 @@ def host_pacing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def leaf_collapse(spark: SparkSession, folder: str) -> DataFrame:
     files = _files(spark, folder).select(F.concat("segments", F.array(F.regexp_replace("name", r"\.[^.]*$", ""))).alias("segments"), F.lit("index.md").alias("name"))
-    out = crawl.collapsed(files, 6)
+    out = crawl.collapsed(files)
     return out.select(F.array_join("segments", "/").alias("path"), F.concat_ws("/", F.array_join("new_segments", "/"), "new_name").alias("new_path"))
 
 

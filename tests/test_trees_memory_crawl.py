@@ -201,3 +201,11 @@ def test_names_and_sidecars(spark):
     assert spark.range(1).select(sidecar_of(F.lit("{broken")).alias("s")).first()["s"] is None
     moved = crawl.provenance(spark.createDataFrame([("a/index.md", "u")], "path string, url string"), spark.createDataFrame([("a/index.md", "a.md")], "old_path string, new_path string"))
     assert moved.first()["path"] == "a.md"
+
+
+def test_leaf_collapse_query_takes_every_depth(spark, tmp_path):
+    from loam.queries import QUERIES
+
+    spark.createDataFrame([("h/a/b/c/d/e/f/g.md",), ("h/a/b.md",)], "kb_path string").write.parquet(f"{tmp_path}/manifest_entry.parquet")
+    got = {r["path"]: r["new_path"] for r in QUERIES["leaf_collapse"](spark, str(tmp_path)).collect()}
+    assert got == {"h/a/b/c/d/e/f/g": "h/a/b/c/d/e/f/g.md", "h/a/b": "h/a/b/index.md"}
