@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -103,9 +103,9 @@ def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def role_of(line: str, bare: str) -> str | None:
-    for name, pattern in _ROLE.items():
-        if pattern.match(bare if name not in ("crumb", "page") else re.sub(r"\s+", " ", _LINK.sub(r"\1", line)).strip(" *_#")):
+def role_of(line: str, bare: str, among: Iterable[str] = ROLES) -> str | None:
+    for name in among:
+        if _ROLE[name].match(bare if name not in ("crumb", "page") else re.sub(r"\s+", " ", _LINK.sub(r"\1", line)).strip(" *_#")):
             return name
     return None
 

@@ -221,3 +221,11 @@ def test_a_question_repeated_is_a_copy_however_often(times):
     assert pairs.is_copy(question, " ".join([question, other] * times))
     assert not pairs.is_copy(question, " ".join([question] * times) + " You need form 12, which the counter on the second floor has" + " and keeps for you" * times)
     assert not pairs.is_copy(question, " ".join(["Form 12 is for that, and you get it from the counter."] * times))
+
+
+def test_lines_with_a_role_are_no_sentences_whatever_their_wording_and_length():
+    from loam.llm.subjects import sentences_of
+
+    notices = ["Was this page useful?", "Gala Help is operated by Turent.", "We use coo[kies](/c) on this site.", "This website stores cookies" + " and more of them" * 30 + "."]
+    for notice in notices:
+        assert sentences_of(f"The probe is here.\n\n{notice}\n\nThe lens is there.")[0] == ["The probe is here.", "The lens is there."]
