@@ -209,3 +209,10 @@ def test_leaf_collapse_query_takes_every_depth(spark, tmp_path):
     spark.createDataFrame([("h/a/b/c/d/e/f/g.md",), ("h/a/b.md",)], "kb_path string").write.parquet(f"{tmp_path}/manifest_entry.parquet")
     got = {r["path"]: r["new_path"] for r in QUERIES["leaf_collapse"](spark, str(tmp_path)).collect()}
     assert got == {"h/a/b/c/d/e/f/g": "h/a/b/c/d/e/f/g.md", "h/a/b": "h/a/b/index.md"}
+
+
+def test_catalog_round_trip_of_whole_bodies(spark, data):
+    rows = [tuple(r) for r in spark.read.parquet(f"{data}/packet.parquet").select("id", F.trim(F.regexp_replace("body", r"\s+", " "))).collect()]
+    rows += [("odd.a", "word " * 40 + r"a | b \ c \| d \\ e || f \n g"), ("odd.b", "x" * 500 + "|"), ("odd.c", "word " * 30 + "` <br> [a](b) &amp; * _ #")]
+    df = spark.createDataFrame(rows, "id string, long string").select("id", F.replace("id", F.lit("."), F.lit("/")).alias("path"), F.size(F.split("id", r"\.")).alias("depth"), F.lit("t").alias("title"), "long", F.split("id", r"\.").alias("segments"))
+    assert {(r["id"], r["long"].strip()) for r in tree.parsed_catalog(tree.rendered_catalog(df), "catalog").collect()} == set(rows)
