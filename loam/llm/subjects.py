@@ -1,8 +1,9 @@
 """Subject areas of documents, from weak labels of their sentences.
 
 Method: labelling functions vote on every sentence - the *seed lexicon* of the labelled examples, the *lexicon* that
-the corpus adds to it, the *section* the sentence stands in, the *title* and rest of its document, and the *source*
-and address it came from. A latent-variable model learns how often each function abstains and how often it is right,
+the corpus adds to it, the *section* the sentence stands in (most votes of its paragraph, else its heading), the *title*
+and rest of its document, and the *source* it came from, as a whole string. No function reads addresses: neither host
+and path of the source nor URLs in the text. A latent-variable model learns how often each function abstains and how often it is right,
 without labels, from the counts of all vote patterns of the corpus. A document has the subjects whose posterior
 probabilities add up to at least a quarter of its sentences.
 
