@@ -67,6 +67,14 @@ def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     return rows
 
 
+def bounded_arrow(df: DataFrame, most: int, what: str):
+    """The same as an Arrow table, for results of many rows: rows as objects would take forty times the memory."""
+    table = df.limit(most + 1).toArrow()
+    if table.num_rows > most:
+        raise ValueError(f"{what}: more than {most} rows, though the bound is {most}")
+    return table
+
+
 def small(df: DataFrame, most: int, what: str) -> DataFrame:
     """A side to broadcast, once it is known to be small: more than ``most`` rows are an error."""
     from pyspark.sql.functions import broadcast
