@@ -68,15 +68,21 @@ _ROLE = {name: re.compile(pattern, re.I) for name, pattern in ROLES.items()}
 _FENCE = re.compile(r"\s*(`{3,}|~{3,})")
 _LINK = re.compile(r"\[((?:[^\[\]]|\[[^\[\]]*\])*)\]\([^()\s]*\)")
 _MARKER = re.compile(r"^\s*(?:[-*+•▪◦‣»›>]\s+|\d{1,3}[.)]\s+)")
+_PLAIN = re.compile(r"[^\[\]()*_]*")  # plain ASCII without these has no decoration
 _DECOR = re.compile(r"[▾▸▼►»›☰]|\((?:current|aktuell|actuel|actual)\)|\*\*|__|\[|\]", re.I)
 _ROW = re.compile(r"\s+[|·•›»/]\s+|\s{2,}|\t|\s+–\s+|\s*[|·]\s*")
 
 
 def bare_entry(entry: str) -> str:
     """An entry's wording: no link target, marker, decoration or case."""
-    entry = _LINK.sub(r"\1", entry)
-    entry = _DECOR.sub(" ", _MARKER.sub("", entry))
-    return re.sub(r"\s+", " ", entry).strip(" \t|·*_#:").lower()
+    if "](" in entry:
+        entry = _LINK.sub(r"\1", entry)
+    entry = entry.strip()
+    if not entry[:1].isalpha():
+        entry = _MARKER.sub("", entry)
+    if not (entry.isascii() and _PLAIN.fullmatch(entry)):
+        entry = _DECOR.sub(" ", entry)
+    return " ".join(entry.split()).strip(" \t|·*_#:").lower()
 
 
 def entries_of(line: str) -> list[str]:
