@@ -6,6 +6,7 @@ attribute would) and with content. The trees of all pages of a host are merged:
 
 - a *content* leaf (a menu or prompt entry, a paragraph or a long list entry) has importance ``1 - log(f) / log(m)``: 1 - the entropy of its pages,
   where f of the host's m distinct pages hold it. What is on one page only is important, what is on all is not;
+- a sentence with a role whose opening occurs once among all pages is content: nothing repeats it;
 - a *presentation* node (a role) has, on each host, the entropy of its contents over that of its occurrences: a role
   that says the same few things again and again is unimportant. Few occurrences tell little, so the host's value is
   averaged with that of all hosts, and that one with 0 (the wording alone), which count as ``PRIOR`` occurrences;
@@ -26,6 +27,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from re import _constants as re_constants
+from re import _parser as re_parser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,6 +39,7 @@ from loam.session import staged
 LOW = 0.55  # branches under this importance are removed
 LEAST_SEEN = 3  # pages that must hold an entry before its own statistics count
 ROLE_LOW, PRIOR = 0.8, 10
+WORDS = 6  # what is longer is a sentence, not an entry
 
 #: Wording that gives a line its role on a page, in the languages of the corpus.
 ROLES = {
@@ -70,6 +74,9 @@ _LINK = re.compile(r"\[((?:[^\[\]]|\[[^\[\]]*\])*)\]\([^()\s]*\)")
 _MARKER = re.compile(r"^\s*(?:[-*+•▪◦‣»›>]\s+|\d{1,3}[.)]\s+)")
 _PLAIN = re.compile(r"[^\[\]()*_]*")  # plain ASCII without these has no decoration
 _DECOR = re.compile(r"[▾▸▼►»›☰]|\((?:current|aktuell|actuel|actual)\)|\*\*|__|\[|\]", re.I)
+_ADDRESSES = re.compile(r"\S+@\S+|https?://\S+")
+_DIGITS, _PARTS = re.compile(r"\d+"), re.compile(r"[^\W_]+|[©@]")
+_ROWISH = re.compile(r"[|·•›»/–\t]|\s\s")  # a line without these is no row
 _ROW = re.compile(r"\s+[|·•›»/]\s+|\s{2,}|\t|\s+–\s+|\s*[|·]\s*")
 
 
@@ -87,6 +94,8 @@ def bare_entry(entry: str) -> str:
 
 def entries_of(line: str) -> list[str]:
     """The entries of a row, or the line as one entry."""
+    if not _ROWISH.search(line):
+        return [bare] if (bare := bare_entry(line)) else []
     text = _LINK.sub(r"\1", line).strip()
     parts = [bare_entry(p) for p in _ROW.split(text)]
     if text.startswith(("»", "›")):
@@ -96,9 +105,11 @@ def entries_of(line: str) -> list[str]:
 
 def masked(text: str, names: frozenset[str], words: int | None = 3) -> str:
     """A line without figures, site names and addresses; of a role's line how it begins: notices vary at their ends."""
-    text = re.sub(r"\S+@\S+|https?://\S+", "@", text.lower())
-    text = re.sub(r"\d+", "0", text)
-    return " ".join([w for w in re.findall(r"[^\W_]+|[©@]", text) if w not in names][:words])
+    text = text.lower()
+    if "@" in text or "://" in text:
+        text = _ADDRESSES.sub("@", text)
+    found = ["0" if w.isdecimal() else _DIGITS.sub("0", w) if not w.isalpha() else w for w in _PARTS.findall(text)]
+    return " ".join([w for w in found if w not in names][:words])
 
 
 def _names(host: str) -> frozenset[str]:
@@ -109,6 +120,63 @@ def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _folded(text: str) -> str:
+    """Lower case in which letters that patterns take for others, whatever their case, are those others."""
+    return text.lower().replace("\u017f", "s").replace("i\u0307", "i")
+
+
+def needed_words(items) -> frozenset[str] | None:
+    """Of a parsed pattern, pieces of words of which each match holds one at least; None if there are no such pieces."""
+    found: list[frozenset[str]] = []
+    run = ""
+    for op, value in [*items, (None, None)]:
+        if op is re_constants.LITERAL and chr(value).isalnum() or op is re_constants.LITERAL and value in _MARKS:
+            run += chr(value).lower()
+            continue
+        if run:
+            found.append(frozenset([run]))
+        run, inner = "", None
+        if op is re_constants.SUBPATTERN:
+            inner = needed_words(value[-1])
+        elif op is re_constants.BRANCH:
+            each = [needed_words(x) for x in value[1]]
+            inner = frozenset().union(*each) if None not in each else None
+        elif op in (re_constants.MAX_REPEAT, re_constants.MIN_REPEAT) and value[0] > 0:
+            inner = needed_words(value[2])
+        if inner:
+            found.append(inner)
+    return max(found, key=lambda words: (min(map(len, words)), -len(words)), default=None)
+
+
+_MARKS = frozenset(map(ord, "©@()"))
+#: Pieces of wording and the roles whose lines hold them: each line with a role holds one of its role's. Only lines that
+#: do are matched. A role without pieces is always tried, and so are all where a link (its brackets go first) may join some.
+_ROLE_HINTS: dict[str, set[str]] = {"](": set(ROLES)}
+for _name, _pattern in ROLES.items():
+    for _piece in needed_words(re_parser.parse(_pattern, re.I)) or [""]:
+        _ROLE_HINTS.setdefault(_piece, set()).add(_name)
+
+
+class _Hinted(dict[str, frozenset[str]]):
+    """The roles that a word without blanks hints at; words are remembered up to a fixed number."""
+
+    def __missing__(self, word: str) -> frozenset[str]:
+        if len(self) > 500_000:
+            self.clear()
+        roles = frozenset().union(*(roles for piece, roles in _ROLE_HINTS.items() if piece in word))
+        self[word] = roles
+        return roles
+
+
+_HINTED = _Hinted()
+
+
+def hinted(line: str) -> list[str]:
+    """The roles whose pieces a line holds, in their order: no other can be its role."""
+    found = frozenset().union(*map(_HINTED.__getitem__, _folded(line).split()))
+    return [name for name in ROLES if name in found] if found else []
+
+
 def role_of(line: str, bare: str, among: Iterable[str] = ROLES) -> str | None:
     for name in among:
         if _ROLE[name].match(bare if name not in ("crumb", "page") else re.sub(r"\s+", " ", _LINK.sub(r"\1", line)).strip(" *_#")):
@@ -155,7 +223,8 @@ def page_nodes(text: str, headings: list[str] | None) -> list[Node]:
         at_start = False
         bare = bare_entry(line)
         heading = line.startswith("#")
-        role = role_of(line, bare) if len(line) <= 400 else None
+        roles = hinted(line)
+        role = role_of(line, bare, roles) if roles else None
         if heading:
             branch = None
             if role == "related":
@@ -188,7 +257,7 @@ def page_nodes(text: str, headings: list[str] | None) -> list[Node]:
             continue
         if len(entries) >= 2 and all(len(e) <= 40 for e in entries):
             nodes.append(Node(number, block, "row", None, entries, line))
-        elif short and len(bare) <= 45 and len(bare.split()) <= 6:
+        elif short and len(bare) <= 45 and len(bare.split()) <= WORDS:
             kind = "link" if _LINK.search(line) else "entry" if _MARKER.match(raw) else "plain"
             nodes.append(Node(number, block, kind, None, [bare], line))
         else:
@@ -205,7 +274,7 @@ def _signature(text: str) -> int:
     return min((_digest(x) for x in text.split("\n") if len(x) > 80), default=_digest(text))
 
 
-NODES = "id string, host string, page long, line_no int, block int, kind string, role string, entry string, label boolean"
+NODES = "id string, host string, page long, line_no int, block int, kind string, role string, entry string, label boolean, sentence boolean"
 
 
 def tree_nodes(chunks: DataFrame) -> DataFrame:
@@ -218,18 +287,19 @@ def tree_nodes(chunks: DataFrame) -> DataFrame:
                 host = (kb_path or "").split("/")[0]
                 found = page_nodes(text, list(headings) if headings is not None else None)
                 names, page = _names(host), _signature(text)
-                out.append((id_, host, page, -1, -1, "page", None, None, False))
+                out.append((id_, host, page, -1, -1, "page", None, None, False, False))
                 for n in found:
                     if n.role is not None:
                         content = n.role if n.kind == "listed" else masked(n.text.split(":")[0] if n.role in ("page", "crumb") and ":" in n.text else (re.split(r"[»>›|/·]", n.text)[0] if n.role == "crumb" else n.text), names)
-                        out.append((id_, host, page, n.line, n.block, n.kind, n.role, content, False))
+                        sentence = n.kind == "line" and len(n.text.split()) > WORDS and n.text[-1] in ".!?" and n.role != "copyright"
+                        out.append((id_, host, page, n.line, n.block, n.kind, n.role, content, False, sentence))
                     elif n.kind == "text":
                         # marks alone have no words: such a line is its own content
                         content = masked(_LINK.sub(r"\1", n.text), names, None) or n.text
-                        out.append((id_, host, page, n.line, n.block, n.kind, None, f"{_digest(content):x}", False))
+                        out.append((id_, host, page, n.line, n.block, n.kind, None, f"{_digest(content):x}", False, False))
                     else:
-                        out.extend((id_, host, page, n.line, n.block, n.kind, None, e, e in LABELS) for e in n.entries)
-            yield pd.DataFrame(out, columns=["id", "host", "page", "line_no", "block", "kind", "role", "entry", "label"])
+                        out.extend((id_, host, page, n.line, n.block, n.kind, None, e, e in LABELS, False) for e in n.entries)
+            yield pd.DataFrame(out, columns=["id", "host", "page", "line_no", "block", "kind", "role", "entry", "label", "sentence"])
 
     return chunks.select("id", "kb_path", "text", "headings").mapInPandas(run, NODES)
 
@@ -260,7 +330,10 @@ def furniture_lines(df: DataFrame, id_col: str = "id", path_col: str = "kb_path"
     chunks = rows.groupBy("id").agg(F.min("kb_path").alias("kb_path"), F.first("text").alias("text"), F.first("headings", ignorenulls=True).alias("headings"))
     nodes = staged(tree_nodes(chunks), "nodes")
     roles = role_importance(nodes).where(F.col("importance") < ROLE_LOW).select("host", "role")
-    by_role = nodes.join(roles, ["host", "role"], "left_semi").select("id", "line_no")
+    # a sentence whose opening no other line of any page has is its page's own, whatever its wording
+    own = nodes.where(F.col("role").isNotNull() & (F.col("kind") == "line")).groupBy("role", "entry").agg(F.count(F.lit(1)).alias("lines"), F.bool_and("sentence").alias("sentence"))
+    own = own.where("sentence and lines = 1").select("role", "entry", F.lit(True).alias("sentence"))
+    by_role = nodes.join(roles, ["host", "role"], "left_semi").join(own, ["role", "entry", "sentence"], "left_anti").select("id", "line_no")
     low = entry_importance(nodes)
     leaves = nodes.where(F.col("role").isNull() & (F.col("line_no") >= 0)).join(low, ["host", "entry"], "left")
     importance = F.when(F.col("label"), F.lit(0.0)).otherwise(F.coalesce("importance", F.lit(1.0)))

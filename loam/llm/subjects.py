@@ -25,8 +25,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from re import _constants as re_constants
-from re import _parser as re_parser
 
 import numpy as np
 import pandas as pd
@@ -34,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.boilerplate import ROLES, bare_entry, role_of
+from loam.llm.boilerplate import bare_entry, hinted, role_of
 from loam.session import bounded_arrow, bounded_rows, staged
 
 BITS, SOURCES, ADDRESSES, SHARE = 18, 4096, 16384, 0.25
@@ -45,61 +43,13 @@ _CJK = re.compile(r"[一-鿿぀-ヿ가-힯]")
 _SPLIT = re.compile(r"(?<=[.!?。])\s+")
 _ENDS = re.compile(r"[.!?。！？…][\"'”»)*_]*$")
 _LEAD = re.compile(r"^(?:#{1,6}\s+|[-*+•>]\s+|\d{1,3}[.)]\s+|\*\*)?(?:(?:user|assistant|system|q|a|question|answer|frage|antwort|pregunta|respuesta|réponse)\s*:\s*)?", re.I)
-def needed_words(items) -> frozenset[str] | None:
-    """Of a parsed pattern, pieces of words of which each match holds one at least; None if there are no such pieces."""
-    found: list[frozenset[str]] = []
-    run = ""
-    for op, value in [*items, (None, None)]:
-        if op is re_constants.LITERAL and chr(value).isalnum() or op is re_constants.LITERAL and value in _MARKS:
-            run += chr(value).lower()
-            continue
-        if run:
-            found.append(frozenset([run]))
-        run, inner = "", None
-        if op is re_constants.SUBPATTERN:
-            inner = needed_words(value[-1])
-        elif op is re_constants.BRANCH:
-            each = [needed_words(x) for x in value[1]]
-            inner = frozenset().union(*each) if None not in each else None
-        elif op in (re_constants.MAX_REPEAT, re_constants.MIN_REPEAT) and value[0] > 0:
-            inner = needed_words(value[2])
-        if inner:
-            found.append(inner)
-    return max(found, key=lambda words: (min(map(len, words)), -len(words)), default=None)
-
 
 _ADDRESS = re.compile(r"[a-z][a-z0-9+.-]*://[^\s<>\"'()\[\]]+", re.I)
 _ADDRESS_PARTS = frozenset("www http https com org net html htm php pdf index".split())
 _ROWS = 4000  # documents that a worker looks at together
-_MARKS = frozenset(map(ord, "©@()"))
-#: Pieces of wording and the roles whose lines hold them: each line with a role holds one of its role's. Only lines that
-#: do are matched. A role without pieces is always tried, and so are all where a link (its brackets go first) may join some.
-_ROLE_HINTS: dict[str, set[str]] = {"](": set(ROLES)}
-for _name, _pattern in ROLES.items():
-    for _piece in needed_words(re_parser.parse(_pattern, re.I)) or [""]:
-        _ROLE_HINTS.setdefault(_piece, set()).add(_name)
-
-
-class _Hinted(dict[str, frozenset[str]]):
-    """The roles that a word without blanks hints at; words are remembered up to a fixed number."""
-
-    def __missing__(self, word: str) -> frozenset[str]:
-        if len(self) > 500_000:
-            self.clear()
-        roles = frozenset().union(*(roles for piece, roles in _ROLE_HINTS.items() if piece in word))
-        self[word] = roles
-        return roles
-
-
-_HINTED = _Hinted()
 FUNCTIONS = ("seed", "lexicon", "section", "address", "source")
 
 
-def _folded(text: str) -> str:
-    """Lower case in which letters that patterns take for others, whatever their case, are those others."""
-    return text.lower().replace("\u017f", "s").replace("i\u0307", "i")
-
-
 def sentences_of(text: str) -> tuple[list[str], list[int], list[int], list[str]]:
     """Sentences of a document's own text, the section and paragraph of each, and the heading of each section."""
     sentences, sections, paragraphs, headings = [], [], [], [""]
@@ -117,7 +67,7 @@ def sentences_of(text: str) -> tuple[list[str], list[int], list[int], list[str]]
             continue
         if not ends and (len(line) < 60 or ". " not in line):
             continue
-        roles = frozenset().union(*map(_HINTED.__getitem__, _folded(line).split()))
+        roles = hinted(line)
         if roles and role_of(line, bare_entry(line), roles):
             continue
         if line[0] in "#-*+•>0123456789" or ":" in line[:20]:

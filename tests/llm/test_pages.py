@@ -127,3 +127,17 @@ def test_roles_are_judged_host_by_host(spark):
         rows.append((f"p{k}", f"h{k % 2}.test/a/{k}.md", text, [], "x"))
     got = {tuple(r) for r in furniture_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(f"p{k}", 0) for k in range(1, 80, 2)}
+
+
+def test_sentences_of_a_page_alone_are_content_whatever_their_wording(spark):
+    only = "Your privacy matters when you choose a provider for the orbit archive.\n\nWe set up a small files experiment and store cookies in a glass jar."
+    rows = [("u", "solo.test/a", only, [])] + [(f"n{k}", "shop.test/a", f"The {WORDS[k]} near the {WORDS[k + 5]} is clean and stays where it was.\n\nWe use cookies to measure the audience of this service.", []) for k in range(5)]
+    got = {tuple(r) for r in furniture_lines(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()}
+    assert got == {(f"n{k}", 2) for k in range(5)}
+
+
+def test_an_address_names_the_subject():
+    from loam.llm.subjects import address_words
+
+    assert address_words("www.gala.example/law/courts", "See https://help.test/law/judges.html?x=1 or so.") == ["gala", "example", "law", "courts", "help", "test", "judges"]
+    assert address_words(None, "") == []
