@@ -30,6 +30,7 @@ from loam.session import bounded_rows
 
 CAPACITY = 2048
 ROWS_PER_BUCKET = 50_000
+RUNS_PER_SIZE = 64
 
 
 @dataclass
@@ -187,6 +188,8 @@ def packed(spark: SparkSession, items: DataFrame, id_col: str, capacity: int = C
     inside = F.row_number().over(Window.partitionBy("tokens", "__b").orderBy(F.xxhash64(id_col, "piece_no"), id_col, "piece_no")) - 1
     ranked = bucketed.withColumn("__in", inside).join(before, ["tokens", "__b"]).withColumn("__rank", F.col("__before") + F.col("__in"))
     # the plan has a few runs per size, whatever the corpus holds
+    if len(plan.runs) > RUNS_PER_SIZE * capacity:
+        raise ValueError(f"a plan of {len(plan.runs)} runs is too large to send to every executor")
     runs = spark.createDataFrame(plan.runs or [(0, 0, 0, 0, 1)], "tokens long, __first long, __last long, __container long, __per long")
     placed = ranked.join(F.broadcast(runs), "tokens").where((F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__last")))
     container = F.col("__container") + F.expr("(__rank - __first) div __per")

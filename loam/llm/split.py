@@ -171,13 +171,20 @@ def _cutter(limit: int, overlap: int):
     return spans
 
 
-def split_oversized(df: DataFrame, id_col: str = "id", text_col: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, keep: tuple[str, ...] = ()) -> DataFrame:
+def split_oversized(df: DataFrame, id_col: str = "id", text_col: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, keep: tuple[str, ...] = (), latest: str | None = None) -> DataFrame:
     """One row per distinct oversized id: ``(id, <keep>, text, cut, pieces)``.
 
-    Only oversized rows leave the scan, and they are made distinct before Python sees them.
+    Only oversized rows leave the scan, and they are made distinct before Python sees them. The kept columns are those
+    of one row of the id: of the rows with most of them filled the one with the greatest ``latest``, then the greatest
+    values, so that the choice does not depend on the order of rows.
     """
-    long = df.select(F.col(id_col).alias("id"), _normal(F.col(text_col)).alias("text"), *[F.col(c) for c in keep]).where(F.length("text") > limit)
-    distinct = long.dropDuplicates(["id"])
+    long = df.select(F.col(id_col).alias("id"), _normal(F.col(text_col)).alias("text"), *[F.col(c) for c in keep], *([F.col(latest).alias("__latest")] if latest else [])).where(F.length("text") > limit)
+    if keep:
+        filled = sum((F.col(c).isNotNull().cast("int") for c in keep[1:]), F.col(keep[0]).isNotNull().cast("int"))
+        best = F.struct(filled.alias("__filled"), *([F.col("__latest")] if latest else []), *keep)
+        distinct = long.groupBy("id").agg(F.first("text").alias("text"), F.max(best).alias("__best")).select("id", "text", *[F.col("__best")[c].alias(c) for c in keep])
+    else:
+        distinct = long.dropDuplicates(["id"])
     cut = distinct.withColumn("__spans", _cutter(limit, overlap)("text"))
     return cut.select("id", *keep, "text", F.col("__spans.cut").alias("cut"), F.col("__spans.pieces").alias("pieces"))
 

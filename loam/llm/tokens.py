@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 #: Where the public vocabulary lies; a parameter of every operator here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
-_WORDS_KEPT, _LONGEST_KEPT = 400_000, 40
+_WORDS_KEPT, _CHARS_KEPT = 400_000, 8_000_000  # of words remembered, and of their characters together
 #: The white space of the public pattern, and the pattern.
 _WS = r"\t-\r \x85\xa0  -     　"
 _CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d"
@@ -74,6 +74,7 @@ class Encoder:
 
     def _reset(self) -> None:
         self.code: dict[str, int] = {}
+        self.chars = 0
         self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.int32), 0
 
@@ -147,6 +148,7 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         found = self.decided(words)
+        self.chars += sum(map(len, words))
         first, total = len(self.code), sum(map(len, found))
         while first + len(words) > len(self.starts):
             self.starts, self.sizes = np.concatenate((self.starts, np.zeros_like(self.starts))), np.concatenate((self.sizes, np.zeros_like(self.sizes)))
@@ -160,7 +162,7 @@ class Encoder:
 
     def _codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The code of every word of the texts, one after the other, and the number of words of each text."""
-        if len(self.code) > _WORDS_KEPT:
+        if len(self.code) > _WORDS_KEPT or self.chars > _CHARS_KEPT:
             self._reset()
         cut = [words_of(t) for t in texts]
         fresh = {w for words in cut for w in words if w not in self.code}
@@ -237,6 +239,20 @@ def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
+def decoded(ids: DataFrame, id_col: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
+    """``(id_col, text)`` of ``(id_col, ids)``: null ids give null. A map over the rows."""
+    held = ids.sparkSession.sparkContext.broadcast(_vocabulary(vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = encoder(held.value).tokens
+        for batch in batches:
+            texts = [None if row is None else b"".join(map(tokens.__getitem__, row)).decode("utf-8") for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
+
+    kind = ids.schema[id_col].dataType.simpleString()
+    return ids.select(F.col(id_col), F.col("ids")).mapInArrow(run, f"`{id_col}` {kind}, text string")
+
+
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``(id_col, tokens)``: every row's number of ids; 0 for null and empty texts."""
     held = df.sparkSession.sparkContext.broadcast(_vocabulary(vocabulary))
