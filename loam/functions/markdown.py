@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What counts as a feature of a page.
 FEATURES = {
     "headings": r"(?md)(^#{1,6} )", "tables": r"(?md)(^\|[- :|]+\|[ \t]*$)", "links": r"((?<!!)\[[^\]]*\]\([^)]*\))", "images": r"(!\[[^\]]*\]\([^)]*\))",
 }
@@ -40,6 +41,7 @@ def with_title(md: Column, title: Column) -> Column:
 def with_table_delimiters(md: Column) -> Column:
     """A delimiter row under the first row of each run of table rows that lacks one."""
     lines = F.split(md, "\n")
+    # fixed values: a row and a delimiter row
     row, delimiter = r"^\s*\|.*\|\s*$", r"^\s*\|(?:\s*:?-+:?\s*\|)+\s*$"
 
     def fixed(line: Column, i: Column) -> Column:
@@ -72,8 +74,8 @@ def rewritten_images(md: Column, folder: str = "assets") -> Column:
 
 
 def referenced_images(md: Column, images: Column) -> Column:
-    """Those of ``ARRAY<STRUCT<remote,local>>`` whose local name some reference still has."""
-    return F.filter(images, lambda i: md.rlike(F.concat(F.lit(r"\]\([^)]*\Q"), i["local"], F.lit(r"\E"))))
+    """Those of ``ARRAY<STRUCT<remote,local>>`` whose local name is the target of some reference, alone or before a title."""
+    return F.filter(images, lambda i: md.rlike(F.concat(F.lit(r"\]\(\s*\Q"), i["local"], F.lit(r"\E[\s)\"]"))))
 
 
 def link_slugs(md: Column) -> Column:

@@ -98,6 +98,17 @@ def in_subtree(id_: Column, topic: Column) -> Column:
     return (id_ == topic) | F.startswith(id_, F.concat(topic, F.lit(".")))
 
 
+def naive_path(id_: Column) -> Column:
+    """The folder a dotted id names if no folder's own name holds a dot."""
+    return F.replace(id_, F.lit("."), F.lit("/"))
+
+
+def loaded_json(text: Column) -> Column:
+    """A model's arguments as an object's text; what is no JSON object becomes ``{}``."""
+    bare = F.trim(F.coalesce(text, F.lit("")))
+    return F.when(bare.rlike(r"(?s)^\{.*\}$") & F.from_json(bare, "map<string,string>").isNotNull(), bare).otherwise("{}")
+
+
 def dotted_id(segments: Column) -> Column:
     return F.array_join(segments, ".")
 
@@ -117,7 +128,7 @@ def question_id(prefix: str, n: Column) -> Column:
 
 
 def truncated(text: Column, limit: int) -> Column:
-    """Cut at the end, saying how much was cut."""
+    """Cut at the end, saying how much was cut. The wording of this note and of the two below."""
     if limit <= 0:
         return text
     note = F.concat(F.lit(f"…[truncated: showing {limit} of "), F.length(text).cast("string"), F.lit(" chars]"))

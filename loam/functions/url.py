@@ -38,6 +38,12 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^@/?#]*@)?([^/?#]*)", 1))
 
 
+def common_host(urls: Column) -> Column:
+    """An aggregate: the one host of a group of URLs, null where there are several or none."""
+    host = F.nullif(host_of(urls), F.lit(""))
+    return F.when(F.min(host) == F.max(host), F.min(host))
+
+
 def path_of(url: Column) -> Column:
     return F.regexp_extract(F.trim(url), _URL, 4)
 

@@ -5,36 +5,44 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.functions.markdown import without_image
 from loam.functions.url import asset_host_allowed, in_scope, is_asset_url, normalize_url
 from loam.session import staged
 
 RETRYABLE = (429, 503)
+HTML_TYPES, PDF_TYPES = ("text/html", "application/xhtml+xml"), ("application/pdf",)
 DELAY_S = 5.0
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int, scope: list[str] | None = None) -> DataFrame:
     """``(url, hop, parent, pos)`` of every page reached within ``depth`` hops, once, at its first discovery.
 
-    ``edges(src, link_pos, href)``, ``seeds(url)``. One join and one anti-join per hop; first means the least hop, then
-    the parent's order, then the link's place. Each hop is a table in the shared folder, so the plan does not grow.
+    ``edges(src, link_pos, href)``, ``seeds(url, pos)``. One join and one anti-join per hop. Pages are discovered as a queue
+    would: seeds by ``pos``, then the links of each page in their order, pages in the order they were discovered in. A
+    page's place in that order is the list of places on the way to it, compared from the left, so no hop is ranked in one
+    task. Where the same way leads to a page twice, the lesser parent counts. Each hop is a table in the shared folder,
+    so the plan does not grow.
     """
-    links = edges.select(normalize_url(F.col("src")).alias("src"), "link_pos", normalize_url(F.col("href")).alias("href"))
+    links = edges.select(normalize_url(F.col("src")).alias("src"), F.col("link_pos").cast("long").alias("link_pos"), normalize_url(F.col("href")).alias("href"))
     if scope:
         links = links.where(in_scope(F.col("href"), scope))
     links = staged(links.groupBy("src", "href").agg(F.min("link_pos").alias("link_pos")), "links")
-    frontier = seeds.select(normalize_url(F.col("url")).alias("url")).distinct().select("url", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("pos"))
+    place = F.col("pos").cast("long") if "pos" in seeds.columns else F.lit(0).cast("long")
+    frontier = seeds.select(normalize_url(F.col("url")).alias("url"), place.alias("p")).groupBy("url").agg(F.min("p").alias("p"))
+    frontier = frontier.select("url", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("pos"), F.array("p").alias("way"))
     seen = frontier = staged(frontier, "hop")
     for hop in range(1, depth + 1):
-        step = frontier.select(F.col("url").alias("src")).join(links, "src").groupBy(F.col("href").alias("url")).agg(F.min(F.struct("src", "link_pos")).alias("f"))
-        fresh = step.join(seen.select("url"), "url", "left_anti").select("url", F.lit(hop).alias("hop"), F.col("f.src").alias("parent"), F.col("f.link_pos").alias("pos"))
-        frontier = staged(fresh, "hop")
+        step = frontier.select(F.col("url").alias("src"), "way").join(links, "src")
+        first = F.min(F.struct(F.concat("way", F.array("link_pos")).alias("way"), "src", "link_pos"))
+        fresh = step.groupBy(F.col("href").alias("url")).agg(first.alias("f")).join(seen.select("url"), "url", "left_anti")
+        frontier = staged(fresh.select("url", F.lit(hop).alias("hop"), F.col("f.src").alias("parent"), F.col("f.link_pos").alias("pos"), F.col("f.way").alias("way")), "hop")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    return seen
+    return seen.drop("way")
 
 
 def dispositions(links: DataFrame, visited: DataFrame, scope: list[str], max_depth: int, extra_hosts: list[str] | None = None) -> DataFrame:
@@ -64,14 +72,47 @@ def dispositions(links: DataFrame, visited: DataFrame, scope: list[str], max_dep
 
 
 def disposition_counts(rows: DataFrame, reasons: list[str], sample: int = 3) -> DataFrame:
-    """Every reason with its count, those of 0 too, largest first then by name, and a sample of links (negative: all)."""
+    """Every reason with its count, those of 0 too, largest first then by name, and the first ``sample`` of its links.
+
+    A negative sample means all: ask for it only where a report is to hold every link. Otherwise each task keeps its
+    first links before anything is gathered.
+    """
     listed = rows.sparkSession.createDataFrame([(r,) for r in reasons], "disposition string")
-    urls = F.array_sort(F.collect_set("url")) if sample < 0 else F.slice(F.array_sort(F.collect_set("url")), 1, max(sample, 0))
-    seen = rows.groupBy("disposition").agg(F.count(F.lit(1)).alias("links"), urls.alias("sample"))
-    both = listed.join(seen, "disposition", "left")
+    counts = rows.groupBy("disposition").agg(F.count(F.lit(1)).alias("links"))
+    both = listed.join(counts, "disposition", "left")
+    if sample:
+        urls = rows.select("disposition", "url").where(F.col("url").isNotNull()).distinct()
+        if sample > 0:
+            urls = urls.withColumn("__n", F.row_number().over(Window.partitionBy("disposition").orderBy("url"))).where(F.col("__n") <= sample)
+        both = both.join(urls.groupBy("disposition").agg(F.array_sort(F.collect_list("url")).alias("sample")), "disposition", "left")
+    else:
+        both = both.withColumn("sample", F.lit(None).cast("array<string>"))
     return both.select("disposition", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("sample", F.array().cast("array<string>")).alias("sample")).orderBy(F.desc("links"), "disposition")
 
 
+def routed(pages: DataFrame) -> DataFrame:
+    """``pages(url, status, content_type, error)`` with ``route``: error, non-2xx, html, pdf (by type or by name) or unsupported-type."""
+    kind = F.lower(F.trim(F.regexp_replace(F.coalesce("content_type", F.lit("")), ";.*$", "")))
+    route = (
+        F.when(F.col("status").isNull(), "error").when(F.col("status") >= 400, "non-2xx").when(kind.isin(*HTML_TYPES), "html")
+        .when(kind.isin(*PDF_TYPES) | F.lower("url").endswith(".pdf"), "pdf").otherwise("unsupported-type")
+    )
+    return pages.withColumn("route", route)
+
+
+def image_kept(size: Column, least: int) -> Column:
+    """Whether an image is large enough; 0 keeps all."""
+    return F.lit(True) if least <= 0 else size >= least
+
+
+def without_small_images(pages: DataFrame, images: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """``pages(page, markdown)`` without references to images under ``least`` bytes, and the ``images(page, name, size)`` that stay."""
+    small = images.where(~image_kept(F.col("size"), least)).groupBy("page").agg(F.array_sort(F.collect_set("name")).alias("__gone"))  # images of one page
+    both = pages.join(small, "page", "left")
+    md = F.aggregate(F.coalesce("__gone", F.array().cast("array<string>")), F.col("markdown"), without_image)
+    return both.withColumn("markdown", md).drop("__gone"), images.where(image_kept(F.col("size"), least))
+
+
 def first_citers(citations: DataFrame) -> DataFrame:
     """The page that owns each asset: the first to cite it by ``visit_order``, then place."""
     n = F.row_number().over(Window.partitionBy("asset").orderBy("visit_order", "link_pos"))
