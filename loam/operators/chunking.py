@@ -127,24 +127,25 @@ def chunks(source: str, markdown: bool = True, target: int = 500, overlap: int =
     return out
 
 
-def chunked(docs: DataFrame, path_col: str = "kb_path", kind_col: str = "source_kind", text_col: str = "text", target: int = 500, overlap: int = 60, est: Callable[[str], int] = rough) -> DataFrame:
-    """``(kb_path, source_kind, chunk_index, text, char_start, char_end, headings, token_estimate)``.
+def chunked(docs: DataFrame, path_col: str = "kb_path", kind_col: str = "source_kind", text_col: str = "text", target: int = 500, overlap: int = 60, est: Callable[[str], int] = rough, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(kb_path, source_kind, chunk_index, text, char_start, char_end, headings, token_estimate, <keep>)``.
 
-    A map over the documents: no shuffle. Null texts have no chunks; an estimator can be injected.
+    A map over the documents: no shuffle. Null texts have no chunks; an estimator can be injected. Columns to keep are
+    carried along with each chunk.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                (path, kind, k, *c.values())
-                for path, kind, text in zip(batch["kb_path"], batch["source_kind"], batch["text"])
+                (path, kind, k, *c.values(), *kept)
+                for path, kind, text, *kept in zip(batch["kb_path"], batch["source_kind"], batch["text"], *[batch[c] for c in keep])
                 for k, c in enumerate(chunks(text, kind in MARKDOWN_KINDS, target, overlap, est) if text else [])
             ]
             if rows:
-                yield pd.DataFrame(rows, columns=["kb_path", "source_kind", "chunk_index", "text", "char_start", "char_end", "headings", "token_estimate"])
+                yield pd.DataFrame(rows, columns=["kb_path", "source_kind", "chunk_index", "text", "char_start", "char_end", "headings", "token_estimate", *keep])
 
-    schema = "kb_path string, source_kind string, chunk_index int, text string, char_start int, char_end int, headings array<string>, token_estimate int"
-    return docs.select(F.col(path_col).cast("string").alias("kb_path"), F.col(kind_col).alias("source_kind"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    schema = "kb_path string, source_kind string, chunk_index int, text string, char_start int, char_end int, headings array<string>, token_estimate int" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col(path_col).cast("string").alias("kb_path"), F.col(kind_col).alias("source_kind"), F.col(text_col).alias("text"), *keep).mapInPandas(run, schema)
 
 
 def register_chunker(spark, name: str = "chunk_document") -> None:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from loam.functions.text import chunk_id, heading_prefix, rough_tokens
 from loam.operators.chunking import chunked
+from loam.session import staged
 
 DIM = 64
 
@@ -66,7 +67,7 @@ def embedded(text: Column, embed: Callable[[list[str]], list[list[float]]] | Non
 def index_rows(files: DataFrame, model: str, target: int = 500, overlap: int = 60, embed=None, now: Column | None = None) -> DataFrame:
     """Index rows of ``files(kb_path, source_kind, text, content_hash)``; images carry their description as text."""
     texts = files.where(F.col("source_kind") != "image")
-    pieces = chunked(texts, target=target, overlap=overlap).join(texts.select("kb_path", "content_hash"), "kb_path")
+    pieces = chunked(texts, target=target, overlap=overlap, keep=("content_hash",))
     images = files.where(F.col("source_kind") == "image").select(
         "kb_path", "source_kind", F.lit(0).alias("chunk_index"), "text", F.lit(0).alias("char_start"), F.lit(0).alias("char_end"),
         F.array().cast("array<string>").alias("headings"), rough_tokens(F.coalesce("text", F.lit(""))).alias("token_estimate"), "content_hash",
@@ -96,7 +97,11 @@ def manifest_rows(files: DataFrame, rows: DataFrame, now: Column | None = None)
 
 
 class IndexStore:
-    """Two Parquet tables under one folder; a version is written beside the old one and takes its place with one rename."""
+    """Two Parquet tables under one folder. Each version has a folder of its own and counts once its mark is there.
+
+    A mark is one small file whose name says it all, ``DONE-<number>-<version>``; the greatest number is the current
+    version. Nothing is renamed or deleted, so a crash at any time leaves the version before.
+    """
 
     TABLES = ("kb", "manifest")
 
@@ -108,15 +113,20 @@ class IndexStore:
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *parts]))
 
+    def _marks(self) -> list[str]:
+        if not self.fs.exists(self._path()):
+            return []
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path()) if s.getPath().getName().startswith("DONE-"))
+
+    def _mark(self, version: str) -> None:
+        marks = self._marks()
+        number = int(marks[-1].split("-")[1]) + 1 if marks else 1
+        self.fs.create(self._path(f"DONE-{number:012d}-{version}"), False).close()
+
     def version(self) -> str | None:
-        pointer = self._path("CURRENT")
-        if not self.fs.exists(pointer):
-            return None
-        stream = self.fs.open(pointer)
-        try:
-            return bytes(b & 0xFF for b in stream.readAllBytes()).decode()
-        finally:
-            stream.close()
+        marks = self._marks()
+        name = marks[-1].split("-", 2)[2] if marks else ""
+        return name if name.startswith("v-") else None
 
     def read(self, table: str) -> DataFrame | None:
         version = self.version()
@@ -127,16 +137,11 @@ class IndexStore:
         version = f"v-{uuid.uuid4().hex}"
         kb.write.parquet(f"{self.folder}/{version}/kb")
         manifest.write.parquet(f"{self.folder}/{version}/manifest")
-        new = self._path(f"CURRENT-{version}")
-        stream = self.fs.create(new, True)
-        stream.write(bytearray(version.encode()))
-        stream.close()
-        self.fs.delete(self._path("CURRENT"), False)
-        self.fs.rename(new, self._path("CURRENT"))
+        self._mark(version)
         return version
 
     def drop(self) -> None:
-        self.fs.delete(self._path("CURRENT"), False)
+        self._mark("none")
 
 
 def run_index(store: IndexStore, files: DataFrame, model: str, prune: bool = False, recreate: bool = False, **options) -> dict[str, int]:
@@ -145,7 +150,7 @@ def run_index(store: IndexStore, files: DataFrame, model: str, prune: bool = Fal
         store.drop()
     old_kb, old_manifest = store.read("kb"), store.read("manifest")
     if old_kb is None:
-        rows = index_rows(files, model, **options)
+        rows = staged(index_rows(files, model, **options), "rows")  # feeds both tables
         store.write(rows, manifest_rows(files, rows))
         return {"new": files.count(), "changed": 0, "unchanged": 0, "removed": 0}
     check_model(old_kb, model)
@@ -153,7 +158,7 @@ def run_index(store: IndexStore, files: DataFrame, model: str, prune: bool = Fal
     counts = {r["state"]: r["n"] for r in diff.groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
     if counts.get("new", 0) + counts.get("changed", 0) + counts.get("removed", 0):
         todo = files.join(diff.where(F.col("state").isin("new", "changed")).select("kb_path"), "kb_path", "left_semi")
-        rows = index_rows(todo, model, **options)
+        rows = staged(index_rows(todo, model, **options), "rows")
         store.write(upserted(old_kb, rows, diff), upserted(old_manifest, manifest_rows(todo, rows), diff))
     return {s: counts.get(s, 0) for s in ("new", "changed", "unchanged", "removed")}
 
