@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,13 +31,15 @@ def build_session(app: str = "loam", master: str | None = None, **conf: str) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a private one only where none is set (tests)."""
+    """The shared folder that the cluster names; a private one only where none is set and all runs on one machine (tests)."""
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if named:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not re.fullmatch(r"local(?:\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors reach")
     own = tempfile.mkdtemp(prefix="loam-checkpoint-")
     spark.sparkContext.setCheckpointDir(f"file://{own}")
     return f"file://{own}"
@@ -86,3 +89,9 @@ def small(df: DataFrame, most: int, what: str) -> DataFrame:
 
 def default_parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.sparkContext.defaultParallelism or os.cpu_count() or 1))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows on all cores, where the scan gives fewer than half as many parts as there are cores (small files)."""
+    cores = default_parallelism(df.sparkSession)
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df

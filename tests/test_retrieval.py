@@ -35,7 +35,7 @@ def test_vectors_against_brute_force(spark):
             best = sorted((round(far(q, v), 9), i) for i, v in rows if v is not None and len(v) == 6 and far(q, v) < math.inf)[:7]
             assert [r["id"] for r in got if r["query_id"] == name] == [i for _, i in best]
     assert retrieval.vector_top_k(df, [], 3).count() == 0
-    blocks = retrieval.vector_top_k_blocks(df, df.where("id < 5").select(F.col("id").alias("query_id"), "vector"), 2, block=2)
+    blocks = retrieval.vector_top_k_blocks(df, df.where("id < 5").select(F.col("id").alias("query_id"), "vector"), 2, block_bytes=96)
     assert blocks.count() == 10
 
 
