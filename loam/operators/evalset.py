@@ -163,8 +163,8 @@ def selected_personas(personas: DataFrame, flags: list[str]) -> DataFrame:
     """A subset in roster order; unknown names are an error that lists them all."""
     if not flags:
         return personas.orderBy("pos")
-    known = {r["persona_id"] for r in personas.select("persona_id").limit(10_001).collect()}
-    missing = [f for f in flags if f not in known]
+    asked = personas.sparkSession.createDataFrame([(i, f) for i, f in enumerate(dict.fromkeys(flags))], "flag int, persona_id string")
+    missing = [r["persona_id"] for r in asked.join(personas, "persona_id", "left_anti").orderBy("flag").collect()]  # no more than were asked for
     if missing:
         raise ValueError(f"unknown personas: {', '.join(missing)}")
-    return personas.where(F.col("persona_id").isin(flags)).orderBy("pos")
+    return personas.join(F.broadcast(asked.select("persona_id")), "persona_id", "left_semi").orderBy("pos")

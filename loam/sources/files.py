@@ -15,10 +15,11 @@ from string import Template
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions.text import source_kind
+from loam.session import staged
 
 ASSETS, ARTEFACT, SIDECAR = "assets", "compiled.md", ".crawl.json"
 MARKER = "<!-- LOAM:COMPILED -->"
@@ -33,29 +34,53 @@ PERSONA_COLUMNS = ("persona_id", "persona_name", "persona_description", "topics"
 # --- files
 
 
+LISTED = "folder string, name string, is_folder boolean"
+
+
+def listed(folders: DataFrame, root: str) -> DataFrame:
+    """``(folder, name, is_folder)`` of what is directly in ``folders(folder)`` under a root that all workers reach."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for folder in batch["folder"]:
+                entries = list(os.scandir(os.path.join(root, folder)))
+                artefact = any(e.name == ARTEFACT for e in entries)
+                out += [(folder, e.name, e.is_dir()) for e in entries if not (artefact and e.is_dir() and e.name == ASSETS)]
+            yield pd.DataFrame(out, columns=["folder", "name", "is_folder"]).astype({"is_folder": bool})
+
+    return folders.select("folder").mapInPandas(run, LISTED)
+
+
 def walk(spark: SparkSession, root: str, images: bool = True, content: bool = True) -> DataFrame:
     """``(kb_path, source_kind, bytes, mtime, content, walk_key)`` of the files to index.
 
-    Hidden and underscored names, which Spark's own listing passes over, are listed too. ``assets`` beside an artefact
-    and artefacts themselves are left out. ``walk_key`` orders files of a folder before its subfolders.
+    Folders are listed by the workers, level by level, each level a table in the shared folder. Hidden and underscored
+    names, which Spark's own listing passes over, are listed too. ``assets`` beside an artefact and artefacts themselves
+    are left out. ``walk_key`` orders files of a folder before its subfolders.
     """
-    paths = []
-    for folder, subfolders, names in os.walk(root):
-        subfolders.sort()
-        if ARTEFACT in names and ASSETS in subfolders:
-            subfolders.remove(ASSETS)
-        paths += [os.path.relpath(os.path.join(folder, n), root) for n in sorted(names) if n not in (ARTEFACT, SIDECAR)]
-    rows = spark.createDataFrame([(p.replace(os.sep, "/"),) for p in paths], "kb_path string")
+    level = spark.createDataFrame([("",)], "folder string")
+    found = None
+    while True:
+        here = staged(listed(level, root), "listed")
+        found = here if found is None else found.unionByName(here)
+        full = F.when(F.col("folder") == "", F.col("name")).otherwise(F.concat_ws("/", "folder", "name"))
+        level = here.where("is_folder").select(full.alias("folder")).repartition(spark.sparkContext.defaultParallelism)
+        if level.isEmpty():
+            break
+    rows = found.where(~F.col("is_folder") & ~F.col("name").isin(ARTEFACT, SIDECAR)).select(full.alias("kb_path"))
     rows = rows.withColumn("source_kind", source_kind(F.col("kb_path"))).where(F.col("source_kind").isNotNull())
     if not images:
         rows = rows.where(F.col("source_kind") != "image")
     rows = rows.withColumn("walk_key", walk_key(F.col("kb_path")))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            stats = [os.stat(os.path.join(root, p)) for p in batch["kb_path"]]
-            data = [open(os.path.join(root, p), "rb").read() if content else None for p in batch["kb_path"]]
-            yield batch.assign(bytes=[s.st_size for s in stats], mtime=[s.st_mtime for s in stats], content=pd.Series(data, dtype=object, index=batch.index))
+        for whole in batches:
+            for k in range(0, len(whole), 100):  # files in memory at a time
+                batch = whole.iloc[k : k + 100]
+                stats = [os.stat(os.path.join(root, p)) for p in batch["kb_path"]]
+                data = [open(os.path.join(root, p), "rb").read() if content else None for p in batch["kb_path"]]
+                yield batch.assign(bytes=[s.st_size for s in stats], mtime=[s.st_mtime for s in stats], content=pd.Series(data, dtype=object, index=batch.index))
 
     return rows.mapInPandas(read, "kb_path string, source_kind string, walk_key array<string>, bytes long, mtime double, content binary")
 
@@ -236,44 +261,49 @@ def write_files(rows: DataFrame, root: str, path: str = "path", text: str = "tex
     return rows.select(F.col(path).alias("p"), F.col(text).alias("t")).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-# --- evaluation files: driver-sized by nature
+# --- evaluation files: one file each, so one task each
 
 
 def read_eval_csv(spark: SparkSession, path: str) -> DataFrame:
     """Rows with ``pos`` in file order, addressed by header; a byte-order mark, quotes and line breaks inside fields are fine.
 
-    Rows without an id are dropped; a score or turn count that is no integer is null; missing required columns are an error.
+    Rows without an id are dropped; a score or turn count that is no integer is null; missing required columns are an
+    error. The file is read by one task, since a line break may stand in a field; nothing passes through the driver.
     """
-    with open(path, encoding="utf-8-sig", newline="") as f:
-        reader = csv.DictReader(f)
-        missing = [c for c in EVAL_COLUMNS if c not in EVAL_OPTIONAL and c not in (reader.fieldnames or [])]
-        if missing:
-            raise ValueError(f"{path}: no column {', '.join(missing)}")
-        rows = []
-        for record in reader:
-            if not (record.get("question_id") or "").strip():
-                continue
-            row: dict[str, Any] = {"pos": len(rows), **{c: record.get(c) or "" for c in EVAL_COLUMNS}}
-            for c in ("score", "turns"):
-                row[c] = int(row[c]) if re.fullmatch(r"\s*[+-]?\d+\s*", row[c]) else None
-            rows.append(row)
-    schema = "pos long, " + ", ".join(f"{c} {'int' if c in ('score', 'turns') else 'string'}" for c in EVAL_COLUMNS)
-    return spark.createDataFrame([tuple(r[c] for c in ("pos", *EVAL_COLUMNS)) for r in rows], schema)
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("maxCharsPerColumn", -1).option("nullValue", "\u0000").option("emptyValue", "")
+    raw = reader.option("inferSchema", False).csv(path)
+    raw = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
+    missing = [c for c in EVAL_COLUMNS if c not in EVAL_OPTIONAL and c not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    number = lambda c: F.when(F.col(c).rlike(r"^\s*[+-]?\d+\s*$"), F.trim(F.col(c)).try_cast("int"))
+    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in raw.columns else F.lit("")
+    columns = [(number(c) if c in raw.columns else F.lit(None).cast("int")).alias(c) if c in ("score", "turns") else text(c).alias(c) for c in EVAL_COLUMNS]
+    rows = raw.withColumn("__at", F.monotonically_increasing_id()).where(F.trim(text("question_id")) != "").select("__at", *columns)
+    return rows.withColumn("pos", (F.row_number().over(Window.orderBy("__at")) - 1).cast("long")).select("pos", *EVAL_COLUMNS)
 
 
 def write_eval_csv(rows: DataFrame, path: str, columns: tuple[str, ...] = EVAL_COLUMNS) -> int:
-    """One file in ``pos`` order with a byte-order mark and LF line ends, in place at once or not at all. Rows are streamed."""
+    """One file in ``pos`` order with a byte-order mark and LF line ends, in place at once or not at all.
+
+    One task streams the sorted rows into the file, in a folder that all workers reach.
+    """
     folder = os.path.dirname(os.path.abspath(path))
-    count = 0
-    with tempfile.NamedTemporaryFile("w", dir=folder, delete=False, encoding="utf-8-sig", newline="") as f:
-        out = csv.writer(f, lineterminator="\n")
-        out.writerow(columns)
-        present = [c for c in columns if c in rows.columns]
-        for record in rows.orderBy("pos").select(*present).toLocalIterator():
-            out.writerow([("" if c not in present or record[c] is None else record[c]) for c in columns])
-            count += 1
-    os.replace(f.name, path)
-    return count
+    present = [c for c in columns if c in rows.columns]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = 0
+        with tempfile.NamedTemporaryFile("w", dir=folder, delete=False, encoding="utf-8-sig", newline="") as f:
+            out = csv.writer(f, lineterminator="\n")
+            out.writerow(columns)
+            for batch in batches:
+                for record in batch.astype(object).to_dict("records"):
+                    out.writerow([("" if c not in present or pd.isna(record[c]) else int(record[c]) if c in ("score", "turns") else record[c]) for c in columns])
+                count += len(batch)
+        os.replace(f.name, path)
+        yield pd.DataFrame({"n": [count]})
+
+    return rows.select("pos", *[c for c in present if c != "pos"]).repartition(1).sortWithinPartitions("pos").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def read_personas(spark: SparkSession, path: str) -> DataFrame:
