@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.text import valid_score
+from loam.operators.calls import clarified, classified, judged
 from loam.operators.evalset import KINDS
+from loam.session import bounded_arrow
 
 NO_PERSONA = "(unattributed)"
 
@@ -56,13 +59,37 @@ def selected_by_ids(rows: DataFrame, spec: str) -> DataFrame:
     backwards = [f"{r['a']}..{r['b']}" for r in named if r["hi"] < r["lo"]]
     if backwards:
         raise ValueError(f"spans that end before they start: {', '.join(backwards)}")
-    inside = F.lit(False)
-    for r in named:
-        inside = inside | F.col("pos").between(r["lo"], r["hi"])
-    hit = rows.where(inside).select("question_id").distinct().withColumn("run", F.lit(True))
+    ranges = F.broadcast(ends.select("lo", "hi"))  # as many rows as the spec has parts
+    hit = rows.select("pos", "question_id").join(ranges, F.col("pos").between(F.col("lo"), F.col("hi")), "left_semi").select("question_id").distinct().withColumn("run", F.lit(True))
     return rows.join(hit, "question_id", "left").withColumn("run", F.coalesce("run", F.lit(False)))
 
 
+def selected(rows: DataFrame, ids: str | None = None, kinds: list[str] | None = None, personas: list[str] | None = None, skip_completed: bool = False) -> DataFrame:
+    """Rows with ``run``. Ids name the rows to run, so a second selector beside them is an error."""
+    given = [name for name, used in (("kinds", kinds), ("personas", personas), ("skip_completed", skip_completed)) if used]
+    if ids is not None:
+        if given:
+            raise ValueError(f"ids cannot be combined with {', '.join(given)}")
+        return selected_by_ids(rows, ids)
+    kept = filtered(rows, kinds, personas, skip_completed).select("pos").withColumn("run", F.lit(True))
+    return rows.join(kept, "pos", "left").withColumn("run", F.coalesce("run", F.lit(False)))
+
+
+def session_id(question_id: Column, shared: str | None = None, seed: int = 0) -> Column:
+    """The session of a row's exchange: one for all if shared, else with the row's id and eight hex digits that a run repeats."""
+    if shared is not None:
+        return F.lit(shared)
+    return F.concat(F.lit("eval-"), question_id, F.lit("-"), F.left(F.sha2(F.concat_ws("|", F.lit(str(seed)), question_id), 256), F.lit(8)))
+
+
+def final_marked(turns: DataFrame) -> DataFrame:
+    """The last bot turn of each conversation has the source ``bot_final``."""
+    last = turns.where(F.col("role") == "bot").groupBy("conv_id").agg(F.max("turn").alias("__last"))
+    both = turns.join(last, "conv_id", "left")
+    final = (F.col("role") == "bot") & (F.col("turn") == F.col("__last"))
+    return both.withColumn("source", F.when(final, "bot_final").otherwise(F.col("source"))).drop("__last")
+
+
 def merged(rows: DataFrame, results: DataFrame, whole_file: bool = True) -> DataFrame:
     """Results on their rows; a row that ran and has none is ``[no_result]``; rows that did not run stay as they are.
 
@@ -179,8 +206,11 @@ def judged_text(turns: DataFrame, ended: DataFrame, scope: str = "conversation")
 EXCHANGE = "question_id string, actual_answer string, score int, remark string, turns int, transcript string, terminated_by string"
 
 
-def exchanged(rows: DataFrame, ask: Callable[[str, list[dict]], str], classify: Callable[[str], str], judge: Callable[[str, str, str], tuple[int | None, str]], clarify: Callable[[str, str], str] | None = None, max_turns: int = 5) -> DataFrame:
-    """Rows run against an injected client: ask, classify, clarify while it asks back, judge. Errors become sentinels, never failures."""
+def exchanged(rows: DataFrame, ask: Callable[[str, list[dict]], str], classify: Callable[[str], str], judge: Callable[[str, str, str, str], str], clarify: Callable[[str, str], str] | None = None, max_turns: int = 5) -> DataFrame:
+    """Rows run against injected clients: ask, classify, clarify while it asks back, judge. Errors become sentinels, never failures.
+
+    Classifier and clarifier are tried twice, the judge three times; what they then fall back on is in ``calls``.
+    """
 
     def one(question: str, expected: str) -> tuple:
         turns: list[dict] = []
@@ -194,16 +224,18 @@ def exchanged(rows: DataFrame, ask: Callable[[str, list[dict]], str], classify:
                 turns.append({"role": "system", "source": "error", "text": answer})
                 break
             turns.append({"role": "bot", "source": "bot", "text": answer})
-            kind = classify(answer)
-            if kind in ("answer", "refusal"):
+            kind, _ = classified(lambda: classify(answer))  # noqa: B023 - called at once
+            if kind != "clarify":
                 ended = kind
                 turns[-1]["source"] = "bot_final"
                 break
-            message = clarify(question, answer) if clarify else question
-        score, remark = judge(question, expected, answer)
-        score = score if isinstance(score, int) and not isinstance(score, bool) and 0 <= score <= 3 else None
+            message = clarified(lambda: clarify(question, answer))[0] if clarify else question  # noqa: B023
+            if not message:
+                ended = "clarify_failed"
+                break
         tags = {"clarifier": "USER (clarifier)", "user": "USER", "error": "EVALRUN"}
         text = "\n\n".join(f"{tags.get(t['source'], t['role'].upper())}: {t['text']}" for t in turns)
+        score, remark = judged(lambda: judge(question, expected, answer, text))
         return answer, score, remark, sum(t["source"] in ("bot", "bot_final") for t in turns), text, ended
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,8 +264,42 @@ def harness_tests(rows: DataFrame) -> DataFrame:
     return rows.select("pos", F.to_json(F.struct(F.struct("question_id", "kind", "persona", "question", "expected_answer").alias("vars"))).alias("test"))
 
 
-def render_report(rows: DataFrame, title: str = "Evaluation", baseline: DataFrame | None = None, most_rows: int = 100_000) -> str:
-    """A self-contained page. The tables it shows are collected; the row table is bounded and says so if it is cut."""
+def harness_config(rows: DataFrame, title: str, provider: str) -> DataFrame:
+    """``(pos, yaml)``: a harness configuration, its head at -1 and one entry for each row; quoted strings are JSON, so YAML.
+
+    Written in ``pos`` order the parts are one file.
+    """
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    named = ("question_id", "kind", "question", "expected_answer")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    entry = F.concat(
+        F.lit("- description: "), quoted(F.concat(text("question_id"), F.lit(" ["), text("kind"), F.lit("]"))), F.lit("\n  vars:"),
+        *[F.concat(F.lit(f"\n    {c}: "), quoted(text(c))) for c in named],
+        F.lit("\n  metadata:"), *[F.concat(F.lit(f"\n    {c}: "), quoted(text(c))) for c in ("kind", "question_id")], F.lit("\n"),
+    )
+    head = f"description: {json.dumps(title, ensure_ascii=False)}\nproviders:\n- {json.dumps('file://' + provider)}\nprompts:\n- '{{{{question}}}}'\ntests:\n"
+    first = rows.sparkSession.createDataFrame([(-1, head)], "pos long, yaml string")
+    return first.unionByName(rows.select(F.col("pos").cast("long").alias("pos"), entry.alias("yaml")))
+
+
+def escaped_html(text: Column) -> Column:
+    out = F.coalesce(text.cast("string"), F.lit("—"))
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(raw), F.lit(safe))
+    return out
+
+
+def report_pages(rows: DataFrame, per_page: int = 1000, columns: tuple[str, ...] = ("question_id", "kind", "persona", "question", "expected_answer", "actual_answer", "score", "remark", "turns")) -> DataFrame:
+    """``(page, rows, html)``: the row table in pages of ``per_page`` places of ``pos``, made by the workers."""
+    cells = [F.concat(F.lit("<td>"), escaped_html(F.col(c)), F.lit("</td>")) for c in columns]
+    shown = rows.select(F.floor(F.col("pos") / per_page).cast("long").alias("page"), "pos", F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("tr"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tr"))), lambda x: x["tr"]), "")  # at most per_page rows
+    head = "<table><thead><tr>" + "".join(f"<th>{c}</th>" for c in columns) + "</tr></thead><tbody>"
+    return shown.groupBy("page").agg(F.count(F.lit(1)).alias("rows"), F.concat(F.lit(head), body, F.lit("</tbody></table>")).alias("html"))
+
+
+def render_report(rows: DataFrame, title: str = "Evaluation", baseline: DataFrame | None = None, most_rows: int = 100_000, most_personas: int = 10_000) -> str:
+    """A self-contained page. Its tables are collected, so more rows or personas than given are an error: use ``report_pages``."""
     import html
 
     def table(frame: pd.DataFrame) -> str:
@@ -245,11 +311,10 @@ def render_report(rows: DataFrame, title: str = "Evaluation", baseline: DataFram
     kinds = by_kind(rows).orderBy("kind_pos").drop("kind_pos").toPandas()
     parts = [f"<h1>{html.escape(title)}</h1>", "<h2>Overall</h2>", table(total), "<h2>By kind</h2>", table(kinds)]
     if not rows.where(F.coalesce(F.trim("persona"), F.lit("")) != "").isEmpty():
-        parts += ["<h2>By persona and kind</h2>", table(persona_kind_grid(rows).orderBy("persona").limit(10_000).toPandas())]
+        parts += ["<h2>By persona and kind</h2>", table(bounded_arrow(persona_kind_grid(rows).orderBy("persona"), most_personas, "personas").to_pandas())]
     if baseline is not None:
         parts += ["<h2>Against the baseline</h2>", table(baseline_by_kind(rows, baseline).orderBy("kind_pos").drop("kind_pos").toPandas())]
-    view = rows.orderBy("pos").select("question_id", "kind", "persona", "question", "expected_answer", "actual_answer", "score", "remark", "turns").limit(most_rows + 1).toPandas()
-    note = f"<p>The first {most_rows} rows.</p>" if len(view) > most_rows else ""
-    parts += ["<h2>Rows</h2>", note, table(view.head(most_rows))]
+    view = rows.orderBy("pos").select("question_id", "kind", "persona", "question", "expected_answer", "actual_answer", "score", "remark", "turns")
+    parts += ["<h2>Rows</h2>", table(bounded_arrow(view, most_rows, "rows of a page").to_pandas())]
     style = "<style>body{font-family:sans-serif}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:4px;vertical-align:top}</style>"
     return "<!doctype html><html><head><meta charset='utf-8'><title>" + html.escape(title) + f"</title>{style}</head><body>" + re.sub(r">\s+<", "><", "".join(parts)) + "</body></html>"

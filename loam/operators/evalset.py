@@ -5,10 +5,17 @@ Choices are by a seeded hash of the ids, so a run can be repeated on any cluster
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loam.functions.text import exam_tell, in_subtree, is_grounded, parent_id, question_id
+from loam.functions.text import EXAM_TELLS, data_url, exam_tell, in_subtree, is_grounded, mime_of, parent_id, question_id
+from loam.operators.calls import json_object
 from loam.operators.ranking import PER_BLOCK, placed
 from loam.session import bounded_rows, small
 
@@ -147,6 +154,122 @@ def first_valid(drafts: DataFrame, key: list[str]) -> DataFrame:
     return drafts.where(F.col("reason").isNull()).withColumn("__n", n).where(F.col("__n") == 1).drop("__n")
 
 
+def framing(name: Column, description: Column) -> Column:
+    """Who asks, as a prompt says it; nothing where nobody is named."""
+    text = F.concat(F.lit("You are "), name, F.lit(". "), F.coalesce(description, F.lit("")))
+    return F.when(name.isNull() | (F.trim(name) == ""), F.lit("")).otherwise(F.trim(text))
+
+
+def image_block(content: Column, name: Column) -> Column:
+    """An image as a message block: its kind and a data address."""
+    return F.struct(F.lit("image_url").alias("type"), data_url(content, mime_of(name)).alias("url"))
+
+
+def stub_draft(kind: str, packet: dict, other: dict | None, picked: list[str], asked_by: str) -> str:
+    """The offline stand-in for a generator: JSON that repeats what the item is grounded in."""
+    return json.dumps({
+        "question": f"What is said about {packet['title']}?", "expected_answer": " ".join(picked), "cited_paragraph_indices": list(range(len(picked))),
+        "cited_packet_ids": [packet["id"], *([other["id"]] if other else [])], "image_reference": (packet["assets"] or [""])[0],
+    }, ensure_ascii=False)
+
+
+GENERATED = "kind string, item int, id string, other string, persona_id string, question string, expected_answer string, attempts int, reason string, error string"
+#: Characters of a packet and of a paragraph that a prompt holds.
+MOST_CONTENT = {"simple": 20_000, "medium": 6_000, "hard-2": 15_000}
+
+
+def generated(slots: DataFrame, packets: DataFrame, generate: Callable[..., str] = stub_draft, attempts: int = 3, seed: int = 0) -> DataFrame:
+    """One draft for each of ``slots(kind, item, ids, other, persona_id, framing)``, tried up to ``attempts`` times.
+
+    ``ids`` are packets in the order they are tried: content that a persona would not ask about is left for the next one,
+    any other fault is tried again. A draft's checks are those of its kind: two texts, three paragraphs cited, both
+    packets cited, an image named; exam framing counts only where somebody asks. ``generate(kind, packet, other, picked,
+    framing)`` gives a model's JSON. A slot without a sound draft keeps its reason: no_eligible_packet,
+    persona_content_mismatch, exam_framing or validation_failed_or_llm_error.
+    """
+    body = F.struct("id", "title", "body", "paragraphs", "assets")
+    wanted = slots.select("kind", "item", "other", "persona_id", "framing", F.posexplode_outer("ids").alias("try_no", "id"))
+    held = packets.select("id", body.alias("packet"))
+    tries = wanted.join(held, "id", "left").groupBy("kind", "item", "other", "persona_id", "framing").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("packet").isNotNull(), F.struct("try_no", "packet")))), lambda x: x["packet"]).alias("packets"))  # as many as attempts
+    both = tries.join(held.select(F.col("id").alias("other"), F.col("packet").alias("second")), "other", "left")
+
+    def chosen(packet: dict, n: int) -> list[str]:
+        texts = list(packet["paragraphs"] if packet["paragraphs"] is not None else [])
+        order = sorted(range(len(texts)), key=lambda i: (hashlib.sha256(f"{seed}|{packet['id']}|{i}".encode()).hexdigest(), i))
+        return [texts[i] for i in sorted(order[:n])]
+
+    def grounding(kind: str, packet: dict, other: dict | None) -> list[str] | None:
+        if kind in ("simple", "hard-2"):
+            return None if kind == "hard-2" and not len(packet["assets"] if packet["assets"] is not None else []) else [(packet["body"] or "")[: MOST_CONTENT[kind]]]
+        own = len(packet["paragraphs"] if packet["paragraphs"] is not None else [])
+        if kind == "medium":
+            return [p[: MOST_CONTENT[kind]] for p in chosen(packet, 1)] or None
+        if kind == "complex":
+            return chosen(packet, 3) if own >= 3 else None
+        if other is None:
+            return None
+        theirs = len(other["paragraphs"] if other["paragraphs"] is not None else [])
+        take_a = min(2, own)
+        take_b = min(3 - take_a, theirs)
+        take_a = min(3 - take_b, own) if take_a + take_b < 3 else take_a
+        return [*chosen(packet, take_a), *chosen(other, take_b)] if take_a + take_b >= 3 else None
+
+    def fault(kind: str, data: dict, packet: dict, other: dict | None, asked_by: str) -> tuple[str, str]:
+        if str(data.get("persona_mismatch") or "").strip():
+            return "persona_content_mismatch", str(data["persona_mismatch"]).strip()
+        question = str(data.get("question") or "").strip()
+        if not question or not str(data.get("expected_answer") or "").strip():
+            return "validation_failed_or_llm_error", "missing question or expected_answer"
+        if kind == "complex" and len({i for i in data.get("cited_paragraph_indices") or [] if isinstance(i, int)}) < 3:
+            return "validation_failed_or_llm_error", "fewer than three paragraphs cited"
+        if kind == "hard-1" and not {packet["id"], other["id"]} <= set(data.get("cited_packet_ids") or []):
+            return "validation_failed_or_llm_error", "not both packets cited"
+        if kind == "hard-2" and not str(data.get("image_reference") or "").strip():
+            return "validation_failed_or_llm_error", "no image named"
+        tell = next((reason for reason, pattern in EXAM_TELLS.items() if re.search(pattern, question)), None) if asked_by else None
+        return ("exam_framing", tell) if tell else ("", "")
+
+    def one(kind: str, found: list[dict], other: dict | None, asked_by: str) -> tuple:
+        at, reason, error, made = 0, "no_eligible_packet", "", 0
+        while made < attempts and at < len(found):
+            packet = found[at]
+            picked = grounding(kind, packet, other)
+            made += 1
+            if picked is None:
+                reason, error, at = "validation_failed_or_llm_error", "the packet cannot carry this kind", at + 1
+                continue
+            try:
+                data = json_object(generate(kind, packet, other, picked, asked_by)) or {}
+                reason, error = fault(kind, data, packet, other, asked_by)
+            except Exception as wrong:  # noqa: BLE001 - a failed call is an attempt
+                data, reason, error = {}, "validation_failed_or_llm_error", f"{type(wrong).__name__}: {wrong}"
+            if not reason:
+                return packet["id"], str(data["question"]).strip(), str(data["expected_answer"]).strip(), made, None, None
+            at += reason == "persona_content_mismatch"
+        return (found[min(at, len(found) - 1)]["id"] if found else None), None, None, made, reason, error
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                id_, question, answer, made, reason, error = one(r.kind, list(r.packets), r.second, r.framing or "")
+                out.append((r.kind, r.item, id_, r.other, r.persona_id, question, answer, made, reason, error))
+            if out:
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in GENERATED.split(", ")])
+
+    return both.mapInPandas(run, GENERATED)
+
+
+def resample_order(slots: DataFrame, packets: DataFrame, attempts: int, seed: int = 0) -> DataFrame:
+    """``slots(kind, item, id)`` with ``ids``: the slot's packet, then the next of its kind's order, as many as attempts."""
+    n = packets.agg(F.count(F.lit(1)).alias("n"))
+    ranked = placed(packets.select("id", F.conv(F.substring(seeded(seed, F.col("id")), 1, 13), 16, 10).cast("long").alias("h")), [], "h", "place", per_block=1 << 44)
+    spots = slots.join(ranked.select("id", "place"), "id").crossJoin(F.broadcast(n))  # one row
+    later = spots.select("kind", "item", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(attempts - 1)), lambda k: F.pmod(F.col("place") - 1 + k, F.col("n")) + 1)).alias("try_no", "place"))
+    found = later.where(F.col("try_no") < F.col("n")).join(ranked.select("place", "id"), "place")
+    return found.groupBy("kind", "item").agg(F.transform(F.array_sort(F.collect_list(F.struct("try_no", "id"))), lambda x: x["id"]).alias("ids"))
+
+
 def deduplicated(rows: DataFrame, question: str = "question", pos: str = "pos") -> DataFrame:
     """The first of equal questions, without regard to case and outer blanks."""
     key = F.lower(F.regexp_replace(question, r"^\s+|\s+$", ""))

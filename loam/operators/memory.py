@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.functions.text import figures, mime_of
+from loam.functions.text import figures, id_list, loaded_json, mime_of, well_formed_ids
 
 BUDGET = 32_000
 DELTA = "session string, call_no long, loaded array<string>, evicted array<string>, active_after array<string>, redundant boolean, error_ids array<string>, error_reason string"
@@ -80,8 +80,22 @@ def eviction_plan(calls: DataFrame, catalog: DataFrame, budget: int = BUDGET) ->
     )
 
 
-def step(active: list[str], claimed: list[str], requested: list[str], tokens: dict[str, int], budget: int) -> tuple[list[str], dict]:
-    """One call of a session: known order and new claims, redundancy, unknown ids beside those that load."""
+def reconciled(active: Column, claimed: Column) -> Column:
+    """``struct<effective,drift>``: what was loaded keeps its order, what is claimed beside it follows.
+
+    ``drift`` says how a claim differs from that: in ``membership`` or only in ``order``; null where it does not, or claims nothing.
+    """
+    effective = F.array_distinct(F.concat(active, claimed))
+    same = (F.size(F.array_except(effective, claimed)) == 0) & (F.size(F.array_except(claimed, effective)) == 0)
+    drift = F.when((F.size(claimed) > 0) & (claimed != effective), F.when(same, "order").otherwise("membership"))
+    return F.struct(effective.alias("effective"), drift.alias("drift"))
+
+
+def step(active: list[str], claimed: list[str], requested: list[str], tokens: dict[str, int], budget: int, present: frozenset[str] | None = None) -> tuple[list[str], dict]:
+    """One call of a session: known order and new claims, redundancy, unknown ids beside those that load.
+
+    Ids that the catalog names and ``present`` lacks are stale: they take their place, but nothing is loaded for them.
+    """
     line = list(dict.fromkeys([*active, *claimed]))
     wanted = list(dict.fromkeys(requested))
     out = {"loaded": [], "evicted": [], "redundant": bool(wanted) and all(p in line for p in wanted), "error_ids": [], "error_reason": None}
@@ -97,11 +111,14 @@ def step(active: list[str], claimed: list[str], requested: list[str], tokens: di
             out |= {"error_ids": [*out["error_ids"], found.error_id], "error_reason": found.error_reason}
         else:
             line = found.after
-            out |= {"loaded": found.to_load, "evicted": found.evicted}
+            gone = [p for p in found.to_load if present is not None and p not in present]
+            out |= {"loaded": [p for p in found.to_load if p not in gone], "evicted": found.evicted}
+            if gone:
+                out |= {"error_ids": [*out["error_ids"], *gone], "error_reason": out["error_reason"] or "stale_catalog"}
     return line, out
 
 
-def session_fold(calls: DataFrame, tokens: dict[str, int], budget: int = BUDGET) -> DataFrame:
+def session_fold(calls: DataFrame, tokens: dict[str, int], budget: int = BUDGET, present: frozenset[str] | None = None) -> DataFrame:
     """Deltas of all sessions' calls in order: ``calls(session, call_no, claimed, requested)``.
 
     A session's calls come one after the other by nature; sessions are spread by key, and a session's rows reach its
@@ -115,7 +132,7 @@ def session_fold(calls: DataFrame, tokens: dict[str, int], budget: int = BUDGET)
             out = []
             for session, call_no, claimed, requested in zip(batch["session"], batch["call_no"], batch["claimed"], batch["requested"]):
                 active = state[1] if state[0] == session else []
-                active, d = step(active, list(claimed) if claimed is not None else [], list(requested) if requested is not None else [], held.value, budget)
+                active, d = step(active, list(claimed) if claimed is not None else [], list(requested) if requested is not None else [], held.value, budget, present)
                 state = (session, active)
                 out.append((session, call_no, d["loaded"], d["evicted"], list(active), d["redundant"], d["error_ids"], d["error_reason"]))
             if out:
@@ -125,6 +142,46 @@ def session_fold(calls: DataFrame, tokens: dict[str, int], budget: int = BUDGET)
     return ordered.mapInPandas(run, DELTA)
 
 
+def redundant_rates(deltas: DataFrame) -> DataFrame:
+    """``(session, calls, redundant, rate)`` of the deltas of sessions."""
+    out = deltas.groupBy("session").agg(F.count(F.lit(1)).alias("calls"), F.count_if("redundant").alias("redundant"))
+    return out.withColumn("rate", F.bround(F.col("redundant") / F.col("calls"), 3))
+
+
+def preloaded(starts: DataFrame, catalog: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """What sessions start with: known ids in one call, unknown ones passed over. ``starts(session, ids)``, ``catalog(id, tokens)``.
+
+    Gives ``(session, requested, skipped_unknown, loaded, tokens_used, budget_exceeded)``; a session that exceeds the
+    budget must not start.
+    """
+    rows = starts.select("session", F.posexplode_outer("ids").alias("pos", "id"))
+    known = rows.join(catalog.select("id", "tokens"), "id", "left")
+    ordered = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(keep & F.col("id").isNotNull(), F.struct("pos", "id")))), lambda x: x["id"])
+    per = known.groupBy("session").agg(ordered(F.col("tokens").isNotNull()).alias("requested"), ordered(F.col("tokens").isNull()).alias("skipped_unknown"))
+    none = F.array().cast("array<string>")
+    plans = eviction_plan(per.select(F.col("session").alias("call_id"), none.alias("active"), "requested"), catalog, budget)
+    used = plans.select("call_id", F.explode("after").alias("id")).join(catalog.select("id", "tokens"), "id").groupBy("call_id").agg(F.sum("tokens").alias("tokens_used"))
+    done = plans.join(used, "call_id", "left").select(F.col("call_id").alias("session"), F.col("to_load").alias("loaded"), F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), F.coalesce(F.col("error_reason") == "budget_exceeded", F.lit(False)).alias("budget_exceeded"))
+    return per.join(done, "session")
+
+
+def tool_outcomes(calls: DataFrame) -> DataFrame:
+    """What becomes of tool calls ``(turn_id, call_no, name, arguments)``; arguments are a model's JSON text.
+
+    ``outcome`` is load, catalog (it stands in the prompt already) or unknown; loads have their ids, whether the ids came
+    in another form than asked for, and whether the turn had loaded before, which is what a reminder answers.
+    """
+    args = loaded_json(F.col("arguments"))
+    raw = F.get_json_object(args, "$.requested_packet_ids")
+    load = F.col("name") == "check_and_load_kb"
+    outcome = F.when(load, "load").when(F.col("name") == "get_catalog", "catalog").otherwise("unknown")
+    nth = F.sum(load.cast("int")).over(Window.partitionBy("turn_id").orderBy("call_no"))  # the calls of one turn
+    return calls.select(
+        "turn_id", "call_no", "name", outcome.alias("outcome"), F.when(load, id_list(raw)).alias("requested"), F.left(F.coalesce(F.get_json_object(args, "$.context"), F.lit("")), F.lit(512)).alias("context"),
+        (load & ~well_formed_ids(raw)).alias("malformed"), (load & (nth > 1)).alias("reminder"),
+    )
+
+
 def merged_calls(calls: DataFrame) -> DataFrame:
     """Load calls of one message as one: ids and contexts at first appearance. ``calls(message_id, call_no, context, requested, active)``."""
     rows = F.array_sort(F.collect_list(F.struct("call_no", "context", "requested", "active")))
@@ -142,6 +199,13 @@ def packets(documents: DataFrame, images: DataFrame) -> DataFrame:
     return documents.join(pics, "id", "left").select("id", F.when(F.col("pics").isNull(), text).otherwise(F.concat(text, "pics")).alias("blocks"))
 
 
+def stored(paths: DataFrame, artefacts: DataFrame, assets: DataFrame) -> DataFrame:
+    """The storage of a knowledge base as a join: ``paths(path)`` with ``has_compiled``, ``compiled`` and the names of ``assets(path, name)``."""
+    names = assets.groupBy("path").agg(F.array_sort(F.collect_list("name")).alias("assets"))  # of one folder
+    both = paths.join(artefacts.select("path", F.col("text").alias("compiled")), "path", "left").join(names, "path", "left")
+    return both.withColumn("has_compiled", F.col("compiled").isNotNull()).withColumn("assets", F.coalesce("assets", F.array().cast("array<string>")))
+
+
 def unsupported_figures(answer: Column, asker: Column, tool_text: Column, today: Column) -> Column:
     """Figures of an answer that neither the packets seen, the asker nor the date hold."""
     known = F.array_union(F.array_union(figures(tool_text), figures(asker)), figures(today.cast("string")))

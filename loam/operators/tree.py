@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.markdown import escaped_cell, rewritten_images, unescaped_cell
-from loam.functions.text import dotted_id, rough_tokens
+from loam.functions.text import dotted_id, naive_path, parent_id, rough_tokens
 
 ROOT = "_root"
 COLUMNS = ("id", "path", "depth", "title", "long")
@@ -133,6 +133,71 @@ def partial_scope(folders: DataFrame, only: list[str]) -> DataFrame:
     return folders.where(inside | ((F.size("segments") < n) & above))
 
 
+def catalog_size(rows: DataFrame) -> DataFrame:
+    """``(entries, catalog_tokens, content_tokens, total_tokens)`` of a catalog and what it names, without rendering it: lines are summed up.
+
+    ``rows`` has the catalog's columns and ``tokens``, those of the folder's content.
+    """
+    head = "| " + " | ".join(COLUMNS) + " |\n|" + "---|" * len(COLUMNS) + "\n"
+    line = catalog_line(*[F.col(c) for c in COLUMNS])
+    per = rows.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum(F.length(line) + 1), F.lit(0)).alias("__chars"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("content_tokens"))
+    sized = per.withColumn("catalog_tokens", F.greatest(F.lit(1), F.floor((F.col("__chars") + len(head)) / 4)).cast("long"))
+    return sized.select("entries", "catalog_tokens", F.col("content_tokens").cast("long").alias("content_tokens"), (F.col("content_tokens") + F.col("catalog_tokens")).cast("long").alias("total_tokens"))
+
+
+def hydrated(rows: DataFrame, folders: DataFrame) -> DataFrame:
+    """Catalog rows with ``kind`` and token counts of ``folders(path, kind, token_size_estimate, content_token_estimate)``; null where a folder cannot be read."""
+    return rows.join(folders.select("path", "kind", "token_size_estimate", "content_token_estimate"), "path", "left")
+
+
+def children(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """``(parent, id)``: the entries right below each of ``of(id)``, by their ids."""
+    return rows.select(parent_id(F.col("id")).alias("parent"), "id").join(of.select(F.col("id").alias("parent")).distinct(), "parent", "left_semi")
+
+
+def roots(rows: DataFrame) -> DataFrame:
+    """The first-level entries, whatever the root is called."""
+    return rows.where(F.col("depth") == 1)
+
+
+def candidate_paths(requests: DataFrame, known: DataFrame) -> DataFrame:
+    """``(id, rank, path)``: folders that an id may name, best first; ``known(id, path)`` are catalog rows.
+
+    0: the id's own row; 1: the longest known ancestor's folder and the rest of the id below it; 2: a known descendant's
+    folder, cut by one to as many parts as lie between; 3: the id with slashes. Each is a guess but the first.
+    """
+    asked = requests.select("id").distinct()
+    own = asked.join(known, "id").select("id", F.lit(0).alias("rank"), "path")
+    above = longest_known_prefix(asked, known).where(F.col("known_id").isNotNull() & (F.col("known_id") != F.col("id")))
+    above = above.join(known.select(F.col("id").alias("known_id"), F.col("path").alias("base")), "known_id")
+    hung = above.select("id", F.lit(1).alias("rank"), F.concat_ws("/", F.nullif("base", F.lit("")), naive_path(F.col("rest"))).alias("path"))
+    parts = F.split("id", r"\.")
+    tops = known.select("path", F.size(parts).alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.struct(F.array_join(F.slice(parts, 1, k), ".").alias("id"), k.alias("k")))).alias("t"))
+    below = tops.where(F.col("t.k") < F.col("n")).select(F.col("t.id").alias("id"), "path", (F.col("n") - F.col("t.k")).alias("down")).join(asked, "id", "left_semi")
+    segments = F.split("path", "/")
+    cut = below.select("id", F.explode(F.transform(F.filter(F.sequence(F.lit(1), F.col("down")), lambda d: d < F.size(segments)), lambda d: F.array_join(F.slice(segments, 1, F.size(segments) - d), "/"))).alias("path"))
+    trimmed = cut.select("id", F.lit(2).alias("rank"), "path")
+    naive = asked.select("id", F.lit(3).alias("rank"), naive_path(F.col("id")).alias("path"))
+    return own.unionByName(hung).unionByName(trimmed).unionByName(naive).where(F.col("path") != "").groupBy("id", "path").agg(F.min("rank").alias("rank")).select("id", "rank", "path")
+
+
+def resolved_ids(requests: DataFrame, known: DataFrame, artefacts: DataFrame) -> DataFrame:
+    """``(id, path, rank)``: each id's folder, the best candidate whose artefact says it is that id's; null where none does.
+
+    ``artefacts(path, id)`` are the folders' own ids. Ties of rank go to the lesser path.
+    """
+    sound = candidate_paths(requests, known).join(artefacts.select("path", F.col("id").alias("__own")), "path").where(F.col("__own") == F.col("id"))
+    best = sound.groupBy("id").agg(F.min(F.struct("rank", "path")).alias("b")).select("id", "b.path", "b.rank")
+    return requests.select("id").distinct().join(best, "id", "left")
+
+
+def catalog_view(rows: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``(id, path)`` of all ids in play: the catalog, first rows of equal ids first, and folders resolved beside it."""
+    first = rows.groupBy("id").agg(F.min("path").alias("path"))
+    more = resolved.where(F.col("path").isNotNull()).select("id", "path").join(first, "id", "left_anti")
+    return first.unionByName(more)
+
+
 def longest_known_prefix(requests: DataFrame, known: DataFrame) -> DataFrame:
     """``(id, known_id, rest)``: each dotted id hung from its longest known ancestor (or itself); null where none is known."""
     parts = F.split("id", r"\.")

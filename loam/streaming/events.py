@@ -11,10 +11,11 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loam.functions.text import truncated_middle
 from loam.operators.crawl import DELAY_S, RETRYABLE
 from loam.operators.memory import BUDGET, step
 
@@ -51,13 +52,11 @@ def eta_seconds(done: Column, total: int, elapsed_s: Column) -> Column:
     return F.when(done > 0, elapsed_s / done * (F.lit(total) - done))
 
 
-def for_each_row(df: DataFrame, on_row: Callable[[dict], None], most: int = 1_000_000):
-    """Call ``on_row`` for the rows of each micro-batch, on the driver, streamed."""
+def for_each_row(df: DataFrame, on_row: Callable[[dict], None]):
+    """Call ``on_row`` for the rows of each micro-batch, one after the other as they reach the driver: a listener lives there."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        for n, row in enumerate(rows.toLocalIterator()):
-            if n >= most:
-                raise ValueError(f"more than {most} rows in one batch for a driver callback")
+        for row in rows.toLocalIterator():
             on_row(row.asDict(recursive=True))
 
     return df.writeStream.foreachBatch(batch)
@@ -84,6 +83,45 @@ def turn_latency(events: DataFrame) -> DataFrame:
     return rows.select("turn_id", ms(F.col("d"), F.col("s")).alias("first_token_ms"), ms(F.col("f"), F.col("s")).alias("total_ms"))
 
 
+def numbered_events(events: DataFrame, channel: str = "turn_id") -> DataFrame:
+    """Events with ``seq`` from 1 within their turn or channel, by time, then ``event_id``."""
+    return events.withColumn("seq", F.row_number().over(Window.partitionBy(channel).orderBy("ts", "event_id")))
+
+
+def turn_metrics(events: DataFrame) -> DataFrame:
+    """One row of counts per turn of ``events(turn_id, kind, text, ts)``: tool calls, deltas, errors, characters out, time to the first token and to the end."""
+    at = lambda kind, f: f(F.when(F.col("kind") == kind, F.col("ts")))
+    count = lambda kind, name: F.count_if(F.col("kind") == kind).alias(name)
+    rows = events.groupBy("turn_id").agg(
+        count("tool.call", "tool_calls"), count("assistant.delta", "deltas"), count("error", "errors"), F.coalesce(F.max(F.when(F.col("kind") == "assistant.final", F.length("text"))), F.lit(0)).alias("output_chars"),
+        F.min("ts").alias("s"), at("assistant.delta", F.min).alias("d"), at("assistant.final", F.max).alias("f"),
+    )
+    ms = lambda a, b: (F.unix_micros(a) - F.unix_micros(b)) / 1000
+    return rows.select("turn_id", "tool_calls", "deltas", "errors", "output_chars", ms(F.col("d"), F.col("s")).alias("first_token_ms"), ms(F.col("f"), F.col("s")).alias("total_ms"))
+
+
+def as_events(replies: DataFrame) -> DataFrame:
+    """Events of a model that does not stream: ``replies(turn_id, text)`` become one delta and the final text."""
+    kinds = F.array(F.struct(F.lit(1).alias("seq"), F.lit("assistant.delta").alias("kind")), F.struct(F.lit(2).alias("seq"), F.lit("assistant.final").alias("kind")))
+    return replies.select("turn_id", "text", F.inline(kinds))
+
+
+def transcription(events: DataFrame) -> DataFrame:
+    """``(turn_id, seq, message)``: JSON messages of a transcription channel; what an event lacks is left out."""
+    return events.select("turn_id", "seq", F.to_json(F.struct("seq", "kind", F.col("turn_id").cast("string").alias("turn_id"), "text")).alias("message"))
+
+
+def trace_payload(role: Column, blocks: Column, most: int = 2000) -> Column:
+    """A message for a trace, JSON: block texts with a mark for images, long ones cut in the middle. ``blocks ARRAY<STRUCT<kind,text>>``."""
+    text = F.array_join(F.transform(blocks, lambda b: F.when(b["kind"] == "image", "[image]").otherwise(F.coalesce(b["text"], F.lit("")))), "\n")
+    return F.to_json(F.struct(role.alias("role"), truncated_middle(text, most).alias("content")))
+
+
+def long_waits(paced_rows: DataFrame, delay_s: float = DELAY_S) -> DataFrame:
+    """Requests whose wait is worth a line on the console: over twice the delay."""
+    return paced_rows.where(F.col("wait_s") > 2 * delay_s)
+
+
 def fragments(parts: DataFrame) -> DataFrame:
     """Tool calls from fragments ``(call_id, index, seq, name, arguments)``; arguments that are no JSON object become ``{}``."""
     rows = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("arguments", F.lit("")).alias("a"))))
@@ -109,8 +147,6 @@ def sse_frame(payload: Column) -> Column:
 
 def interrupted(events: DataFrame) -> DataFrame:
     """Turns with ``interrupted``: the next user's words came before the turn's end. ``events(session, turn_id, started, ended)``."""
-    from pyspark.sql import Window
-
     following = F.lead("started").over(Window.partitionBy("session").orderBy("started", "turn_id"))
     return events.withColumn("interrupted", following.isNotNull() & (F.col("ended").isNull() | (following < F.col("ended"))))
 

@@ -148,7 +148,7 @@ def test_exchange(spark):
             raise RuntimeError("no")
         return "what exactly?" if len(turns) == 1 else "done"
 
-    got = {r["question_id"]: r for r in evalrun.exchanged(rows(spark, SET).withColumn("question", F.when(F.col("pos") == 1, "crash").otherwise("q")), ask, lambda a: "clarify" if "?" in a else "answer", lambda q, e, a: (True if a == "done" else 9, "r"), lambda q, a: "this").collect()}
+    got = {r["question_id"]: r for r in evalrun.exchanged(rows(spark, SET).withColumn("question", F.when(F.col("pos") == 1, "crash").otherwise("q")), ask, lambda a: "clarify" if "?" in a else "answer", lambda q, e, a, t: '{"score": true}' if a == "done" else '{"score": 9}', lambda q, a: "this").collect()}
     assert (got["q-0001"]["actual_answer"], got["q-0001"]["turns"], got["q-0001"]["terminated_by"], got["q-0001"]["score"]) == ("done", 2, "answer", None)
     assert got["b-0002"]["actual_answer"] == "[chat_error] RuntimeError" and got["b-0002"]["terminated_by"] == "error" and "EVALRUN" in got["b-0002"]["transcript"]
 
