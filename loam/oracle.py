@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from loam.functions.text import EXAM_TELLS, STOPWORDS
-from loam.queries import ALIASES, EVICTION_BUDGET, KB_BUDGET, SCOPE
+from loam.queries import ALIASES, EVICTION_BUDGET, KB_BUDGET, REQUESTED_FROM, SCOPE
 
 SQL: dict[str, str] = {}
 
@@ -149,7 +149,7 @@ WITH RECURSIVE {_SPANS}{_KEPT},
 b AS (SELECT query_id, kb_path, chunk_index, '[source: ' || kb_path || ' § ' || CASE WHEN len(coalesce(headings, [])) > 0 THEN array_to_string(headings, ' > ') ELSE '(no heading)' END || ']' || CASE WHEN coalesce(image_path, '') <> '' THEN ' [image: ' || image_path || ']' ELSE '' END || chr(10) || coalesce(text, '') AS block FROM placed JOIN fold USING (query_id, rank) WHERE kept),
 c AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY kb_path, chunk_index) AS body, list(kb_path ORDER BY kb_path, chunk_index) AS paths FROM b GROUP BY query_id)
 SELECT query_id, md5('CONTEXT' || chr(10) || chr(10) || body) AS context_md5, array_to_string(list_filter(paths, lambda x, i: list_position(paths, x) = i), '|') AS cited FROM c"""
-SQL["degraded_legs"] = f"WITH {_HITS}, p AS (SELECT query_id, count(vector_rank) AS v, count(fts_rank) AS t FROM hits GROUP BY query_id) SELECT query_id, CASE WHEN v > 2 THEN 'none' WHEN t = 0 THEN 'all' ELSE 'vector' END AS degraded FROM p"
+SQL["degraded_legs"] = f"WITH {_HITS}, p AS (SELECT query_id, count(vector_rank) AS v, count(fts_rank) AS t FROM hits GROUP BY query_id) SELECT query_id, CASE WHEN v > 0 THEN 'none' WHEN t = 0 THEN 'all' ELSE 'vector' END AS degraded FROM p"
 
 _LATEST = "SELECT * FROM manifest_entry WHERE {0} QUALIFY row_number() OVER (PARTITION BY kb_path ORDER BY indexed_at DESC NULLS LAST, content_hash DESC NULLS LAST) = 1"
 SQL["manifest_diff"] = f"""
@@ -168,12 +168,14 @@ below AS (SELECT segments[1:k] AS segments, count(DISTINCT segments[k + 1]) AS s
 folders AS (SELECT segments, coalesce(files, 0) AS files, coalesce(subfolders, 0) AS subfolders FROM own FULL JOIN below USING (segments))"""
 SQL["folder_kinds"] = f"WITH {_KINDS} SELECT array_to_string(segments, '/') AS path, files, subfolders, CASE WHEN files > 0 AND subfolders > 0 THEN 'mixed' WHEN files > 0 THEN 'leaf' WHEN subfolders > 0 THEN 'node' ELSE 'empty' END AS kind FROM folders"
 SQL["subtree_rollup"] = f"WITH {_KINDS}, up AS (SELECT segments, unnest(generate_series(0, len(segments))) AS k FROM folders) SELECT array_to_string(segments[1:k], '/') AS path, count(*) FILTER (len(segments) > k) AS descendants, CAST(max(len(segments) - k) AS INT) AS subtree_depth FROM up GROUP BY segments[1:k]"
-SQL["folder_documents"] = f"""
-WITH {_FILES}, d AS (SELECT segments, string_agg('# ' || name || chr(10) || chr(10) || 'About ' || name || '. More.', chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY name <> 'index.md', CASE WHEN length(name) % 3 = 0 THEN length(name) ELSE 2147483647 END, name) AS content,
-  string_agg(name, '|' ORDER BY name <> 'index.md', CASE WHEN length(name) % 3 = 0 THEN length(name) ELSE 2147483647 END, name) AS source_files FROM files GROUP BY segments)
-SELECT array_to_string(segments, '/') AS path, md5(content) AS content_md5, source_files, CAST(greatest(1, length(content) // 4) AS INT) AS tokens FROM d"""
+SQL["folder_documents"] = r"""
+WITH f AS (SELECT string_split(id, '.')[1] AS path, CASE WHEN regexp_matches(id, '[05]$') THEN 'index.md' ELSE array_to_string(string_split(id, '.')[2:], '-') || '.md' END AS name,
+  '# ' || title || chr(10) || chr(10) || body || chr(10) || chr(10) || array_to_string(list_transform(assets, lambda a: '![](' || regexp_replace(a, '^assets/', 'assets/') || ')'), chr(10)) AS text, CASE WHEN length(title) % 3 = 0 THEN length(title) END AS p FROM packet),
+g AS (SELECT path, name, arg_min(text, {'n': length(text), 't': text}) AS text, coalesce(min(p), 2147483647) AS p FROM f GROUP BY path, name),
+d AS (SELECT path, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY name <> 'index.md', p, name) AS content, string_agg(name, '|' ORDER BY name <> 'index.md', p, name) AS source_files FROM g GROUP BY path)
+SELECT path, md5(content) AS content_md5, source_files, CAST(greatest(1, length(content) // 4) AS INT) AS tokens FROM d"""
 SQL["catalog_branches"] = "SELECT string_split(id, '.')[1] AS branch, count(*) AS entries FROM packet WHERE id <> '' GROUP BY 1 ORDER BY entries DESC, branch LIMIT 5"
-SQL["catalog_round_trip"] = r"SELECT id, replace(id, '.', '/') AS path, CAST(len(string_split(id, '.')) AS INT) AS depth, trim(regexp_replace(title || ' | x', '\s+', ' ', 'g')) AS title, trim(substr(regexp_replace(body, '[ \t\n\x0B\f\r]+', ' ', 'g'), 1, 60)) AS long FROM packet"
+SQL["catalog_round_trip"] = r"SELECT id, replace(id, '.', '/') AS path, CAST(len(string_split(id, '.')) AS INT) AS depth, trim(regexp_replace(title || ' | x', '\s+', ' ', 'g')) AS title, trim(regexp_replace(body, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS long FROM packet"
 SQL["id_resolution"] = """
 WITH asked AS (SELECT id || '.extra.part' AS id FROM packet UNION ALL SELECT 'no.' || id FROM packet UNION ALL SELECT id FROM packet),
 tries AS (SELECT id, unnest(list_transform(generate_series(1, len(string_split(id, '.'))), lambda k: array_to_string(string_split(id, '.')[1:k], '.'))) AS known_id FROM asked),
@@ -181,8 +183,8 @@ best AS (SELECT id, known_id FROM tries WHERE known_id IN (SELECT id FROM packet
 SELECT a.id, b.known_id, CASE WHEN b.known_id IS NULL THEN a.id ELSE ltrim(substr(a.id, length(b.known_id) + 1), '.') END AS rest FROM asked a LEFT JOIN best b USING (id)"""
 
 SQL["eviction_plan"] = f"""
-WITH r AS (SELECT user_id AS call_id, 'p' || (event_id % 23) AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events), e AS (SELECT * FROM r WHERE r <= 12),
-a AS (SELECT call_id, p, min(r) AS r FROM e WHERE r <= 8 GROUP BY call_id, p), q AS (SELECT call_id, p, min(r) AS r FROM e WHERE r > 8 GROUP BY call_id, p),
+WITH e AS (SELECT user_id AS call_id, 'p' || (event_id % 23) AS p, event_id AS r, ts >= TIMESTAMP '{REQUESTED_FROM}' AS later FROM events),
+a AS (SELECT call_id, p, min(r) AS r FROM e WHERE NOT later GROUP BY call_id, p), q AS (SELECT call_id, p, min(r) AS r FROM e WHERE later GROUP BY call_id, p),
 line AS (SELECT call_id, p, r, false AS fresh FROM a UNION ALL SELECT q.call_id, q.p, q.r, true FROM q LEFT JOIN a USING (call_id, p) WHERE a.p IS NULL),
 cat AS (SELECT 'p' || i AS p, i * 7 % 19 + 1 AS tokens FROM range(22) t(i)),
 s AS (SELECT line.*, cat.tokens IS NULL AND fresh AS unknown, sum(coalesce(tokens, 0)) OVER (PARTITION BY call_id ORDER BY fresh, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS behind FROM line LEFT JOIN cat USING (p)),
@@ -195,7 +197,7 @@ FROM x"""
 
 _FLAT = "list_filter(coalesce({0}, []), lambda x, i: list_position({0}, x) = i)"
 SQL["merged_calls"] = f"""
-WITH c AS (SELECT coalesce(persona_id, '') AS message_id, item_id AS call_no, trim(coalesce(kind, '')) AS context, coalesce(source_packet_ids, []) AS requested, coalesce(source_packet_ids, [])[1:1] AS active FROM generated_item),
+WITH c AS (SELECT coalesce(persona_id, '') AS message_id, item_id AS call_no, trim(coalesce(kind, '')) AS context, coalesce(source_packet_ids, []) AS requested, list_reverse(coalesce(source_packet_ids, [])) AS active FROM generated_item),
 g AS (SELECT message_id, list(context ORDER BY call_no) FILTER (context <> '') AS context, flatten(list(requested ORDER BY call_no)) AS requested, flatten(list(active ORDER BY call_no)) AS active, count(*) AS calls FROM c GROUP BY message_id)
 SELECT message_id, coalesce(array_to_string({_FLAT.format("context")}, '; '), '') AS context, array_to_string({_FLAT.format("requested")}, ',') AS requested, array_to_string({_FLAT.format("active")}, ',') AS active, calls FROM g"""
 _F = _FIG.format("coalesce({0}, '')")
@@ -206,7 +208,8 @@ SELECT conv_id, array_to_string(missing, ',') AS unsupported, CASE WHEN NOT load
 
 _EDGES = f"""inside AS (SELECT lag(url) OVER (PARTITION BY id ORDER BY pos) AS src, pos AS link_pos, url AS href FROM (SELECT id, generate_subscripts(source_urls, 1) - 1 AS pos, unnest(source_urls) AS url FROM packet)),
 cited AS (SELECT item_id, generate_subscripts(source_packet_ids, 1) - 1 AS pos, unnest(source_packet_ids) AS id FROM generated_item),
-across AS (SELECT lag(source_urls[1]) OVER (PARTITION BY item_id ORDER BY pos) AS src, pos AS link_pos, source_urls[1] AS href FROM cited JOIN packet USING (id) WHERE source_urls[1] IS NOT NULL),
+urls AS (SELECT item_id, pos, generate_subscripts(source_urls, 1) - 1 AS k, unnest(source_urls) AS url FROM cited JOIN packet USING (id)),
+across AS (SELECT a.url AS src, 100 * b.pos + b.k AS link_pos, b.url AS href FROM urls a JOIN urls b ON a.item_id = b.item_id AND b.pos = a.pos + 1),
 edges AS (SELECT * FROM inside WHERE src IS NOT NULL UNION ALL SELECT * FROM across WHERE src IS NOT NULL)"""
 
 
@@ -215,19 +218,23 @@ def _norm(u: str) -> str:
 
 
 SQL["crawl_bfs"] = f"""
-WITH RECURSIVE {_EDGES}, e AS (SELECT DISTINCT {_norm("src")} AS src, {_norm("href")} AS href FROM edges), seeds AS (SELECT DISTINCT {_norm("source_urls[1]")} AS url FROM packet WHERE regexp_matches(id, '^faq') AND source_urls[1] IS NOT NULL),
-w(url, hop) AS (SELECT url, 0 FROM seeds UNION SELECT e.href, w.hop + 1 FROM w JOIN e ON e.src = w.url WHERE w.hop < 3)
-SELECT url, CAST(min(hop) AS INT) AS hop FROM w GROUP BY url"""
+WITH RECURSIVE {_EDGES}, e AS (SELECT src, href, min(link_pos) AS p FROM (SELECT {_norm("src")} AS src, {_norm("href")} AS href, link_pos FROM edges) GROUP BY src, href),
+seeds AS (SELECT url, min(p) AS p FROM (SELECT {_norm("u")} AS url, length(id) AS p FROM (SELECT id, unnest(source_urls) AS u FROM packet WHERE regexp_matches(id, '^faq'))) GROUP BY url),
+w(url, hop, parent, pos, way) AS (
+  SELECT url, 0, CAST(NULL AS VARCHAR), 0::BIGINT, [p::BIGINT] FROM seeds
+  UNION ALL
+  SELECT href, hop, src, p, way FROM (SELECT e.href, w.hop + 1 AS hop, e.src, e.p::BIGINT AS p, list_append(w.way, e.p::BIGINT) AS way, row_number() OVER (PARTITION BY e.href ORDER BY list_append(w.way, e.p::BIGINT), e.src) AS n FROM w JOIN e ON e.src = w.url WHERE w.hop < 3) WHERE n = 1)
+SELECT url, CAST(hop AS INT) AS hop, parent, pos FROM w QUALIFY row_number() OVER (PARTITION BY url ORDER BY hop, way, parent) = 1"""
 SQL["crawl_dispositions"] = f"""
-WITH {_EDGES}, l AS (SELECT DISTINCT src AS referrer, length(src) % 4 AS depth, link_pos, href FROM edges), v AS (SELECT DISTINCT {_norm("source_urls[1]")} AS url FROM packet WHERE source_urls[1] IS NOT NULL AND length({_norm("source_urls[1]")}) % 3 = 0),
+WITH {_EDGES}, l AS (SELECT DISTINCT src AS referrer, length(src) % 4 AS depth, link_pos, href FROM edges), v AS (SELECT DISTINCT {_norm("u")} AS url FROM (SELECT unnest(source_urls) AS u FROM packet) WHERE length({_norm("u")}) % 3 = 0),
 n AS (SELECT l.*, {_norm("href")} AS url, lower(regexp_extract({_norm("href")}, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)) AS host, lower(regexp_extract(referrer, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^@/?#]*@)?([^/?#]*)', 1)) AS from_host FROM l),
 c AS (SELECT n.*, v.url IS NOT NULL AS seen, regexp_matches(lower({_url(4, "n.url")}), '[.]pdf$') AS asset FROM n LEFT JOIN v ON v.url = n.url),
 d AS (SELECT *, CASE WHEN NOT regexp_matches(url, '^https?://[^/?#]+') THEN 'unparseable' WHEN asset AND host <> from_host THEN 'asset_host' WHEN asset AND seen THEN 'visited' WHEN asset THEN 'asset' WHEN depth >= 3 THEN 'depth' WHEN NOT ({" OR ".join(f"starts_with(url, '{s}')" for s in SCOPE)}) THEN 'scope' WHEN seen THEN 'visited' ELSE 'follow' END AS disposition FROM c),
-f AS (SELECT CASE WHEN disposition IN ('follow', 'asset') AND row_number() OVER (PARTITION BY url, disposition ORDER BY depth, referrer, link_pos) > 1 THEN 'visited' ELSE disposition END AS disposition FROM d)
-SELECT disposition, count(f.disposition) AS links FROM (VALUES ('unparseable'), ('asset_host'), ('asset'), ('depth'), ('scope'), ('visited'), ('follow'), ('error')) r(disposition) LEFT JOIN f USING (disposition) GROUP BY disposition"""
+f AS (SELECT url, CASE WHEN disposition IN ('follow', 'asset') AND row_number() OVER (PARTITION BY url, disposition ORDER BY depth, referrer, link_pos) > 1 THEN 'visited' ELSE disposition END AS disposition FROM d)
+SELECT disposition, count(f.disposition) AS links, coalesce(array_to_string(list_sort(list_distinct(list(f.url) FILTER (f.url IS NOT NULL)))[1:5], ' '), '') AS sample FROM (VALUES ('unparseable'), ('asset_host'), ('asset'), ('depth'), ('scope'), ('visited'), ('follow'), ('error')) r(disposition) LEFT JOIN f USING (disposition) GROUP BY disposition"""
 
 SQL["host_pacing"] = """
-WITH RECURSIVE r AS (SELECT 'h' || (user_id % 40) AS host, event_id AS pos, epoch_us(ts) / 1e6 AS arrive, value / 10 AS took, event_type = 'error' AS limited, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) AS n FROM events),
+WITH RECURSIVE r AS (SELECT 'h' || user_id AS host, event_id AS pos, epoch_us(ts) / 1e6 AS arrive, value / 10 AS took, event_type = 'error' AS limited, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
 f(host, pos, n, start_s, wait_s, next_allowed) AS (
   SELECT host, pos, n, arrive, 0.0::DOUBLE, CASE WHEN limited THEN arrive + took + 30 ELSE arrive + took + 5 END FROM r WHERE n = 1
   UNION ALL
@@ -273,10 +280,11 @@ SELECT item_id, 'g-' || CASE WHEN length(i) >= 4 THEN i ELSE lpad(i, 4, '0') END
 _TELL = " OR ".join("regexp_matches(question, '" + p.replace("'", "''") + "')" for p in EXAM_TELLS.values())
 _NUM = "list_filter(list_transform(regexp_extract_all({0}, '(\\d[\\d,.]*)', 1), lambda x: regexp_replace(x, '[.,]+$', '')), lambda x: x <> '')"
 SQL["draft_checks"] = f"""
-WITH d AS (SELECT item_id, question, expected_answer, lower(regexp_replace(coalesce(body, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS b, lower(regexp_replace(coalesce(expected_answer, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS a FROM generated_item g JOIN packet p ON p.id = g.source_packet_ids[1]),
+WITH b AS (SELECT item_id, string_agg(body, chr(10) ORDER BY pos) AS body FROM (SELECT item_id, generate_subscripts(source_packet_ids, 1) AS pos, unnest(source_packet_ids) AS id FROM generated_item) JOIN packet USING (id) GROUP BY item_id),
+d AS (SELECT item_id, kind, persona_id, coalesce(source_packet_ids, []) AS needed, question, expected_answer, lower(regexp_replace(coalesce(body, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS b, lower(regexp_replace(coalesce(expected_answer, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS a FROM generated_item g LEFT JOIN b USING (item_id)),
 w AS (SELECT *, {_WORDS.format("a")} AS words, list_filter({_NUM.format("a")}, lambda x: NOT list_contains({_NUM.format("b")}, x)) AS invented FROM d)
-SELECT item_id, CASE WHEN trim(coalesce(question, '')) = '' OR trim(coalesce(expected_answer, '')) = '' THEN 'incomplete' WHEN {_TELL} THEN 'exam_framing'
-  WHEN len(invented) > 0 OR (len(words) >= 6 AND len(list_filter(words, lambda x: contains(b, x)))::DOUBLE / len(words) < 0.6) THEN 'not_grounded' END AS reason FROM w"""
+SELECT item_id, CASE WHEN kind = 'hard-1' AND trim(coalesce(persona_id, '')) = '' THEN 'persona_mismatch' WHEN trim(coalesce(question, '')) = '' OR trim(coalesce(expected_answer, '')) = '' THEN 'incomplete' WHEN {_TELL} THEN 'exam_framing'
+  WHEN len(invented) > 0 OR (len(words) >= 6 AND len(list_filter(words, lambda x: contains(b, x)))::DOUBLE / len(words) < 0.6) THEN 'not_grounded' WHEN len(list_filter(needed, lambda x: length(x) % 7 = 0)) > 0 THEN 'citation' END AS reason FROM w"""
 
 _STATS = "count(*) AS rows, count(score) AS scored, count(*) FILTER (score IS NULL) AS unscored, coalesce(round_even(avg(score), 3), 0.0) AS mean, coalesce(round_even(count(*) FILTER (score >= 2)::DOUBLE / nullif(count(score), 0), 3), 0.0) AS pass_rate, " + ", ".join(f"count(*) FILTER (score = {i}) AS h{i}" for i in range(4))
 _PERSON = "coalesce(nullif(trim(persona), ''), '(unattributed)')"
@@ -312,3 +320,21 @@ SQL["turn_reassembly"] = """
 WITH t AS (SELECT event_id // 9 AS turn_id, event_id AS seq, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'final' WHEN 'click' THEN 'tool' ELSE 'delta' END AS kind, 't' || event_id AS text FROM events)
 SELECT turn_id, coalesce(string_agg(text, '' ORDER BY seq) FILTER (kind = 'delta'), '') AS streamed, max(text) FILTER (kind = 'final') AS final, NOT bool_or(kind = 'final') AS failed, count(*) FILTER (kind = 'tool') AS tool_calls, count(*) FILTER (kind = 'error') AS errors, count(*) AS events FROM t GROUP BY turn_id"""
 SQL["progress_totals"] = "SELECT count(*) AS done, coalesce(round(avg(score), 6), 0.0) AS mean, count(*) FILTER (score IS NULL) AS unscored, CAST(sum(pos * 10) AS BIGINT) AS elapsed_ms FROM eval_row WHERE turns IS NOT NULL"
+
+
+def _level(n: int, rows: str, out: str) -> str:
+    """One level of the collapse: rows of folders of n parts that may go, into their parents."""
+    return f"""
+o{n} AS (SELECT s FROM {rows} WHERE len(s) = {n} GROUP BY s HAVING bool_and(f = 'index.md' OR regexp_matches(f, '(?i)^index-.*[.](?:png|jpe?g|gif|webp|svg|bmp|tiff?)$')) AND bool_or(f = 'index.md')),
+l{n} AS (SELECT s FROM o{n} WHERE s NOT IN (SELECT s[1:{n}] FROM {rows} WHERE len(s) > {n}) AND s NOT IN (SELECT list_append(s, regexp_replace(f, '[.]md$', '')) FROM {rows} WHERE len(s) = {n - 1} AND ends_with(f, '.md'))),
+{out} AS (SELECT path, name, CASE WHEN l.s IS NULL THEN r.s ELSE r.s[1:{n - 1}] END AS s, CASE WHEN l.s IS NULL THEN f WHEN f = 'index.md' THEN list_last(r.s) || '.md' ELSE list_last(r.s) || substr(f, 6) END AS f FROM {rows} r LEFT JOIN l{n} l ON l.s = r.s)"""
+
+
+_DEEPEST = 8  # of the test tables, with room
+_LEVELS = ",".join(_level(n, f"r{n}", f"r{n - 1}") for n in range(_DEEPEST, 1, -1))
+SQL["leaf_collapse"] = f"""
+WITH {_FILES}, k AS (SELECT segments, name, regexp_replace(name, '[.][^.]*$', '') AS stem, length(name) % 3 AS m, length(name) % 2 AS e FROM files),
+u AS (SELECT segments AS s, stem || '.md' AS f FROM k WHERE m = 0 UNION SELECT list_append(segments, stem), 'index.md' FROM k WHERE m <> 0 UNION SELECT list_append(segments, stem), 'index-' || stem || '.png' FROM k WHERE m = 1
+  UNION SELECT list_concat(segments, [stem, 'deep']), 'index.md' FROM k WHERE m = 2 AND e = 0 UNION SELECT list_append(segments, stem), 'other.md' FROM k WHERE m = 2 AND e = 1),
+r{_DEEPEST} AS (SELECT array_to_string(s, '/') AS path, f AS name, s, f FROM u),{_LEVELS}
+SELECT path, name, array_to_string(s, '/') || '/' || f AS new_path FROM r1"""

@@ -22,7 +22,7 @@ QUERIES: dict[str, Query] = {}
 FLAGSHIP = "retrieval_context"
 ALIASES = {"EP": "Employment Pass", "levy bill": "foreign worker levy", "API": "programming interface", "virus scanner": "malware scan"}
 SCOPE = ["https://help.yoris.test/", "https://zetard.example/handbook/", "https://vaskis.test/"]
-KB_BUDGET, EVICTION_BUDGET = 1200, 60
+KB_BUDGET, EVICTION_BUDGET, REQUESTED_FROM = 1200, 60, "2024-01-30"
 
 
 def query(f: Query) -> Query:
@@ -205,7 +205,7 @@ def retrieval_context(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def degraded_legs(spark: SparkSession, folder: str) -> DataFrame:
     per = _hits(spark, folder).groupBy("query_id").agg(F.count("vector_rank").alias("v"), F.count("fts_rank").alias("t"))
-    return per.select("query_id", F.coalesce(retrieval.degraded(F.col("v") > 2, F.col("v"), F.col("t")), F.lit("none")).alias("degraded"))
+    return per.select("query_id", F.coalesce(retrieval.degraded(F.col("v") > 0, F.col("v"), F.col("t")), F.lit("none")).alias("degraded"))
 
 
 # --- index
@@ -226,10 +226,15 @@ def manifest_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return index.upserted(rows, fresh, fresh.select("kb_path", F.lit("changed").alias("state")))
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    kind = F.when(F.col("doc_id") % 4 == 0, "text").when(F.col("doc_id") % 4 == 1, "html").when(F.col("doc_id") % 4 == 2, "pdf").otherwise("markdown")
+    return table(spark, folder, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("kb_path"), kind.alias("source_kind"), "text")
+
+
 @query
 def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").where(F.col("text").isNotNull())
-    return chunked(docs.select(F.col("doc_id").cast("string").alias("kb_path"), F.lit("markdown").alias("source_kind"), "text"), target=200, overlap=20)
+    """Documents of every kind of source: pages, converted files and plain texts."""
+    return chunked(_documents(spark, folder), target=200, overlap=20)
 
 
 @query
@@ -263,7 +268,14 @@ def subtree_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def folder_documents(spark: SparkSession, folder: str) -> DataFrame:
-    files = _files(spark, folder).withColumn("text", F.concat(F.lit("# "), "name", F.lit("\n\nAbout "), "name", F.lit(". More."))).withColumn("link_position", F.when(F.length("name") % 3 == 0, F.length("name")).cast("int"))
+    """Packets as files of the folder their id names, with the pictures they cite."""
+    parts = F.split("id", r"\.")
+    pictures = F.array_join(F.transform("assets", lambda a: F.concat(F.lit("![]("), F.regexp_replace(a, "^assets/", "img/"), F.lit(")"))), "\n")
+    files = table(spark, folder, "packet").select(
+        F.slice(parts, 1, 1).alias("segments"), F.when(F.element_at(parts, -1).rlike("[05]$"), "index.md").otherwise(F.concat(F.array_join(F.slice(parts, 2, 9), "-"), F.lit(".md"))).alias("name"),
+        F.concat(F.lit("# "), "title", F.lit("\n\n"), "body", F.lit("\n\n"), pictures).alias("text"), F.when(F.length("title") % 3 == 0, F.length("title")).cast("int").alias("link_position"),
+    )
+    files = files.groupBy("segments", "name").agg(F.min_by("text", F.struct(F.length("text"), "text")).alias("text"), F.min("link_position").alias("link_position"))
     docs = tree.folder_documents(files)
     return _shown(docs).select("path", F.md5(F.col("content")).alias("content_md5"), F.array_join("source_files", "|").alias("source_files"), "tokens")
 
@@ -276,7 +288,7 @@ def catalog_branches(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def catalog_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "packet").select("id", F.replace("id", F.lit("."), F.lit("/")).alias("path"), F.size(F.split("id", r"\.")).alias("depth"), F.concat("title", F.lit(" | x")).alias("title"), F.substring(F.regexp_replace("body", r"\s+", " "), 1, 60).alias("long"), F.split("id", r"\.").alias("segments"))
+    rows = table(spark, folder, "packet").select("id", F.replace("id", F.lit("."), F.lit("/")).alias("path"), F.size(F.split("id", r"\.")).alias("depth"), F.concat("title", F.lit(" | x")).alias("title"), F.regexp_replace("body", r"\s+", " ").alias("long"), F.split("id", r"\.").alias("segments"))
     parsed = tree.parsed_catalog(tree.rendered_catalog(rows), "catalog")
     return parsed.select("id", "path", "depth", "title", F.trim("long").alias("long"))
 
@@ -293,10 +305,11 @@ def id_resolution(spark: SparkSession, folder: str) -> DataFrame:
 
 def _calls(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, folder, "events")
-    name = F.concat(F.lit("p"), (F.col("event_id") % 23).cast("string"))
-    ranked = e.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where(F.col("r") <= 12).withColumn("p", name)
-    ordered = lambda keep: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("r", "p")))), lambda x: x["p"]))
-    calls = ranked.groupBy(F.col("user_id").alias("call_id")).agg(ordered(F.col("r") <= 8).alias("active"), ordered(F.col("r") > 8).alias("requested"))
+    # each user's events of the first 29 days ask for what is active, the later ones for what is requested; the first mention counts
+    later = F.col("ts").cast("timestamp") >= F.to_timestamp(F.lit(REQUESTED_FROM))
+    first = e.groupBy("user_id", later.alias("later"), F.concat(F.lit("p"), (F.col("event_id") % 23).cast("string")).alias("p")).agg(F.min("event_id").alias("r"))
+    ordered = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("r", "p")))), lambda x: x["p"])  # noqa: E731 - at most 23
+    calls = first.groupBy(F.col("user_id").alias("call_id")).agg(ordered(~F.col("later")).alias("active"), ordered(F.col("later")).alias("requested"))
     catalog = spark.range(22).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("id"), ((F.col("id") * 7) % 19 + 1).cast("int").alias("tokens"))
     return calls, catalog
 
@@ -319,7 +332,7 @@ def session_memory(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def merged_calls(spark: SparkSession, folder: str) -> DataFrame:
     g = table(spark, folder, "generated_item")
-    calls = g.select(F.coalesce("persona_id", F.lit("")).alias("message_id"), F.col("item_id").alias("call_no"), F.coalesce("kind", F.lit("")).alias("context"), "source_packet_ids", F.slice("source_packet_ids", 1, 1).alias("active"))
+    calls = g.select(F.coalesce("persona_id", F.lit("")).alias("message_id"), F.col("item_id").alias("call_no"), F.coalesce("kind", F.lit("")).alias("context"), "source_packet_ids", F.reverse("source_packet_ids").alias("active"))
     out = memory.merged_calls(calls.withColumnRenamed("source_packet_ids", "requested"))
     return out.select("message_id", "context", F.array_join("requested", ",").alias("requested"), F.array_join("active", ",").alias("active"), "calls")
 
@@ -337,46 +350,54 @@ def grounding_checks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Links: each URL of a packet to its next, and the first URL of each packet an item cites to that of the next one."""
+    """Links: each URL of a packet to its next, and each URL of each packet an item cites to each URL of the next one."""
     packets = table(spark, folder, "packet")
     after = Window.partitionBy("id").orderBy("pos")
     inside = packets.select("id", F.posexplode("source_urls").alias("pos", "href")).select(F.lag("href").over(after).alias("src"), F.col("pos").alias("link_pos"), "href")
     cited = table(spark, folder, "generated_item").select("item_id", F.posexplode("source_packet_ids").alias("pos", "id"))
-    urls = cited.join(packets.select("id", F.try_element_at("source_urls", F.lit(1)).alias("href")), "id").where(F.col("href").isNotNull())
-    across = urls.select(F.lag("href").over(Window.partitionBy("item_id").orderBy("pos")).alias("src"), F.col("pos").alias("link_pos"), "href")
+    urls = cited.join(packets.select("id", F.posexplode("source_urls").alias("k", "href")), "id")
+    following = urls.select("item_id", (F.col("pos") - 1).alias("pos"), (100 * F.col("pos") + F.col("k")).alias("link_pos"), "href")
+    across = urls.select("item_id", "pos", F.col("href").alias("src")).join(following, ["item_id", "pos"]).select("src", "link_pos", "href")
     return inside.unionByName(across).where(F.col("src").isNotNull())
 
 
 @query
 def crawl_bfs(spark: SparkSession, folder: str) -> DataFrame:
     edges = _edges(spark, folder)
-    seeds = table(spark, folder, "packet").where(F.col("id").rlike("^faq")).select(F.try_element_at("source_urls", F.lit(1)).alias("url")).where(F.col("url").isNotNull())
-    return crawl.bfs(edges, seeds, 3).select("url", "hop")
+    seeds = table(spark, folder, "packet").where(F.col("id").rlike("^faq")).select(F.explode("source_urls").alias("url"), F.length("id").alias("pos"))
+    return crawl.bfs(edges, seeds, 3)
 
 
 def _dispositions(spark: SparkSession, folder: str) -> DataFrame:
     links = _edges(spark, folder).select(F.col("src").alias("referrer"), (F.length("src") % 4).alias("depth"), "link_pos", "href")
-    visited = table(spark, folder, "packet").select(U.normalize_url(F.try_element_at("source_urls", F.lit(1))).alias("url")).where(F.col("url").isNotNull() & (F.length("url") % 3 == 0)).distinct()
+    visited = table(spark, folder, "packet").select(F.explode("source_urls").alias("url")).select(U.normalize_url(F.col("url")).alias("url")).where(F.length("url") % 3 == 0).distinct()
     return crawl.dispositions(links.dropDuplicates(["referrer", "link_pos", "href"]), visited, SCOPE, 3)
 
 
 @query
 def crawl_dispositions(spark: SparkSession, folder: str) -> DataFrame:
-    return crawl.disposition_counts(_dispositions(spark, folder), ["unparseable", "asset_host", "asset", "depth", "scope", "visited", "follow", "error"], 0).select("disposition", "links")
+    return crawl.disposition_counts(_dispositions(spark, folder), ["unparseable", "asset_host", "asset", "depth", "scope", "visited", "follow", "error"], 5).select("disposition", "links", F.array_join("sample", " ").alias("sample"))
 
 
 @query
 def host_pacing(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
-    requests = e.select(F.concat(F.lit("h"), (F.col("user_id") % 40).cast("string")).alias("host"), F.col("event_id").alias("pos"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("arrive_s"), (F.col("value") / 10).alias("took_s"), F.when(F.col("event_type") == "error", 429).otherwise(200).alias("status"), F.lit(30.0).alias("retry_s"))
+    requests = e.select(F.concat(F.lit("h"), F.col("user_id").cast("string")).alias("host"), F.col("event_id").alias("pos"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("arrive_s"), (F.col("value") / 10).alias("took_s"), F.when(F.col("event_type") == "error", 429).otherwise(200).alias("status"), F.lit(30.0).alias("retry_s"))
     return crawl.paced(requests).select("host", "pos", *[F.round(c, 3).alias(c) for c in ("start_s", "wait_s", "next_allowed")])
 
 
 @query
 def leaf_collapse(spark: SparkSession, folder: str) -> DataFrame:
-    files = _files(spark, folder).select(F.concat("segments", F.array(F.regexp_replace("name", r"\.[^.]*$", ""))).alias("segments"), F.lit("index.md").alias("name"))
+    """Two of three files as the index page of a folder of their own, some with a picture or another page beside it."""
+    stem = F.regexp_replace("name", r"\.[^.]*$", "")
+    own = F.concat("segments", F.array(stem))
+    at = lambda s, n: F.struct(s.alias("segments"), n.alias("name"))
+    many = F.when(F.length("name") % 3 == 0, F.array(at(F.col("segments"), F.concat(stem, F.lit(".md"))))).when(
+        F.length("name") % 3 == 1, F.array(at(own, F.lit("index.md")), at(own, F.concat(F.lit("index-"), stem, F.lit(".png"))))
+    ).when(F.length("name") % 2 == 0, F.array(at(own, F.lit("index.md")), at(F.concat(own, F.array(F.lit("deep"))), F.lit("index.md")))).otherwise(F.array(at(own, F.lit("index.md")), at(own, F.lit("other.md"))))
+    files = _files(spark, folder).select(F.inline(many)).distinct()
     out = crawl.collapsed(files)
-    return out.select(F.array_join("segments", "/").alias("path"), F.concat_ws("/", F.array_join("new_segments", "/"), "new_name").alias("new_path"))
+    return out.select(F.array_join("segments", "/").alias("path"), "name", F.concat_ws("/", F.array_join("new_segments", "/"), "new_name").alias("new_path"))
 
 
 @query
@@ -431,10 +452,13 @@ def question_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def draft_checks(spark: SparkSession, folder: str) -> DataFrame:
-    items = table(spark, folder, "generated_item").select("item_id", "question", "expected_answer", F.element_at("source_packet_ids", 1).alias("id"))
-    rows = items.join(table(spark, folder, "packet").select("id", "body"), "id")
-    none = F.array().cast("array<string>")
-    return evalset.drafts_checked(rows.withColumn("persona_mismatch", F.lit("")).withColumn("needed", none).withColumn("cited", none)).select("item_id", "reason")
+    """Drafts against all packets they draw on; ids of a length that 7 divides are not cited, hard questions of nobody do not fit anybody."""
+    items = table(spark, folder, "generated_item").select("item_id", "kind", "persona_id", "question", "expected_answer", F.coalesce("source_packet_ids", F.array().cast("array<string>")).alias("needed"))
+    bodies = items.select("item_id", F.posexplode("needed").alias("pos", "id")).join(table(spark, folder, "packet").select("id", "body"), "id")
+    joined = bodies.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "body"))), lambda x: x["body"]), "\n").alias("body"))
+    mismatch = F.when((F.col("kind") == "hard-1") & (F.coalesce(F.trim("persona_id"), F.lit("")) == ""), "nobody asks").otherwise("")
+    rows = items.join(joined, "item_id", "left").withColumn("persona_mismatch", mismatch).withColumn("cited", F.filter("needed", lambda i: F.length(i) % 7 != 0))
+    return evalset.drafts_checked(rows).select("item_id", "reason")
 
 
 # --- evaluation
