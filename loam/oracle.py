@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from loam.functions.text import EXAM_TELLS, STOPWORDS
+from loam.oracle_packed import SQL as PACKED
 from loam.queries import ALIASES, EVICTION_BUDGET, KB_BUDGET, REQUESTED_FROM, SCOPE
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p3_found": PACKED}
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^@/?#]*@)?([^:/?#]*)(?::(\d+))?([^?#]*)(\?[^#]*)?"
 
@@ -338,3 +339,69 @@ u AS (SELECT segments AS s, stem || '.md' AS f FROM k WHERE m = 0 UNION SELECT l
   UNION SELECT list_concat(segments, [stem, 'deep']), 'index.md' FROM k WHERE m = 2 AND e = 0 UNION SELECT list_append(segments, stem), 'other.md' FROM k WHERE m = 2 AND e = 1),
 r{_DEEPEST} AS (SELECT array_to_string(s, '/') AS path, f AS name, s, f FROM u),{_LEVELS}
 SELECT path, name, array_to_string(s, '/') || '/' || f AS new_path FROM r1"""
+
+
+SQL["session_memory"] = f"""
+WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS session, event_id AS call_no, 'p' || (event_id % 23) AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+w(session, call_no, n, loaded, evicted, active, redundant, error_ids, error_reason) AS (
+  SELECT DISTINCT session, 0::BIGINT, 0::BIGINT, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), false, '', CAST(NULL AS VARCHAR) FROM e
+  UNION ALL
+  SELECT session, call_no, n, CASE WHEN held OR p = 'p22' THEN [] ELSE [p] END, CASE WHEN held OR p = 'p22' THEN [] ELSE line[1:k - 1] END, CASE WHEN held OR p = 'p22' THEN active ELSE line[k:] END, held, CASE WHEN p = 'p22' AND NOT held THEN p ELSE '' END,
+    CASE WHEN p = 'p22' AND NOT held THEN 'unknown_packet_id' END
+  FROM (SELECT e.session, e.call_no, e.n, e.p, w.active, list_contains(w.active, e.p) AS held, list_append(w.active, e.p) AS line,
+      list_min(list_filter(generate_series(1, len(w.active) + 1), lambda k: list_sum(list_transform(list_append(w.active, e.p)[k:], lambda x: CAST(substr(x, 2) AS INT) * 7 % 19 + 1)) <= {EVICTION_BUDGET})) AS k
+    FROM w JOIN e ON e.session = w.session AND e.n = w.n + 1))
+SELECT session, call_no, array_to_string(loaded, ',') AS loaded, array_to_string(evicted, ',') AS evicted, array_to_string(active, ',') AS active_after, redundant, error_ids, error_reason FROM w WHERE n > 0"""
+
+_WS = r"[ \t\n\x0B\f\r]"
+_IMAGES = "replace(" + r"regexp_replace(regexp_replace(regexp_replace({0}, '(!\[[^\]]*\]\()(https?://|assets/)', '\1' || chr(1) || '\2', 'g'), '(!\[[^\]]*\]\()(?:[^)\s\x01]*/)?([^)\s/\x01]+)(\))', '\1assets/\2\3', 'g'), chr(1), '', 'g')" + ", chr(1), '')"
+_ROW, _DELIMITER = r"^[ \t\x0B\f\r]*\|.*\|[ \t\x0B\f\r]*$", r"^[ \t\x0B\f\r]*\|(?:[ \t\x0B\f\r]*:?-+:?[ \t\x0B\f\r]*\|)+[ \t\x0B\f\r]*$"
+SQL["markdown_tidied"] = f"""
+WITH t AS (SELECT hit_id, string_split({_IMAGES.format("text")}, chr(10)) AS l FROM retrieved_chunk WHERE text IS NOT NULL),
+r AS (SELECT hit_id, l, list_transform(l, lambda x: regexp_matches(x, '{_ROW}')) AS row, list_transform(l, lambda x: regexp_matches(x, '{_DELIMITER}')) AS rule FROM t),
+f AS (SELECT hit_id, array_to_string(list_transform(l, lambda x, i: CASE WHEN row[i] AND (i = 1 OR NOT row[i - 1]) AND coalesce(row[i + 1], false) AND NOT coalesce(rule[i + 1], false)
+  THEN x || chr(10) || '|' || array_to_string(list_transform(string_split(regexp_replace(trim(x), '^[|]+|[|]+$', '', 'g'), '|'), lambda c: '---'), '|') || '|' ELSE x END), chr(10)) AS md FROM r)
+SELECT hit_id, regexp_replace(regexp_replace(md, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{_WS}+|{_WS}+$', '', 'g') || chr(10) AS tidied FROM f"""
+
+_KINDS_OF = "CASE doc_id % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'html' WHEN 2 THEN 'pdf' ELSE 'markdown' END"
+_EMPTY = r"^[\s\p{Z}\x0B\x85\x1c-\x1f]*$"
+#: Segments of documents, then chunks of segments: one walk over the lines, one over the segments.
+_CHUNKS = f"""
+t AS (SELECT CAST(doc_id AS VARCHAR) AS doc, {_KINDS_OF} AS kind, {_KINDS_OF} <> 'text' AS md, replace(text, chr(13) || chr(10), chr(10)) AS t FROM documents WHERE text IS NOT NULL AND text <> ''),
+l AS (SELECT doc, md, t, generate_subscripts(x, 1) AS n, unnest(x) AS line FROM (SELECT doc, md, t, string_split(t, chr(10)) AS x FROM t)),
+o AS (SELECT doc, md, n, line, length(t) AS size, sum(length(line) + 1) OVER (PARTITION BY doc ORDER BY n) - length(line) - 1 AS a, regexp_extract(line, '^(`{{3,}}|~{{3,}})', 1) AS run, regexp_matches(line, '{_EMPTY}') AS blank,
+  md AND regexp_matches(line, '^#{{1,6}}(?:[ \t]+.*?)?[ \t]*#*[ \t]*$') AS head, length(regexp_extract(line, '^(#{{1,6}})', 1)) AS level, regexp_extract(line, '^#{{1,6}}(?:[ \t]+(.*?))?[ \t]*#*[ \t]*$', 1) AS title FROM l),
+w(doc, n, kind, open, seg) AS (
+  SELECT doc, 0::BIGINT, '', '', 0 FROM t
+  UNION ALL
+  SELECT o.doc, o.n, CASE WHEN w.open <> '' THEN 'code' WHEN o.blank THEN 'blank' WHEN o.head THEN 'heading' WHEN o.md AND o.run <> '' THEN 'code' ELSE 'paragraph' END,
+    CASE WHEN w.open <> '' THEN CASE WHEN o.run <> '' AND starts_with(o.line, w.open) THEN '' ELSE w.open END WHEN o.blank OR o.head OR NOT o.md THEN '' ELSE o.run END,
+    CASE WHEN w.open <> '' THEN w.seg WHEN o.blank OR o.head OR (o.md AND o.run <> '') THEN w.seg + 1 WHEN w.kind = 'paragraph' THEN w.seg ELSE w.seg + 1 END
+  FROM w JOIN o ON o.doc = w.doc AND o.n = w.n + 1),
+s AS (SELECT w.doc, w.seg AS n, any_value(w.kind) AS kind, min(o.a) AS a, max(least(o.a + length(o.line) + 1, o.size)) AS z, any_value(o.level) AS level, any_value(CASE WHEN w.kind = 'heading' THEN o.title END) AS title FROM w JOIN o ON o.doc = w.doc AND o.n = w.n WHERE w.n > 0 GROUP BY w.doc, w.seg),
+g AS (SELECT *, greatest(1, (z - a) // 4) AS size FROM s),
+k(doc, n, path, held, a, z, tokens, hpath, out) AS (
+  SELECT doc, 0, CAST([] AS STRUCT(l INT, t VARCHAR)[]), false, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 0::BIGINT, CAST([] AS VARCHAR[]), CAST([] AS STRUCT(a BIGINT, z BIGINT, h VARCHAR[])[]) FROM t
+  UNION ALL
+  SELECT doc, n, path, NOT alone, CASE WHEN alone THEN NULL WHEN flush OR NOT held THEN solid_a ELSE coalesce(a, solid_a) END, CASE WHEN alone THEN NULL WHEN flush OR NOT held THEN solid_z ELSE coalesce(solid_z, z) END,
+    CASE WHEN alone THEN 0 WHEN flush OR NOT held THEN size ELSE tokens + size END, CASE WHEN alone OR flush OR NOT held THEN now ELSE hpath END,
+    list_concat(list_concat(out, CASE WHEN flush AND a IS NOT NULL THEN [{{'a': a, 'z': z, 'h': hpath}}] ELSE [] END), CASE WHEN alone THEN [{{'a': ga, 'z': gz, 'h': now}}] ELSE [] END)
+  FROM (SELECT *, list_transform(path, lambda x: x.t) AS now FROM (SELECT k.doc, g.n, k.held, k.a, k.z, k.tokens, k.hpath, k.out, g.size, g.a AS ga, g.z AS gz, CASE WHEN g.kind <> 'blank' THEN g.a END AS solid_a, CASE WHEN g.kind <> 'blank' THEN g.z END AS solid_z,
+      g.kind IN ('code', 'paragraph') AND g.size >= @TARGET AS alone, (g.kind IN ('code', 'paragraph') AND g.size >= @TARGET) OR (k.held AND k.tokens + g.size > @TARGET) AS flush,
+      CASE WHEN g.kind = 'heading' AND NOT regexp_matches(g.title, '{_EMPTY}') THEN list_append(list_filter(k.path, lambda x: x.l < g.level), {{'l': CAST(g.level AS INT), 't': g.title}}) ELSE k.path END AS path
+    FROM k JOIN g ON g.doc = k.doc AND g.n = k.n + 1))),
+last AS (SELECT doc, list_concat(out, CASE WHEN a IS NOT NULL THEN [{{'a': a, 'z': z, 'h': hpath}}] ELSE [] END) AS out FROM k QUALIFY row_number() OVER (PARTITION BY doc ORDER BY n DESC) = 1),
+c AS (SELECT doc, generate_subscripts(out, 1) AS n, unnest(out) AS c FROM last),
+body AS (SELECT c.doc, c.n, c.c.a AS a, c.c.z AS z, c.c.h AS h, rtrim(substr(t.t, c.c.a + 1, c.c.z - c.c.a), chr(10)) AS body FROM c JOIN t USING (doc))"""
+# what a chunk repeats of the one before: the first word start within 83 of its last 120 characters, else the last one
+_PIECE = "right(v.whole, 120)"
+_STARTS = f"list_filter(generate_series(1, length({_PIECE}) - 1), lambda i: substr({_PIECE}, i, 1) = ' ')"
+_NEAR = f"list_filter({_STARTS}, lambda i: length({_PIECE}) - i <= 83)"
+_LEAD = f"CASE WHEN len({_NEAR}) > 0 THEN substr({_PIECE}, CAST(list_min({_NEAR}) AS INT) + 1) WHEN len({_STARTS}) > 0 THEN substr({_PIECE}, CAST(list_max({_STARTS}) AS INT) + 1) ELSE {_PIECE} END"
+SQL["chunk_documents"] = f"""
+WITH RECURSIVE {_CHUNKS.replace("@TARGET", "200")},
+v(doc, n, a, z, h, whole) AS (
+  SELECT doc, n, a, z, h, trim(body, chr(10)) FROM body WHERE n = 1
+  UNION ALL
+  SELECT b.doc, b.n, b.a, b.z, b.h, trim(CASE WHEN {_LEAD} <> '' THEN {_LEAD} || chr(10) || chr(10) || b.body ELSE b.body END, chr(10)) FROM v JOIN body b ON b.doc = v.doc AND b.n = v.n + 1)
+SELECT doc AS kb_path, t.kind AS source_kind, CAST(n - 1 AS INT) AS chunk_index, md5(whole) AS text_md5, CAST(a AS INT) AS char_start, CAST(z AS INT) AS char_end, array_to_string(h, ' > ') AS headings, CAST(greatest(1, length(whole) // 4) AS INT) AS token_estimate FROM v JOIN t USING (doc)"""

@@ -234,7 +234,8 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of every kind of source: pages, converted files and plain texts."""
-    return chunked(_documents(spark, folder), target=200, overlap=20)
+    out = chunked(_documents(spark, folder), target=200, overlap=20)
+    return out.select("kb_path", "source_kind", "chunk_index", F.md5("text").alias("text_md5"), "char_start", "char_end", F.array_join("headings", " > ").alias("headings"), "token_estimate")
 
 
 @query
@@ -326,7 +327,9 @@ def eviction_plan(spark: SparkSession, folder: str) -> DataFrame:
 def session_memory(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
     calls = e.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("call_no"), F.array().cast("array<string>").alias("claimed"), F.array(F.concat(F.lit("p"), (F.col("event_id") % 23).cast("string"))).alias("requested"))
-    return memory.session_fold(calls, {f"p{i}": i * 7 % 19 + 1 for i in range(22)}, EVICTION_BUDGET)
+    out = memory.session_fold(calls, {f"p{i}": i * 7 % 19 + 1 for i in range(22)}, EVICTION_BUDGET)
+    text = lambda c: F.array_join(c, ",").alias(c)
+    return out.select("session", "call_no", text("loaded"), text("evicted"), text("active_after"), "redundant", text("error_ids"), "error_reason")
 
 
 @query
