@@ -75,7 +75,7 @@ def rewritten_images(md: Column, folder: str = "assets") -> Column:
 
 def referenced_images(md: Column, images: Column) -> Column:
     """Those of ``ARRAY<STRUCT<remote,local>>`` whose local name is the target of some reference, alone or before a title."""
-    return F.filter(images, lambda i: md.rlike(F.concat(F.lit(r"\]\(\s*\Q"), i["local"], F.lit(r"\E[\s)\"]"))))
+    return F.filter(images, lambda i: F.regexp_like(md, F.concat(F.lit(r"\]\(\s*\Q"), i["local"], F.lit(r"\E[\s)\"]"))))
 
 
 def link_slugs(md: Column) -> Column:

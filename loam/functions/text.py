@@ -185,7 +185,7 @@ def magic_ext(content: Column) -> Column:
 
 
 def data_url(content: Column, mime: Column) -> Column:
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.translate(F.base64(content), "\r\n", ""))
 
 
 def salvaged_json(text: Column, schema: str) -> Column:

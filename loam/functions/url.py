@@ -101,7 +101,8 @@ def retry_after_seconds(value: Column, now: Column) -> Column:
     seconds = v.try_cast("int").cast("double")
     # the weekday is left out: it adds nothing, and its pattern letter is not supported everywhere
     when = F.try_to_timestamp(F.regexp_extract(v, r"^\w+, (.*) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.greatest(F.lit(0.0), F.coalesce(seconds, F.unix_timestamp(when) - F.unix_timestamp(now)).cast("double"))
+    asked = F.coalesce(seconds, F.unix_timestamp(when) - F.unix_timestamp(now)).cast("double")
+    return F.when(asked.isNotNull(), F.greatest(F.lit(0.0), asked))
 
 
 def endpoint_url(base: Column, suffix: str = "/v1/traces") -> Column:

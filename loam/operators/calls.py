@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable, Iterable
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,8 +125,6 @@ def replayed(replies: Iterable[Any]) -> Callable[[], Any]:
 
 def summaries(content: Column, summarise: Callable[[str], str] | None = None, most_chars: int = 20_000, retries: int = 2) -> Column:
     """``struct<title,long,error>`` of folders' contents by an injected model; a model that cannot serve stops the run."""
-    import pandas as pd
-
     def run(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:

@@ -193,22 +193,28 @@ def generated(slots: DataFrame, packets: DataFrame, generate: Callable[..., str]
     tries = wanted.join(held, "id", "left").groupBy("kind", "item", "other", "persona_id", "framing").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("packet").isNotNull(), F.struct("try_no", "packet")))), lambda x: x["packet"]).alias("packets"))  # as many as attempts
     both = tries.join(held.select(F.col("id").alias("other"), F.col("packet").alias("second")), "other", "left")
 
+    def plain(packet) -> dict | None:
+        """A packet with lists where Arrow has arrays or nothing."""
+        if packet is None or not isinstance(packet, dict):
+            return None
+        return {**packet, **{c: [] if packet[c] is None else list(packet[c]) for c in ("paragraphs", "assets")}}
+
     def chosen(packet: dict, n: int) -> list[str]:
-        texts = list(packet["paragraphs"] if packet["paragraphs"] is not None else [])
+        texts = packet["paragraphs"]
         order = sorted(range(len(texts)), key=lambda i: (hashlib.sha256(f"{seed}|{packet['id']}|{i}".encode()).hexdigest(), i))
         return [texts[i] for i in sorted(order[:n])]
 
     def grounding(kind: str, packet: dict, other: dict | None) -> list[str] | None:
         if kind in ("simple", "hard-2"):
-            return None if kind == "hard-2" and not len(packet["assets"] if packet["assets"] is not None else []) else [(packet["body"] or "")[: MOST_CONTENT[kind]]]
-        own = len(packet["paragraphs"] if packet["paragraphs"] is not None else [])
+            return None if kind == "hard-2" and not packet["assets"] else [(packet["body"] or "")[: MOST_CONTENT[kind]]]
+        own = len(packet["paragraphs"])
         if kind == "medium":
             return [p[: MOST_CONTENT[kind]] for p in chosen(packet, 1)] or None
         if kind == "complex":
             return chosen(packet, 3) if own >= 3 else None
         if other is None:
             return None
-        theirs = len(other["paragraphs"] if other["paragraphs"] is not None else [])
+        theirs = len(other["paragraphs"])
         take_a = min(2, own)
         take_b = min(3 - take_a, theirs)
         take_a = min(3 - take_b, own) if take_a + take_b < 3 else take_a
@@ -252,7 +258,7 @@ def generated(slots: DataFrame, packets: DataFrame, generate: Callable[..., str]
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                id_, question, answer, made, reason, error = one(r.kind, list(r.packets), r.second, r.framing or "")
+                id_, question, answer, made, reason, error = one(r.kind, [plain(p) for p in r.packets], plain(r.second), r.framing or "")
                 out.append((r.kind, r.item, id_, r.other, r.persona_id, question, answer, made, reason, error))
             if out:
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in GENERATED.split(", ")])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from loam.functions.text import EXAM_TELLS, STOPWORDS
 from loam.oracle_packed import SQL as PACKED
+from loam import queries_memory, queries_pages, queries_runs
 from loam.queries import ALIASES, EVICTION_BUDGET, KB_BUDGET, REQUESTED_FROM, SCOPE
 
 SQL: dict[str, str] = {"p3_found": PACKED}
@@ -405,3 +406,14 @@ v(doc, n, a, z, h, whole) AS (
   UNION ALL
   SELECT b.doc, b.n, b.a, b.z, b.h, trim(CASE WHEN {_LEAD} <> '' THEN {_LEAD} || chr(10) || chr(10) || b.body ELSE b.body END, chr(10)) FROM v JOIN body b ON b.doc = v.doc AND b.n = v.n + 1)
 SELECT doc AS kb_path, t.kind AS source_kind, CAST(n - 1 AS INT) AS chunk_index, md5(whole) AS text_md5, CAST(a AS INT) AS char_start, CAST(z AS INT) AS char_end, array_to_string(h, ' > ') AS headings, CAST(greatest(1, length(whole) // 4) AS INT) AS token_estimate FROM v JOIN t USING (doc)"""
+
+
+SQL["chunk_table_function"] = f"""
+WITH RECURSIVE {_CHUNKS.replace("@TARGET", "500")}
+SELECT doc AS kb_path, CAST(n - 1 AS INT) AS chunk_index, md5(trim(body, chr(10))) AS text_md5, CAST(a AS INT) AS char_start, CAST(z AS INT) AS char_end FROM body"""
+SQL["chunk_estimator"] = f"""
+WITH RECURSIVE {_CHUNKS.replace("@TARGET", "300").replace("(z - a) // 4", "(z - a) // 2")}
+SELECT doc AS kb_path, CAST(n - 1 AS INT) AS chunk_index, md5(trim(body, chr(10))) AS text_md5, CAST(greatest(1, length(trim(body, chr(10))) // 2) AS INT) AS token_estimate FROM body"""
+SQL["stored_text_index"] = SQL["bm25_topk"]
+SQL |= {"stream_sessions": SQL["session_memory"], "stream_pacing": SQL["host_pacing"], "stream_windows": SQL["event_windows"]}
+SQL |= queries_pages.SQL | queries_memory.SQL | queries_runs.SQL

@@ -547,3 +547,7 @@ def turn_reassembly(spark: SparkSession, folder: str) -> DataFrame:
 def progress_totals(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "eval_row").where(F.col("turns").isNotNull())
     return stream.progress(e.select("question_id", "score", (F.col("pos") * 10).alias("elapsed_ms")))
+
+
+# queries by area; each adds itself to QUERIES and its twin to the SQL of its module
+from loam import queries_memory, queries_pages, queries_runs  # noqa: E402, F401
