@@ -207,8 +207,10 @@ def test_leaf_collapse_query_takes_every_depth(spark, tmp_path):
     from loam.queries import QUERIES
 
     spark.createDataFrame([("h/a/b/c/d/e/f/g.md",), ("h/a/b.md",)], "kb_path string").write.parquet(f"{tmp_path}/manifest_entry.parquet")
-    got = {r["path"]: r["new_path"] for r in QUERIES["leaf_collapse"](spark, str(tmp_path)).collect()}
-    assert got == {"h/a/b/c/d/e/f/g": "h/a/b/c/d/e/f/g.md", "h/a/b": "h/a/b/index.md"}
+    got = {(r["path"], r["name"]): r["new_path"] for r in QUERIES["leaf_collapse"](spark, str(tmp_path)).collect()}
+    # the query gives each page a picture beside it, which moves with it
+    deep, kept = "h/a/b/c/d/e/f/g", "h/a/b"
+    assert got == {(deep, "index.md"): f"{deep}.md", (deep, "index-g.png"): f"{deep}-g.png", (kept, "index.md"): f"{kept}/index.md", (kept, "index-b.png"): f"{kept}/index-b.png"}
 
 
 def test_catalog_round_trip_of_whole_bodies(spark, data):
