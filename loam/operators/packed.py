@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loam.session import spread
+
 _DOUBLE = "﷐"
 _SINGLE = "﷑"
 _SPACE = r"[\s  -​　﻿]"
@@ -86,6 +88,7 @@ def unpack(df: DataFrame, key: str, field: str, least: int = 1, key_name: str =
     Only the two named columns are read, whatever else the table holds.
     """
     # the marker keeps Catalyst from computing the array a second time for the filter
-    cut = df.select(F.col(key).alias(key_name), packed_values(F.col(field)).alias("__values"))
+    rows = spread(df.select(F.col(key).alias(key_name), F.col(field).alias("__field")))
+    cut = rows.select(key_name, packed_values(F.col("__field")).alias("__values"))
     kept = cut.where(F.size("__values") >= least) if least > 0 else cut
     return kept.select(key_name, F.posexplode("__values").alias("val_pos", "val"))

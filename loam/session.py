@@ -92,6 +92,12 @@ def default_parallelism(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows on all cores, where the scan gives fewer than half as many parts as there are cores (small files)."""
+    """Rows on all cores, where the scan gives fewer than half as many parts as there are cores (small files).
+
+    Only for rows right from a scan: what has been shuffled is spread as the planner sees fit, and nothing is run here.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    if df.isStreaming or "Exchange" in plan.toString():
+        return df
     cores = default_parallelism(df.sparkSession)
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+    return df.repartition(cores) if plan.execute().getNumPartitions() * 2 < cores else df
