@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from loam.session import spread
+
 DEFECTS = ("empty", "copy", "refusal", "truncated", "language")
 
 _FENCED = re.compile(r"(?ms)^\s*(`{3,}|~{3,})[^\n]*\n.*?(?:^\s*\1[`~]*\s*$|\Z)")
@@ -467,6 +469,6 @@ def _all_defects(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
 def broken_pairs(df: DataFrame, key: str = "pos", question: str = "question", answer: str = "actual_answer", run: str | None = "turns") -> DataFrame:
     """``(key, defects)`` of every pair that was run and has a defect. A map over the scan: no shuffle."""
     pair_defects = F.pandas_udf(_all_defects, ArrayType(StringType()))
-    rows = df.where(F.col(run).isNotNull()) if run else df
+    rows = spread((df.where(F.col(run).isNotNull()) if run else df).select(key, question, answer))
     found = rows.select(F.col(key), pair_defects(F.col(question), F.col(answer)).alias("defects"))
     return found.where(F.size("defects") > 0)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.boilerplate import bare_entry, hinted, role_of
-from loam.session import bounded_arrow, bounded_rows, staged
+from loam.session import bounded_arrow, bounded_rows, spread, staged
 
 BITS, SOURCES, ADDRESSES, SHARE = 18, 4096, 16384, 0.25
 _SIZE = 1 << BITS
@@ -160,7 +160,7 @@ def read_texts(docs: DataFrame) -> DataFrame:
                     index=batch.index,
                 )
 
-    return docs.select("doc_id", "text", "source", "title").mapInPandas(run, READ)
+    return spread(docs.select("doc_id", "text", "source", "title")).mapInPandas(run, READ)
 
 
 def _split(values: np.ndarray, at: np.ndarray) -> list[bytes]:
