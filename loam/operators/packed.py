@@ -12,8 +12,7 @@ Defined results
 - an absolute URL that starts inside a run of text starts a value of its own, unless ``=`` stands before it
   (a URL handed over as a parameter);
 - an unclosed quote is closed at the end of the field;
-- the private code points of ``_DOUBLE`` and ``_SINGLE`` stand for literal quotes while the field is cut; a field
-  that holds them already gets quotes in their place.
+- private code points stand for literal quotes while the field is cut; a field that holds them itself keeps them.
 """
 
 from __future__ import annotations
@@ -25,6 +24,7 @@ from loam.session import spread
 
 _DOUBLE = "﷐"
 _SINGLE = "﷑"
+_HELD = "\ufdd2"  # stands before a digit for one of these three that the field holds itself
 _SPACE = r"[\s  -​　﻿]"
 _NUMBER = r"[\(\[]?\d{1,4}[\]\).:]+"
 #: Tokens that only separate: joining words, marks, bullets and numbering.
@@ -53,21 +53,27 @@ def _quotes_marked(text: Column) -> Column:
 
 def _delimited(piece: Column) -> Column:
     """Values of a piece outside quotes."""
-    text = F.regexp_replace(piece, r"(?i)<br\s*/?>", " ")
-    text = F.regexp_replace(text, r"[<>、，；‖•·→]", " ")
-    text = F.regexp_replace(text, rf"(?<=^|{_SPACE})(?:->|=>)(?=$|{_SPACE})", " ")
+    # a pattern is tried only where its sign is: most fields hold none of them
+    text = F.when(F.contains(piece, F.lit("<")), F.regexp_replace(piece, r"(?i)<br\s*/?>", " ")).otherwise(piece)
+    text = F.translate(text, "<、，；‖•·→", " " * 8)
+    text = F.when(F.contains(text, F.lit(">")), F.translate(F.regexp_replace(text, rf"(?<=^|{_SPACE})(?:->|=>)(?=$|{_SPACE})", " "), ">", " ")).otherwise(text)
     text = F.regexp_replace(text, r"(?<=[^=\s])(?=https?://)", " ")
     text = F.regexp_replace(text, rf"[,;|]+(?=$|{_SPACE}|[,;|\]\)]|[\w.-]+/)|(?<=^|{_SPACE})[,;|]+", " ")
     tokens = F.split(text, rf"{_SPACE}+")
-    tokens = F.transform(tokens, lambda t: F.regexp_replace(t, rf"^(?:{_NUMBER})(?=https?://|[a-z])|^[\[\(]+(?=[a-z])", ""))
-    tokens = F.filter(tokens, lambda t: (t != F.lit("")) & ~t.rlike(rf"^{_SEPARATOR}$"))
+    plain = lambda t: F.startswith(t, F.lit("http"))  # noqa: E731 - no numbering in front, no separator
+    tokens = F.transform(tokens, lambda t: F.when(plain(t), t).otherwise(F.regexp_replace(t, rf"^(?:{_NUMBER})(?=https?://|[a-z])|^[\[\(]+(?=[a-z])", "")))
+    tokens = F.filter(tokens, lambda t: (t != F.lit("")) & (plain(t) | ~t.rlike(rf"^{_SEPARATOR}$")))
     tokens = F.transform(tokens, lambda t: F.when(t.rlike(r"[\(\[]"), t).otherwise(F.regexp_replace(t, r"[\]\)]+$", "")))
     return F.filter(tokens, lambda t: t != F.lit(""))
 
 
 def packed_values(text: Column) -> Column:
     """``ARRAY<STRING>`` of the bare values of a packed field; empty for null, blank and placeholder fields."""
-    pieces = F.split(_quotes_marked(text), '"')
+    own = F.coalesce(text.rlike(f"[{_DOUBLE}{_SINGLE}{_HELD}]"), F.lit(False))
+    kept = text
+    for k, mark in ((2, _HELD), (0, _DOUBLE), (1, _SINGLE)):
+        kept = F.replace(kept, F.lit(mark), F.lit(f"{_HELD}{k}"))
+    pieces = F.split(_quotes_marked(F.when(own, kept).otherwise(text)), '"')
     folded = F.flatten(
         F.transform(
             pieces,
@@ -76,7 +82,13 @@ def packed_values(text: Column) -> Column:
             ).otherwise(_delimited(piece)),
         )
     )
-    bare = F.transform(folded, lambda v: F.translate(v, _DOUBLE + _SINGLE, "\"'"))
+    def back(v: Column) -> Column:
+        for k, mark in ((0, _DOUBLE), (1, _SINGLE), (2, _HELD)):
+            v = F.replace(v, F.lit(f"{_HELD}{k}"), F.lit(mark))
+        return v
+
+    quoted = F.transform(folded, lambda v: F.translate(v, _DOUBLE + _SINGLE, "\"'"))
+    bare = F.when(own, F.transform(quoted, back)).otherwise(quoted)
     empty = F.array().cast("array<string>")
     placeholder = F.lower(F.trim(text)).isin(*PLACEHOLDERS)
     return F.when(text.isNull() | placeholder, empty).otherwise(bare)

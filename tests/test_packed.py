@@ -78,3 +78,11 @@ def test_query_columns(spark, data, name):
     df = QUERIES[name](spark, data)
     assert df.columns == ["tab", "row_key", "val_pos", "val"]
     assert df.count() > 0
+
+
+def test_private_code_points_are_kept(spark):
+    field = 'a/x﷐y.md, "b ﷑ ""c"" ﷒﷒0.md"'
+    got = spark.createDataFrame([(1, field)], "k long, f string")
+    from loam.operators.packed import unpack
+
+    assert [r["val"] for r in unpack(got, "k", "f").orderBy("val_pos").collect()] == ["a/x﷐y.md", 'b ﷑ "c" ﷒﷒0.md']
