@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.markdown import without_image
 from loam.functions.url import asset_host_allowed, in_scope, is_asset_url, normalize_url
+from loam.operators.ranking import PER_BLOCK
 from loam.session import staged
 
 RETRYABLE = (429, 503)
@@ -180,27 +178,24 @@ def sidecars(files: DataFrame, links: DataFrame) -> DataFrame:
 PACED = "host string, pos long, start_s double, wait_s double, next_allowed double"
 
 
-def paced(requests: DataFrame, delay_s: float = DELAY_S) -> DataFrame:
+def paced(requests: DataFrame, delay_s: float = DELAY_S, per_block: int = PER_BLOCK) -> DataFrame:
     """How long each request of a host had to wait: ``requests(pos, host, arrive_s, took_s, status, retry_s)``.
 
     A host's next request starts no sooner than ``delay_s`` after the end of the one before, or as long as the server
-    asked on 429 and 503. A fold in order per host; hosts are spread by key and stream through their task.
+    asked on 429 and 503. With c the time from a request's start to the next one's earliest, request i starts at the
+    greatest of arrive_j + c_j + ... + c_(i-1) over j up to i: a running sum and a running maximum, which are taken by
+    blocks of ``pos`` and then over the blocks, so that no task sees a whole host. Times count in microseconds; ``pos``
+    is unique within a host; a null time is taken as 0.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        host, allowed = None, 0.0
-        for batch in batches:
-            out = []
-            for h, pos, arrive, took, status, retry in zip(batch["host"], batch["pos"], batch["arrive_s"], batch["took_s"], batch["status"], batch["retry_s"]):
-                if h != host:
-                    host, allowed = h, arrive
-                start = max(arrive, allowed)
-                allowed = start + took + delay_s
-                if status in RETRYABLE and retry == retry and retry is not None:
-                    allowed = max(allowed, start + took + retry)
-                out.append((h, pos, start, start - arrive, allowed))
-            if out:
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in PACED.split(", ")])
-
-    rows = requests.select(F.lower("host").alias("host"), F.col("pos").cast("long").alias("pos"), F.col("arrive_s").cast("double").alias("arrive_s"), F.col("took_s").cast("double").alias("took_s"), "status", F.col("retry_s").cast("double").alias("retry_s"))
-    return rows.repartition("host").sortWithinPartitions("host", "pos").mapInPandas(run, PACED)
+    us = lambda c: F.coalesce(F.round(F.col(c).cast("double") * 1e6), F.lit(0)).cast("long")
+    asked = F.when(F.col("status").isin(*RETRYABLE), us("retry_s")).otherwise(0)
+    rows = requests.select(F.lower("host").alias("host"), F.col("pos").cast("long").alias("pos"), us("arrive_s").alias("arrive"), (us("took_s") + F.greatest(F.lit(round(delay_s * 1e6)), asked)).alias("c"))
+    rows = rows.withColumn("block", F.floor(F.col("pos") / per_block))
+    inside = Window.partitionBy("host", "block").orderBy("pos")
+    local = rows.withColumn("s", F.sum("c").over(inside) - F.col("c")).withColumn("lead", F.max(F.col("arrive") - F.col("s")).over(inside))
+    blocks = local.groupBy("host", "block").agg(F.sum("c").alias("sum"), F.max("lead").alias("most"))
+    before = Window.partitionBy("host").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0))).withColumn("ahead", F.max(F.col("most") - F.col("before")).over(before)).select("host", "block", "before", "ahead")
+    start = F.col("before") + F.col("s") + F.greatest(F.col("ahead"), F.col("lead") - F.col("before"))
+    out = local.join(blocks, ["host", "block"]).withColumn("start", start)
+    return out.select("host", "pos", (F.col("start") / 1e6).alias("start_s"), ((F.col("start") - F.col("arrive")) / 1e6).alias("wait_s"), ((F.col("start") + F.col("c")) / 1e6).alias("next_allowed"))

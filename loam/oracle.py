@@ -236,12 +236,12 @@ f AS (SELECT url, CASE WHEN disposition IN ('follow', 'asset') AND row_number()
 SELECT disposition, count(f.disposition) AS links, coalesce(array_to_string(list_sort(list_distinct(list(f.url) FILTER (f.url IS NOT NULL)))[1:5], ' '), '') AS sample FROM (VALUES ('unparseable'), ('asset_host'), ('asset'), ('depth'), ('scope'), ('visited'), ('follow'), ('error')) r(disposition) LEFT JOIN f USING (disposition) GROUP BY disposition"""
 
 SQL["host_pacing"] = """
-WITH RECURSIVE r AS (SELECT 'h' || user_id AS host, event_id AS pos, epoch_us(ts) / 1e6 AS arrive, value / 10 AS took, event_type = 'error' AS limited, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-f(host, pos, n, start_s, wait_s, next_allowed) AS (
-  SELECT host, pos, n, arrive, 0.0::DOUBLE, CASE WHEN limited THEN arrive + took + 30 ELSE arrive + took + 5 END FROM r WHERE n = 1
+WITH RECURSIVE r AS (SELECT 'h' || user_id AS host, event_id AS pos, epoch_us(ts) AS arrive, CAST(round(value * 100000) AS BIGINT) + CASE WHEN event_type = 'error' THEN 30000000 ELSE 5000000 END AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+f(host, pos, n, start_us, wait_us, next_allowed) AS (
+  SELECT host, pos, n, arrive, 0::BIGINT, arrive + c FROM r WHERE n = 1
   UNION ALL
-  SELECT r.host, r.pos, r.n, greatest(arrive, next_allowed), greatest(arrive, next_allowed) - arrive, greatest(arrive, next_allowed) + took + CASE WHEN limited THEN 30 ELSE 5 END FROM f JOIN r ON r.host = f.host AND r.n = f.n + 1)
-SELECT host, pos, round(start_s, 3) AS start_s, round(wait_s, 3) AS wait_s, round(next_allowed, 3) AS next_allowed FROM f"""
+  SELECT r.host, r.pos, r.n, greatest(arrive, next_allowed), greatest(arrive, next_allowed) - arrive, greatest(arrive, next_allowed) + c FROM f JOIN r ON r.host = f.host AND r.n = f.n + 1)
+SELECT host, pos, start_us, wait_us, next_allowed FROM f"""
 SQL["markdown_link_slugs"] = r"""
 WITH u AS (SELECT hit_id, list_transform(regexp_extract_all(text, '(?:^|[^!])\[[^\]]*\]\((https?://[^)\s]+)', 1), lambda x: regexp_replace(regexp_extract(regexp_replace(x, '[?#].*$', ''), '^https?://[^/]+/(?:.*/)?([^/]+)/*$', 1), '[.][^.]*$', '')) AS s FROM retrieved_chunk WHERE text IS NOT NULL),
 d AS (SELECT hit_id, list_filter(list_filter(s, lambda x: x <> ''), lambda x, i: list_position(list_filter(s, lambda y: y <> ''), x) = i) AS s FROM u)

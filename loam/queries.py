@@ -382,11 +382,15 @@ def crawl_dispositions(spark: SparkSession, folder: str) -> DataFrame:
     return crawl.disposition_counts(_dispositions(spark, folder), ["unparseable", "asset_host", "asset", "depth", "scope", "visited", "follow", "error"], 5).select("disposition", "links", F.array_join("sample", " ").alias("sample"))
 
 
+def _in_us(paced: DataFrame) -> DataFrame:
+    return paced.select("host", "pos", *[F.round(F.col(c) * 1e6).cast("long").alias(c.replace("_s", "_us")) for c in ("start_s", "wait_s", "next_allowed")])
+
+
 @query
 def host_pacing(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
     requests = e.select(F.concat(F.lit("h"), F.col("user_id").cast("string")).alias("host"), F.col("event_id").alias("pos"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("arrive_s"), (F.col("value") / 10).alias("took_s"), F.when(F.col("event_type") == "error", 429).otherwise(200).alias("status"), F.lit(30.0).alias("retry_s"))
-    return crawl.paced(requests).select("host", "pos", *[F.round(c, 3).alias(c) for c in ("start_s", "wait_s", "next_allowed")])
+    return _in_us(crawl.paced(requests))
 
 
 @query

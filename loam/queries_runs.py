@@ -6,12 +6,13 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.operators import calls, crawl, evalrun, evalset, memory
-from loam.queries import EVICTION_BUDGET, _turn_events, query
+from loam.queries import EVICTION_BUDGET, _in_us, _turn_events, query
 from loam.queries_pages import _shared, _uri
+from loam.session import staged
 from loam.sources.tables import table
 from loam.streaming import events as stream
 
@@ -343,18 +344,35 @@ def tool_fragments(spark: SparkSession, folder: str) -> DataFrame:
 SQL["tool_fragments"] = """SELECT event_id AS call_id, 0 AS index, 'load' AS name, CASE WHEN event_id % 4 = 0 THEN '{}' ELSE '{"id":' || event_id || ',"event_type":"' || event_type || '"}' END AS arguments FROM events"""
 
 
-@query
-def sse_streams(spark: SparkSession, folder: str) -> DataFrame:
-    """Server-sent events of each user, cut into pieces of eleven characters, put together again; the last frame of each is unfinished."""
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Frames of each user's events, cut into pieces of eleven characters; the last frame of each is unfinished."""
     e = table(spark, folder, "events").where(F.col("event_id") % 3 == 0)
     frame = F.concat(F.lit("id: 1\r\ndata: "), F.col("event_id").cast("string"), F.lit("\r\ndata:"), F.col("event_type"), F.lit("\r\n\r\n"))
     whole = e.groupBy("user_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", frame.alias("f")))), lambda x: x["f"]), ""), F.lit("data: unfin")).alias("t"))
     n = F.ceil(F.length("t") / 11).cast("int")
-    pieces = whole.select(F.col("user_id").alias("stream_id"), F.inline(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(k.alias("seq"), F.substring(F.col("t"), k * 11 + 1, F.lit(11)).alias("data")))))
-    return stream.sse_frames(pieces)
+    return whole.select(F.col("user_id").alias("stream_id"), F.inline(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(k.alias("seq"), F.substring(F.col("t"), k * 11 + 1, F.lit(11)).alias("data")))))
+
 
+@query
+def sse_streams(spark: SparkSession, folder: str) -> DataFrame:
+    """Server-sent events put together again from pieces that cut them anywhere."""
+    return stream.sse_frames(_pieces(spark, folder))
 
-SQL["sse_streams"] = "SELECT user_id AS stream_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS frame_no, event_id || chr(10) || event_type AS data FROM events WHERE event_id % 3 = 0"
+
+SQL["sse_live"] = SQL["sse_streams"] = "SELECT user_id AS stream_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS frame_no, event_id || chr(10) || event_type AS data FROM events WHERE event_id % 3 = 0"
+
+
+@query
+def sse_live(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as a stream of pieces in two batches, with state per stream: a frame cut between them waits."""
+    root = _uri(_shared(spark, "pieces"))
+    pieces = _pieces(spark, folder)
+    half = F.col("seq") * 2 < F.max("seq").over(Window.partitionBy("stream_id"))
+    cut = staged(pieces.withColumn("late", ~half), "cut")
+    for late in (False, True):
+        cut.where(F.col("late") == late).drop("late").coalesce(1).write.mode("append").parquet(root)
+    live = spark.readStream.schema(pieces.schema).option("maxFilesPerTrigger", 1).parquet(root)
+    return _drained(stream.sse_stream(live), "frames")
 
 
 @query
@@ -417,7 +435,7 @@ def stream_pacing(spark: SparkSession, folder: str) -> DataFrame:
     """Waiting times as a stream with state per host: the same as in a batch."""
     e = _event_stream(spark, folder)
     requests = e.select(F.concat(F.lit("h"), F.col("user_id").cast("string")).alias("host"), F.col("event_id").alias("pos"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("arrive_s"), (F.col("value") / 10).alias("took_s"), F.when(F.col("event_type") == "error", 429).otherwise(200).alias("status"), F.lit(30.0).alias("retry_s"))
-    return _drained(stream.host_rates(requests), "pacing").select("host", "pos", *[F.round(c, 3).alias(c) for c in ("start_s", "wait_s", "next_allowed")])
+    return _in_us(_drained(stream.host_rates(requests), "pacing"))
 
 
 @query

@@ -141,6 +141,28 @@ def sse_frames(chunks: DataFrame) -> DataFrame:
     return text.select("stream_id", "frame_no", F.array_join(F.transform(data, lambda x: F.regexp_replace(x, "^data: ?", "")), "\n").alias("data")).where(F.col("data") != "")
 
 
+def sse_stream(chunks: DataFrame) -> DataFrame:
+    """The same over a stream of pieces: what is unfinished waits in the state of its stream for the next batch."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, number = state.get if state.exists else ("", 0)
+        text = (held + "".join(pd.concat(list(batches)).sort_values("seq")["data"])).replace("\r\n", "\n")
+        # a carriage return at the end may be half of a line end
+        tail = "\r" if text.endswith("\r") else ""
+        *frames, rest = text.removesuffix("\r").split("\n\n")
+        out = []
+        for frame in frames:
+            data = "\n".join(x[5:].removeprefix(" ") for x in frame.split("\n") if x.startswith("data:"))
+            if data:
+                out.append((key[0], number, data))
+            number += 1
+        state.update((rest + tail, number))
+        yield pd.DataFrame(out, columns=["stream_id", "frame_no", "data"])
+
+    kind = chunks.schema["stream_id"].dataType.simpleString()
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, f"stream_id {kind}, frame_no int, data string", "held string, number int", "append", GroupStateTimeout.NoTimeout)
+
+
 def sse_frame(payload: Column) -> Column:
     return F.concat(F.lit("data: "), F.to_json(payload), F.lit("\n\n"))
 
@@ -183,7 +205,10 @@ def session_stream(calls: DataFrame, tokens: dict[str, int], budget: int = BUDGE
 
 
 def host_rates(requests: DataFrame, delay_s: float = DELAY_S, ttl_ms: int | None = None) -> DataFrame:
-    """Waiting times over a stream of requests; the state of a host is the time its next request may start."""
+    """Waiting times over a stream of requests, in microseconds as in a batch; the state of a host is when its next request may start."""
+
+    def us(seconds: float | None) -> int:
+        return 0 if seconds is None or seconds != seconds else round(seconds * 1e6)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -192,19 +217,18 @@ def host_rates(requests: DataFrame, delay_s: float = DELAY_S, ttl_ms: int | None
         allowed = state.get[0] if state.exists else None
         out = []
         for r in pd.concat(list(frames)).sort_values("pos").itertuples():
-            start = r.arrive_s if allowed is None else max(r.arrive_s, allowed)
-            allowed = start + r.took_s + delay_s
-            if r.status in RETRYABLE and r.retry_s is not None and r.retry_s == r.retry_s:
-                allowed = max(allowed, start + r.took_s + r.retry_s)
-            out.append((key[0], int(r.pos), start, start - r.arrive_s, allowed))
-        state.update((float(allowed),))
+            arrive = us(r.arrive_s)
+            start = arrive if allowed is None else max(arrive, allowed)
+            allowed = start + us(r.took_s) + max(us(delay_s), us(r.retry_s) if r.status in RETRYABLE else 0)
+            out.append((key[0], int(r.pos), start / 1e6, (start - arrive) / 1e6, allowed / 1e6))
+        state.update((int(allowed),))
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["host", "pos", "start_s", "wait_s", "next_allowed"])
 
     from loam.operators.crawl import PACED
 
-    return requests.groupBy("host").applyInPandasWithState(run, PACED, "allowed double", "append", GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)
+    return requests.groupBy("host").applyInPandasWithState(run, PACED, "allowed long", "append", GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)
 
 
 # --- event time: beyond what the question needs, since Spark has it

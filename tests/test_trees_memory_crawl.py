@@ -187,6 +187,24 @@ def test_pacing(spark):
     assert {r["pos"]: r["wait_s"] for r in crawl.paced(df).collect()} == {1: 0.0, 2: 4.0, 3: 30.0, 4: 0.0, 5: 5.0}
 
 
+def test_pacing_by_blocks(spark):
+    """A host's waits do not depend on how its requests are cut into blocks, and are those of a walk through them."""
+    rng = random.Random(2)
+    rows, at = [], {"h": 0.0, "g": 0.0}
+    for pos in range(60):
+        host = rng.choice("hhhg")
+        at[host] += rng.choice([0.0, 0.5, 3.0, 20.0, 90.0])
+        rows.append((host, pos, at[host], rng.choice([0.25, 4.0]), rng.choice([200, 200, 429]), rng.choice([None, 1.0, 40.0])))
+    want, free = {}, {}
+    for host, pos, arrive, took, status, retry in rows:
+        start = max(arrive, free.get(host, arrive))
+        free[host] = start + took + max(5.0, (retry or 0.0) if status == 429 else 0.0)
+        want[pos] = start - arrive
+    df = spark.createDataFrame(rows, "host string, pos long, arrive_s double, took_s double, status int, retry_s double")
+    for per_block in (1, 3, 100):
+        assert {r["pos"]: r["wait_s"] for r in crawl.paced(df, per_block=per_block).collect()} == want
+
+
 def test_names_and_sidecars(spark):
     wanted = spark.createDataFrame([("f", "doc", ".md", 2), ("f", "doc", ".md", 1), ("g", "doc", ".md", 3)], "folder string, stem string, ext string, pos int")
     assert sorted((r["pos"], r["name"]) for r in crawl.numbered_names(wanted).collect()) == [(1, "doc.md"), (2, "doc-2.md"), (3, "doc.md")]
