@@ -147,8 +147,14 @@ def _blocks(e: _Element, depth: int = 0) -> list[str]:
     return [b for b in out if b.strip()]
 
 
-def _main_part(root: _Element) -> _Element | None:
+#: How much link text costs a part, and the least share of its text a kept block's own text must have, by mode.
+FAVOUR = {"precision": (3.0, 0.5), "balanced": (2.0, 0.0), "recall": (1.0, 0.0)}
+
+
+def _main_part(root: _Element, favour: str) -> _Element | None:
     """The element that holds most text that is neither link nor page chrome."""
+    if favour == "recall":
+        return next((e for e in root.walk() if e.tag == "body"), root)
     for e in root.walk():
         if e.tag in ("main", "article") and len(e.text().strip()) >= LEAST_CHARS:
             return e
@@ -157,17 +163,27 @@ def _main_part(root: _Element) -> _Element | None:
         if e.tag in _BLOCK and e.tag not in ("tr", "table", "ul", "ol"):
             own = sum(len(c.text()) for c in e.children if isinstance(c, _Element) and c.tag in ("p", "pre", "blockquote", "ul", "ol", "table", "h1", "h2", "h3"))
             links = sum(len(a.text()) for a in e.walk() if a.tag == "a")
-            value = own - 2 * links
+            value = own - FAVOUR[favour][0] * links
             if value > score:
                 best, score = e, value
     return best
 
 
-def _without_chrome(e: _Element) -> None:
-    e.children = [c for c in e.children if isinstance(c, str) or c.tag not in _CHROME]
+def _without_chrome(e: _Element, favour: str) -> None:
+    least = FAVOUR[favour][1]
+
+    def kept(c: _Element) -> bool:
+        if c.tag in _CHROME:
+            return False
+        if not least or c.tag not in ("p", "ul", "ol", "div", "section"):
+            return True
+        text = len(c.text().strip())  # blocks that are mostly links go where precision counts
+        return not text or sum(len(a.text().strip()) for a in c.walk() if a.tag == "a") <= (1 - least) * text
+
+    e.children = [c for c in e.children if isinstance(c, str) or kept(c)]
     for c in e.children:
         if isinstance(c, _Element):
-            _without_chrome(c)
+            _without_chrome(c, favour)
 
 
 def _image_names(root: _Element, base: str, doc: str) -> list[tuple[str, str]]:
@@ -194,8 +210,13 @@ def _image_names(root: _Element, base: str, doc: str) -> list[tuple[str, str]]:
     return list(named.items())
 
 
-def convert(html: str, base: str = "", doc: str = "index", extract: bool = True) -> dict:
-    """A page as Markdown with its links and images; why the whole page was kept, where it was."""
+def convert(html: str, base: str = "", doc: str = "index", extract: bool = True, favour: str = "balanced") -> dict:
+    """A page as Markdown with its links and images; why the whole page was kept, where it was.
+
+    ``favour``: *balanced*; *recall* keeps all but menus and forms; *precision* also drops blocks that are mostly links.
+    """
+    if favour not in FAVOUR:
+        raise ValueError(f"no extraction mode named {favour!r}")
     root = tree_of(html or "")
     title_of = next((e for e in root.walk() if e.tag == "title"), None)
     title = re.sub(r"\s+", " ", title_of.text()).strip() if title_of else ""
@@ -209,9 +230,9 @@ def convert(html: str, base: str = "", doc: str = "index", extract: bool = True)
     reason, part = None, None
     if extract:
         _unwrapped_forms(root)
-        part = _main_part(root)
+        part = _main_part(root, favour)
         if part is not None:
-            _without_chrome(part)
+            _without_chrome(part, favour)
             if len(part.text().strip()) < LEAST_CHARS:
                 part, reason = None, "too_short"
         else:

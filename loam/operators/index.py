@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions.text import chunk_id, heading_prefix, rough_tokens
+from loam.operators.calls import read_text, tried
 from loam.operators.chunking import chunked
 from loam.session import staged
 
@@ -175,14 +176,14 @@ def check_model(kb: DataFrame, model: str, allow: bool = False) -> None:
         raise ValueError(f"the index was built with {found}, not with {model!r}")
 
 
-def described(paths: Column, describe: Callable[[str], str] | None = None) -> Column:
-    """``struct<text,error>`` of images; offline, the file name's words."""
+def described(paths: Column, describe: Callable[[str], str] | None = None, retries: int = 2) -> Column:
+    """``struct<text,error>`` of images; offline, the file name's words. A model's failures and empty replies are tried again."""
 
     def one(path: str) -> tuple[str | None, str | None]:
-        try:
-            return (describe(path) if describe else os.path.splitext(os.path.basename(path or ""))[0].replace("-", " "), None)
-        except Exception as error:  # noqa: BLE001 - reported per row, the run goes on
-            return None, f"{type(error).__name__}: {error}"
+        if describe is None:
+            return os.path.splitext(os.path.basename(path or ""))[0].replace("-", " "), None
+        text, wrong = tried(lambda: describe(path), read_text, retries)
+        return text, wrong or None
 
     def run(values: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(v) for v in values], columns=["text", "error"])

@@ -268,6 +268,35 @@ def stored_text_index(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.bm25_top_k(stored, asked, 10).select("query_id", F.col("id").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
+@query
+def hit_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits as records without nulls."""
+    out = retrieval.hit_records(table(spark, folder, "retrieved_chunk"))
+    return out.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text") == "").alias("blank"), F.sum("token_estimate").alias("tokens"), F.sum(F.size("headings")).alias("headings"), F.count_if(F.col("source_kind") == "text").alias("texts"))
+
+
+SQL["hit_records"] = "SELECT query_id, count(*) AS n, count(*) FILTER (coalesce(text, '') = '') AS blank, CAST(sum(coalesce(token_estimate, 0)) AS BIGINT) AS tokens, CAST(sum(len(list_filter(coalesce(headings, []), lambda h: h IS NOT NULL))) AS BIGINT) AS headings, count(*) FILTER (coalesce(source_kind, 'text') = 'text') AS texts FROM retrieved_chunk WHERE id IS NOT NULL GROUP BY query_id"
+
+
+@query
+def described_images(spark: SparkSession, folder: str) -> DataFrame:
+    """Pictures described by a model that is down for some and says nothing of others, and offline."""
+
+    def model(path: str) -> str:
+        if len(path) % 3 == 0:
+            raise TimeoutError("busy")
+        return " a figure " if len(path) % 3 == 1 else " "
+
+    names = table(spark, folder, "packet").select("id", F.explode("assets").alias("a")).select(F.concat("id", F.lit("/"), "a").alias("path")).distinct()
+    rows = names.select("path", index.described(F.col("path"), model).alias("d"), index.described(F.col("path")).alias("o"))
+    return rows.select("path", F.col("d.text").alias("text"), F.col("d.error").alias("error"), F.col("o.text").alias("offline"))
+
+
+SQL["described_images"] = r"""
+WITH p AS (SELECT DISTINCT id || '/' || unnest(assets) AS path FROM packet)
+SELECT path, CASE WHEN length(path) % 3 = 1 THEN 'a figure' END AS text, CASE length(path) % 3 WHEN 0 THEN 'TimeoutError: busy' WHEN 2 THEN 'empty_clarifier_output' END AS error, replace(regexp_replace(string_split(path, '/')[-1], '\.[^.]*$', ''), '-', ' ') AS offline FROM p"""
+
+
 @query
 def question_messages(spark: SparkSession, folder: str) -> DataFrame:
     """The messages of each query's turn: system, what was said before, the question under its context."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from loam.operators.chunking import chunked, register_chunker
 from loam.queries import _documents, _urls, query
 from loam.session import checkpoint_dir, staged
 from loam.sources import files as S
+from loam.sources import prompts
 from loam.sources.tables import table
 
 SQL: dict[str, str] = {}
@@ -277,6 +278,21 @@ i AS (SELECT folder, count(DISTINCT a) AS images FROM (SELECT folder, unnest(ass
 SELECT folder, link_order, CAST(documents AS INT) AS documents, CAST(coalesce(images, 0) AS INT) AS images, sources FROM o LEFT JOIN i USING (folder)"""
 
 
+@query
+def html_favours(spark: SparkSession, folder: str) -> DataFrame:
+    """How many links of a page's list are left by each mode of extraction, and whether its menu is."""
+    rows = _pages(spark, folder)
+    out = None
+    for favour in H.FAVOUR:
+        page = H.converted(F.col("html"), F.lit("https://kb.test/x/"), F.lit("index"), partial(H.convert, favour=favour))
+        part = rows.select("id", F.lit(favour).alias("favour"), page["markdown"].alias("md")).select("id", "favour", (F.size(F.split("md", r"\[source\]")) - 1).alias("sources"), F.contains("md", F.lit("[Home]")).alias("menu"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+SQL["html_favours"] = "SELECT id, f AS favour, CAST(CASE f WHEN 'precision' THEN 0 ELSE len(source_urls) END AS INT) AS sources, false AS menu FROM packet, (VALUES ('precision'), ('balanced'), ('recall')) v(f)"
+
+
 # --- files
 
 
@@ -367,12 +383,15 @@ SQL["persona_csv_round_trip"] = "SELECT CAST(row_number() OVER (ORDER BY pos) -
 def options_and_prompts(spark: SparkSession, folder: str) -> DataFrame:
     """Options from TOML, and each persona's prompt: an operator's file wins over the packaged text."""
     options = S.load_options(text='budget = 9000\n[retrieval]\ntop_k = 5\nreranker = "linear"\n[aliases]\nEP = "Employment Pass"\n')
-    packaged = {"evalgen.persona": "You are $name. $rules", "evalgen.rules": "Answer in full."}
+    packaged = prompts.packaged()
     root = _shared(spark, "prompts")
-    with open(f"{root}/evalgen-rules.md", "w", encoding="utf-8") as f:
-        f.write("Answer for the operator.")
-    rules = S.prompt("evalgen.rules", packaged, root)
-    text = S.prompt("evalgen.persona", packaged, root, name="\u0001", rules=rules)
+    own = {"evalgen.answer_rules": "Answer for the operator.", "evalgen.persona_framing": "You are $persona_name. $persona_description"}
+    prompts.check(own)
+    for name, replaced in own.items():
+        with open(f"{root}/{prompts.file_names()[name]}", "w", encoding="utf-8") as f:
+            f.write(replaced)
+    rules = S.prompt("evalgen.answer_rules", packaged, root)
+    text = S.prompt("evalgen.persona_framing", packaged, root, persona_name="\u0001", persona_description=rules)
     rows = table(spark, folder, "persona")
     shown = F.concat_ws(" ", *[F.lit(str(v)) for v in (options.budget, options.top_k, options.reranker, options.chunk_target, options.aliases["EP"])])
     return rows.select("persona_id", F.replace(F.lit(text), F.lit("\u0001"), F.col("persona_name")).alias("prompt"), shown.alias("options"))
