@@ -57,7 +57,7 @@ ROLES = {
     "copyright": r"^(?:©|\(c\)|copyright\b).{0,120}$|^all content ©.{0,80}$|^.{0,80}(?:all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados)\.?$|^.{0,60}©\s*(?:\d{4}|.{0,40}\d{4}).{0,40}$",
     "operator": r"^.{1,80} (?:is run by the .{1,80} from its house in .{1,60}|ist ein angebot (?:der|des|von) .{1,80}|(?:est|es) un servic[ei]o? de (?:la|l'|l’)\s?.{1,80}|is (?:a service|operated|published|run|provided) (?:of|by) .{1,80}|wird (?:betrieben|herausgegeben) von .{1,80})\.?$|^this (?:service|site|website) is (?:offered|operated|run|provided|published) by .{1,120}$|^(?:dieses angebot|diese seite) wird .{1,100}$|^(?:ce service|ce site) est (?:proposé|exploité|édité|géré) par .{1,100}$|^(?:este servicio|este sitio) (?:es|está) (?:ofrecido|operado|gestionado|publicado) por .{1,100}$|^(?:questions about this (?:web)?site|fragen zu dieser (?:web)?seite|des questions sur ce site|preguntas sobre (?:este sitio|esta web)|¿preguntas sobre .{1,30})\b.{0,140}$|^.{0,60}webmaster@\S+\.?$",
 }
-#: Entries that menus and legal rows commonly hold; importance 0 wherever they stand as entries.
+#: Entries that menus and legal rows commonly hold; unimportant unless many pages say otherwise.
 LABELS = frozenset(
     "home|press|news|services|contact|about us|faq|log in|login|sign in|events|payments|careers|jobs|guides|forms|health|sport & leisure|law & order|software downloads|our offices|help|search|menu|imprint|"
     "privacy|privacy policy|terms of use|terms|cookie policy|accessibility|sitemap|site map|media kit|report a problem|legal notice|disclaimer|"
@@ -315,11 +315,11 @@ def role_importance(nodes: DataFrame) -> DataFrame:
 
 
 def entry_importance(nodes: DataFrame) -> DataFrame:
-    """``(host, entry, importance)`` of entries that enough distinct pages of a host hold."""
+    """``(host, entry, f, importance)`` of entries that enough distinct pages of a host hold."""
     pages = nodes.where(F.col("kind") == "page").groupBy("host").agg(F.countDistinct("page").alias("m"))
     leaves = nodes.where(F.col("role").isNull() & F.col("entry").isNotNull()).select("host", "entry", "page").distinct()
     seen = leaves.groupBy("host", "entry").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= LEAST_SEEN)
-    return seen.join(pages, "host").select("host", "entry", (1 - F.log("f") / F.log(F.greatest("m", F.lit(2)))).alias("importance"))
+    return seen.join(pages, "host").select("host", "entry", "f", (1 - F.log("f") / F.log(F.greatest("m", F.lit(2)))).alias("importance"))
 
 
 def furniture_lines(df: DataFrame, id_col: str = "id", path_col: str = "kb_path", text_col: str = "text", headings_col: str = "headings") -> DataFrame:
@@ -336,7 +336,8 @@ def furniture_lines(df: DataFrame, id_col: str = "id", path_col: str = "kb_path"
     by_role = nodes.join(roles, ["host", "role"], "left_semi").join(own, ["role", "entry", "sentence"], "left_anti").select("id", "line_no")
     low = entry_importance(nodes)
     leaves = nodes.where(F.col("role").isNull() & (F.col("line_no") >= 0)).join(low, ["host", "entry"], "left")
-    importance = F.when(F.col("label"), F.lit(0.0)).otherwise(F.coalesce("importance", F.lit(1.0)))
+    # a common label counts as PRIOR pages of importance 0 beside the pages that hold it
+    importance = F.when(F.col("label"), F.coalesce(F.col("f") * F.col("importance") / (F.col("f") + PRIOR), F.lit(0.0))).otherwise(F.coalesce("importance", F.lit(1.0)))
     lines = leaves.groupBy("id", "block", "line_no").agg(F.first("kind").alias("kind"), F.avg(importance).alias("importance"), F.count(F.lit(1)).alias("entries"))
     # a branch: the short lines of a block; rows and running text are branches of their own
     block = lines.groupBy("id", "block").agg(

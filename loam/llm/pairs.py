@@ -258,9 +258,9 @@ def is_refusal(answer: str) -> bool:
 _OPEN_WORDS = frozenset(
     "a an the and or but nor of to at by for from with without into onto than that which who whose because since so if when while whether as is are was were be been has have had "
     "must may can could should would will only its their our your his her my this these those between both each every until near per it "
-    "der die das den dem des ein eine einen einem einer und oder aber nicht mit ohne für von zu zum zur im in an am auf aus bei nach vor über unter durch als wenn weil dass sowie noch weder sind ist wird werden sonst seit neue bis "
+    "der die das den dem des ein eine einen einem einer und oder aber nicht mit ohne für von zu zum zur im in an am auf aus bei nach vor über unter durch als wenn weil dass sowie noch weder sind ist wird werden sonst seit bis "
     "le la les un une des du de et ou mais ni avec sans pour par dans sur sous en au aux que qui dont si sont est où ne se plus leur il faut chaque depuis "
-    "el los las una unos unas y o pero ni con sin para por en del al que se su sus es son como desde después solo también no hay "
+    "el los las una unos unas y o pero ni con sin para por en del al que se su sus es son como desde después también no "
     .split()
 )
 _PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«", "』": "『", "」": "「", "）": "（", "】": "【"}
