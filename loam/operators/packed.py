@@ -99,8 +99,8 @@ def unpack(df: DataFrame, key: str, field: str, least: int = 1, key_name: str =
 
     Only the two named columns are read, whatever else the table holds.
     """
-    # the marker keeps Catalyst from computing the array a second time for the filter
     rows = spread(df.select(F.col(key).alias(key_name), F.col(field).alias("__field")))
-    cut = rows.select(key_name, packed_values(F.col("__field")).alias("__values"))
-    kept = cut.where(F.size("__values") >= least) if least > 0 else cut
+    # the marker, which no filter may pass, keeps Catalyst from computing the array again in the filter and the explosion
+    cut = rows.select(key_name, packed_values(F.col("__field")).alias("__values"), F.monotonically_increasing_id().alias("__once"))
+    kept = cut.where((F.col("__once") >= 0) & (F.size("__values") >= least))
     return kept.select(key_name, F.posexplode("__values").alias("val_pos", "val"))
