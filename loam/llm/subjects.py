@@ -5,7 +5,7 @@ the corpus adds to it, the *section* the sentence stands in (most votes of the o
 its heading, the title, the other paragraphs), the *address* (words of the host and path of the source and of the URLs
 in the text) and the *source* as a whole string. A latent-variable model learns how often each function abstains and
 how often it is right, without labels, from the counts of all vote patterns of the corpus. A document has the subjects
-whose posterior probabilities add up to at least a quarter of its sentences.
+whose posterior probabilities add up to at least a quarter of its sentences, if its votes agree more than chance would.
 
 Texts are read once: what the functions need of them, word hashes and places, is a table in the shared folder.
 
@@ -22,6 +22,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -420,6 +421,27 @@ def latent_model(patterns: np.ndarray, counts: np.ndarray, subjects: int, rounds
     return post, {name: (float(cover[j]), float(right[j])) for j, name in enumerate(FUNCTIONS)}
 
 
+def on_subjects(doc: np.ndarray, codes: np.ndarray, times: np.ndarray, docs: int, subjects: int) -> np.ndarray:
+    """Whether each document is on subjects at all: naming them must say its votes more briefly than chance does.
+
+    A document's V votes are those of the corpus lexicon, of the seeds where it is silent. By chance each costs log S; with K
+    of S subjects named, the choice costs log C(S, K), their shares log(V) / 4 each but one, and the votes their entropy.
+    Texts on nothing have votes on one subject here and another there. Without any votes the sentences alone decide.
+    """
+    if subjects < 2:
+        return np.ones(docs, bool)
+    base = subjects + 1
+    lexicon = codes // base**3 % base
+    vote = np.where(lexicon > 0, lexicon, codes // base**4)
+    cells = np.bincount(doc * base + vote, times, minlength=docs * base).reshape(docs, base)[:, 1:]
+    cast = cells.sum(axis=1)
+    shares = np.where(cells > 0, cells, 1) / np.where(cells > 0, np.maximum(cast, 1)[:, None], 1)
+    named = (cells > 0).sum(axis=1)
+    choice = np.array([math.log(math.comb(subjects, k)) for k in range(base)])[named] + np.maximum(named - 1, 0) * np.log(np.maximum(cast, 1)) / 4
+    gain = cast * np.log(subjects) + (cells * np.log(shares)).sum(axis=1) - choice
+    return (gain > 1e-9) | (cast == 0)
+
+
 def document_subjects(docs: DataFrame, examples: DataFrame, areas: DataFrame, share: float = SHARE) -> DataFrame:
     """``(doc_id, subject, share)`` of every document and subject that takes up at least ``share`` of its sentences.
 
@@ -455,7 +477,7 @@ def document_subjects(docs: DataFrame, examples: DataFrame, areas: DataFrame, sh
             doc = np.repeat(np.arange(len(batch)), size)
             total = np.column_stack([np.bincount(doc, mass[:, s], minlength=len(batch)) for s in range(mass.shape[1])])
             part = total / np.maximum(batch["n"].to_numpy(), 1)[:, None]
-            at, s = np.nonzero(part >= share - 1e-6)
+            at, s = np.nonzero((part >= share - 1e-6) & on_subjects(doc, codes, times, len(batch), subjects)[:, None])
             keep = s < len(subject_names)
             yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[at[keep]], "subject": pd.Series([subject_names[k] for k in s[keep]], dtype=object), "share": np.round(part[at[keep], s[keep]], 4)})
 

@@ -141,3 +141,16 @@ def test_an_address_names_the_subject():
 
     assert address_words("www.gala.example/law/courts", "See https://help.test/law/judges.html?x=1 or so.") == ["gala", "example", "law", "courts", "help", "test", "judges"]
     assert address_words(None, "") == []
+
+
+def test_votes_by_chance_name_no_subject():
+    import numpy as np
+
+    from loam.llm.subjects import on_subjects
+
+    base = 13
+    votes = [[3, 3, 3], [1, 2, 3], [1, 2, 3, 4, 5], [1, 1, 2], [4], [], [1] * 6 + [2] * 6 + [3]]
+    doc = np.array([k for k, v in enumerate(votes) for _ in v])
+    codes = np.array([x * base**3 for v in votes for x in v])
+    assert on_subjects(doc, codes, np.ones(len(doc), int), len(votes), 12).tolist() == [True, False, False, True, False, True, True]
+    assert on_subjects(doc[:0], codes[:0], np.ones(0, int), 0, 12).tolist() == []
