@@ -280,10 +280,15 @@ NODES = "id string, host string, page long, line_no int, block int, kind string,
 def tree_nodes(chunks: DataFrame) -> DataFrame:
     """One row per node entry of every chunk of ``(id, kb_path, text, headings)``."""
 
+    columns = [c.split()[0] for c in NODES.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for id_, kb_path, text, headings in zip(batch["id"], batch["kb_path"], batch["text"], batch["headings"]):
+                if len(out) > 50_000:  # rows in memory at a time, whatever the pages hold
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
                 host = (kb_path or "").split("/")[0]
                 found = page_nodes(text, list(headings) if headings is not None else None)
                 names, page = _names(host), _signature(text)
@@ -299,7 +304,7 @@ def tree_nodes(chunks: DataFrame) -> DataFrame:
                         out.append((id_, host, page, n.line, n.block, n.kind, None, f"{_digest(content):x}", False, False))
                     else:
                         out.extend((id_, host, page, n.line, n.block, n.kind, None, e, e in LABELS, False) for e in n.entries)
-            yield pd.DataFrame(out, columns=["id", "host", "page", "line_no", "block", "kind", "role", "entry", "label", "sentence"])
+            yield pd.DataFrame(out, columns=columns)
 
     return chunks.select("id", "kb_path", "text", "headings").mapInPandas(run, NODES)
 

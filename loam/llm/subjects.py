@@ -136,8 +136,7 @@ def read_texts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make = Words()
         for whole in batches:
-            for start in range(0, len(whole), _ROWS):
-                batch = whole.iloc[start : start + _ROWS]
+            for batch in _parts(whole):
                 sentences, heads, section, paragraph, count, head_count, address, source = [], [], [], [], [], [], [], []
                 for text, src, title in zip(batch["text"], batch["source"], batch["title"]):
                     own, sec, par, headings = sentences_of(text.replace("\r\n", "\n"))
@@ -164,6 +163,15 @@ def read_texts(docs: DataFrame) -> DataFrame:
     return spread(docs.select("doc_id", "text", "source", "title")).mapInPandas(run, READ)
 
 
+def _parts(batch: pd.DataFrame, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """A batch in parts of some documents and about so many characters: a few very long texts are parts of their own."""
+    if len(batch):
+        part = np.cumsum(batch["text"].str.len().to_numpy()) // chars + np.arange(len(batch)) // _ROWS
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(batch)]
+        for a, b in zip(edges, edges[1:]):
+            yield batch.iloc[a:b]
+
+
 def _split(values: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [values[a:b].tobytes() for a, b in zip(at, at[1:])]
 

@@ -154,3 +154,13 @@ def test_votes_by_chance_name_no_subject():
     codes = np.array([x * base**3 for v in votes for x in v])
     assert on_subjects(doc, codes, np.ones(len(doc), int), len(votes), 12).tolist() == [True, False, False, True, False, True, True]
     assert on_subjects(doc[:0], codes[:0], np.ones(0, int), 0, 12).tolist() == []
+
+
+def test_parts_follow_the_length_of_texts():
+    import pandas as pd
+
+    from loam.llm.subjects import _parts
+
+    frame = pd.DataFrame({"text": ["a" * 10, "b" * 95, "c", "", "d" * 250, "e"]})
+    assert [list(p["text"].str.len()) for p in _parts(frame, 100)] == [[10], [95, 1, 0], [250, 1]]
+    assert list(_parts(frame.iloc[:0])) == []
