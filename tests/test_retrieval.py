@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,3 +148,58 @@ def test_chunker_in_sql(spark):
     chunking.register_chunker(spark)
     spark.createDataFrame([("# A\n\nb c", "markdown")], "t string, k string").createOrReplaceTempView("chunk_docs")
     assert spark.sql("SELECT c.text FROM chunk_docs, LATERAL chunk_document(t, k, 500, 60) c").first()["text"] == "# A\n\nb c"
+
+
+def shuffled_rows(spark):
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("stored", [False])
+def test_pairs_of_query_and_text_are_not_shuffled(spark, tmp_path, stored):
+    docs = spark.createDataFrame([(i, f"common w{i % 7} x{i}") for i in range(2000)], "id long, text string")
+    asked = spark.createDataFrame([(q, f"common w{q % 5}") for q in range(200)], "query_id long, query string")
+    source = retrieval.TextIndex(spark, f"file://{tmp_path}/p").refresh(docs) if stored else docs
+    before = shuffled_rows(spark)
+    assert retrieval.bm25_top_k(source, asked, 3).count() == 600
+    assert shuffled_rows(spark) - before < 30_000  # there are 400,000 pairs
+
+
+@pytest.mark.parametrize("stored", [False])
+@pytest.mark.parametrize("block_texts,query_terms", [(8192, 250_000), (16, 40)])
+def test_bm25_by_hand(spark, tmp_path, monkeypatch, stored, block_texts, query_terms):
+    """Ties, copies, texts and queries under one id, a null id, few and many texts and queries at once."""
+    monkeypatch.setattr(retrieval, "BLOCK_TEXTS", block_texts)
+    rng = random.Random(3)
+    rows = [(f"d{k:03d}", " ".join(rng.choice("abcdefghij") * rng.randrange(1, 4) for _ in range(rng.randrange(0, 9)))) for k in range(150)]
+    rows += [(f"e{k:03d}", rows[k][1]) for k in range(40)] + [("d007", "a b zz"), ("d007", "zz"), (None, "a zz"), ("null", None)]
+    asked = [(q, " ".join(rng.sample(["a", "bb", "ccc", "d", "zz", "none"], 3))) for q in range(30)] + [(5, "a a BB"), (31, None), (None, "a d")]
+    cut = lambda text: re.findall(r"[a-z]+", (text or "").lower())
+    counts, lens = {}, {}
+    for i, text in rows:
+        counts.setdefault(i, Counter()).update(cut(text))
+        lens.setdefault(i, set()).add(len(cut(text)))
+    n, avg = len(rows), sum(len(cut(t)) for _, t in rows) / len(rows)
+    wanted = {}
+    for q, text in asked:
+        wanted.setdefault(q, set()).update(cut(text))
+    df = Counter(t for c in counts.values() for t in c)
+
+    def score(terms, i, length):
+        return round(sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * counts[i][t] * 2.2 / (counts[i][t] + 1.2 * (0.25 + 0.75 * length / avg)) for t in terms if counts[i][t]), 6)
+
+    # an id of several texts has the length of any one of them: d007 is left out of what is compared by score
+    source = spark.createDataFrame(rows, "id string, text string")
+    source = retrieval.TextIndex(spark, f"file://{tmp_path}/p").refresh(source) if stored else source
+    k = len(counts)
+    got = retrieval.bm25_top_k(source, spark.createDataFrame(asked, "query_id long, query string"), k, query_terms=query_terms).collect()
+    top = retrieval.bm25_top_k(source, spark.createDataFrame(asked, "query_id long, query string"), 4, query_terms=query_terms).collect()
+    for q, terms in wanted.items():
+        own = sorted((r["rank"], r["id"], r["score"]) for r in got if r["query_id"] == q)
+        assert {i for _, i, _ in own} == {i for i, c in counts.items() if any(c[t] for t in terms)}
+        assert all(s == pytest.approx(score(terms, i, next(iter(lens[i]))), abs=2e-6) for _, i, s in own if i != "d007")
+        assert [(i, s) for _, i, s in own] == sorted(((i, s) for _, i, s in own), key=lambda x: (-x[1], x[0] is None, x[0] or ""))
+        first = sorted((r["rank"], r["id"], r["score"]) for r in top if r["query_id"] == q)
+        assert [(r, s) for r, _, s in first] == [(r, s) for r, _, s in own[:4]] and [i for _, i, _ in first] == [i for _, i, _ in own[:4]]
