@@ -157,7 +157,7 @@ def shuffled_rows(spark):
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("stored", [False])
+@pytest.mark.parametrize("stored", [False, True])
 def test_pairs_of_query_and_text_are_not_shuffled(spark, tmp_path, stored):
     docs = spark.createDataFrame([(i, f"common w{i % 7} x{i}") for i in range(2000)], "id long, text string")
     asked = spark.createDataFrame([(q, f"common w{q % 5}") for q in range(200)], "query_id long, query string")
@@ -167,7 +167,7 @@ def test_pairs_of_query_and_text_are_not_shuffled(spark, tmp_path, stored):
     assert shuffled_rows(spark) - before < 30_000  # there are 400,000 pairs
 
 
-@pytest.mark.parametrize("stored", [False])
+@pytest.mark.parametrize("stored", [False, True])
 @pytest.mark.parametrize("block_texts,query_terms", [(8192, 250_000), (16, 40)])
 def test_bm25_by_hand(spark, tmp_path, monkeypatch, stored, block_texts, query_terms):
     """Ties, copies, texts and queries under one id, a null id, few and many texts and queries at once."""
